@@ -42,7 +42,9 @@ def phase_locking(epochs: DataFrame, spec: SignalSpec = SignalSpec(), filtered:
     wide = rows.groupBy(*KEY).agg(*[F.max_by(F.when(F.col("name") == n, F.col("z")),
                                              F.when(F.col("name") == n, F.col("channel_idx"))).alias(n)
                                     for n in ends])
-    zipped = F.arrays_zip(*[F.col(f"{n}.{part}").alias(f"{n}_{part}") for n in ends for part in ("cos", "sin")])
+    none = F.array().cast("array<double>")  # a missing end is an empty array: zipping pads it with NULL
+    zipped = F.arrays_zip(*[F.coalesce(F.col(f"{n}.{part}"), none).alias(f"{n}_{part}")
+                            for n in ends for part in ("cos", "sin")])
     samples = wide.select(*KEY, F.explode_outer(zipped).alias("s"))
     means = {}
     for a, b in spec.pairs:

@@ -20,8 +20,9 @@ def first_event_per_epoch(labels: DataFrame, values: tuple[str, ...] = ("rating"
 
 def epoch_spine(files: DataFrame) -> DataFrame:
     """Rows 0 .. n_epochs - 1 of each file."""
-    spine = F.explode(F.when(F.col("n_epochs") > 0, F.sequence(F.lit(0), F.greatest("n_epochs", F.lit(1)) - 1)))
-    return files.select("dataset", "subject", spine.cast("int").alias("epoch"))
+    last = F.greatest("n_epochs", F.lit(1)).cast("int") - 1
+    return files.where(F.col("n_epochs") > 0).select(
+        "dataset", "subject", F.explode(F.sequence(F.lit(0), last)).alias("epoch"))
 
 
 def reindex(by_epoch: DataFrame, files: DataFrame) -> DataFrame:

@@ -16,6 +16,11 @@ def read_sidecars(spark: SparkSession, path: str, glob: str = "*_events.json") -
                         text.decode_text(F.col("content")).alias("content"))
 
 
+def parsed(sidecars: DataFrame) -> DataFrame:
+    """The text as a VARIANT, NULL where it is not JSON."""
+    return sidecars.withColumn("json", F.try_parse_json("content"))
+
+
 def distinct_contents(sidecars: DataFrame) -> DataFrame:
     """Each content once per dataset, under its smallest key. Texts shuffle only as digests."""
     return sidecars.groupBy("dataset", F.sha2("content", 256).alias("digest")).agg(

@@ -120,9 +120,11 @@ SEXES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The stored times have no zone: seconds since 1970 read in the same zone do not depend on the session's.
+    start = F.unix_micros(F.expr("timestamp_ntz'1970-01-01 00:00:00'").cast("timestamp"))
     return table(spark, sf_dir, "events").select(
         F.col("event_id"), F.col("event_type").alias("dataset"), F.concat(F.lit("sub-"), F.col("user_id").cast("string")).alias("subject"),
-        (F.unix_micros("ts") / 1e6).alias("onset"), F.col("value"), F.col("props"))
+        ((F.unix_micros(F.col("ts").cast("timestamp")) - start) / 1e6).alias("onset"), F.col("value"), F.col("props"))
 
 
 def manifest_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

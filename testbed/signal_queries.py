@@ -244,19 +244,19 @@ hz AS (SELECT epoch, name, j, sum(c * (re * cos(2 * pi() * j * k / n) - im * sin
 hp AS (SELECT epoch, name, j, cos(atan2(im, re)) AS c, sin(atan2(im, re)) AS s FROM hz)"""
 
 
-@query("X8_analytic_phase", f"SELECT epoch, j::INT AS j, {rnd('c', 8)} AS c, {rnd('s', 8)} AS s FROM hp",
+@query("X8_analytic_phase", f"SELECT epoch, j::INT AS j, {rnd('c', 6)} AS c, {rnd('s', 6)} AS s FROM hp",
        (I.EPOCHS_SQL, "one AS (SELECT epoch, 'Cz' AS name, s FROM ep)", hilbert_sql("one")))
 def x8(spark, sf):
     z = phase.phasors(I.epochs(spark, sf), SPEC, filtered=False)
     return rounded(z.select("epoch", F.posexplode(F.arrays_zip(F.col("z.cos").alias("c"), F.col("z.sin").alias("s"))).alias("j", "p"))
-                   .select("epoch", "j", F.col("p.c").alias("c"), F.col("p.s").alias("s")), 8)
+                   .select("epoch", "j", F.col("p.c").alias("c"), F.col("p.s").alias("s")), 6)
 
 
 PLV_NAMES = [f"plv_{a}-{b}" for a, b in SPEC.pairs]
 
 
 def plv_sql(a, b):
-    return (f"""(SELECT {rnd('sqrt(pow(avg(x.c * y.c + x.s * y.s), 2) + pow(avg(x.s * y.c - x.c * y.s), 2))', 8)} FROM hp x JOIN hp y """
+    return (f"""(SELECT {rnd('sqrt(pow(avg(x.c * y.c + x.s * y.s), 2) + pow(avg(x.s * y.c - x.c * y.s), 2))', 7)} FROM hp x JOIN hp y """
             f"ON x.epoch = y.epoch AND x.j = y.j WHERE x.name = '{a.lower()}' AND y.name = '{b.lower()}' AND x.epoch = me.epoch) AS \"plv_{a}-{b}\"")
 
 
@@ -264,7 +264,7 @@ def plv_sql(a, b):
        (I.MONTAGE_SQL, "low AS (SELECT epoch, lower(channel) AS name, s FROM mont WHERE lower(channel) <> 'oz')", hilbert_sql("low")))
 def a18(spark, sf):
     """Phase locking of the unfiltered signals, which SQL can repeat."""
-    return rounded(phase.phase_locking(I.montage(spark, sf), SPEC, filtered=False).select("epoch", *[F.col(f"`{n}`") for n in PLV_NAMES]), 8)
+    return rounded(phase.phase_locking(I.montage(spark, sf), SPEC, filtered=False).select("epoch", *[F.col(f"`{n}`") for n in PLV_NAMES]), 7)
 
 
 @query("X9_phase_locking")
