@@ -11,7 +11,7 @@ from testbed import inputs as I
 from testbed.registry import query, rnd, rounded
 
 MX = I.MATRIX_SQL
-SPEC = imp.ForestSpec(trees=60, depth=12)
+SPEC = imp.ForestSpec(trees=40, depth=10, bins=32)
 CHOSEN = "mc AS (SELECT * FROM mx WHERE rating IS NOT NULL AND laser_power IS NOT NULL)"
 PLACE = "pl AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || epoch)) AS position, count(*) OVER () AS total FROM mc)"
 
