@@ -6,8 +6,6 @@ everything before and after (windows, bands, sums, fits, joins) is Spark.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -63,7 +61,6 @@ def welch(signal: Column, sfreq: Column, segment: int) -> Column:
 
 # ---------------------------------------------------------------- band-pass and phase
 
-@lru_cache(maxsize=64)
 def butterworth_band(order: int, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
     """Digital band-pass coefficients; edges as shares of the Nyquist rate."""
     w1, w2 = 4 * np.tan(np.pi * np.array([low, high]) / 2)

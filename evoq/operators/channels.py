@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evoq.config import PLV_PAIRS, VERTEX_PRIORITY, pairs_table, priority_table
+from evoq.session import pin
 
 FILE = ["dataset", "subject"]
 
@@ -14,8 +15,10 @@ def channel_table(epochs: DataFrame) -> DataFrame:
     return epochs.select(*FILE, "channel_idx", "channel").distinct()
 
 
-def named(channel: Column, names) -> Column:
-    return F.lower(channel).isin([n.lower() for n in names])
+def named(rows: DataFrame, names) -> DataFrame:
+    """Rows of the named channels; the stored ``channel_key``, where there is one, lets the scan skip the others."""
+    key = F.col("channel_key") if "channel_key" in rows.columns else F.lower("channel")
+    return rows.where(key.isin(sorted({n.lower() for n in names})))
 
 
 def pick_vertex(channels: DataFrame, priority: tuple[str, ...] = VERTEX_PRIORITY) -> DataFrame:
@@ -28,9 +31,13 @@ def pick_vertex(channels: DataFrame, priority: tuple[str, ...] = VERTEX_PRIORITY
 
 
 def vertex_epochs(epochs: DataFrame, priority: tuple[str, ...] = VERTEX_PRIORITY) -> DataFrame:
-    """The signal of the chosen channel of each epoch; the name filter reaches the scan before the join."""
-    candidates = epochs.where(named(F.col("channel"), priority))
-    return candidates.join(pick_vertex(channel_table(candidates), priority), [*FILE, "channel_idx"])
+    """The signal of the chosen channel of each epoch; the name filter reaches the scan before the join.
+
+    The choice (a short row per file, made without reading signals) is pinned, so that it goes to the signals.
+    """
+    candidates = named(epochs, priority)
+    choice = pin(pick_vertex(channel_table(candidates), priority))
+    return candidates.join(choice, [*FILE, "channel_idx"])
 
 
 def last_index_of_name(channels: DataFrame) -> DataFrame:
@@ -39,7 +46,7 @@ def last_index_of_name(channels: DataFrame) -> DataFrame:
 
 def resolve_pairs(channels: DataFrame, pairs=PLV_PAIRS) -> DataFrame:
     """Per file the pairs with both ends present, with the index of each end."""
-    names = last_index_of_name(channels.where(named(F.col("channel"), {n for p in pairs for n in p})))
+    names = last_index_of_name(named(channels, {n for p in pairs for n in p}))
     table = F.broadcast(pairs_table(channels.sparkSession, pairs))  # fixed: one row per pair
     a = names.join(table, F.col("name") == F.col("name_a")).select(*FILE, "pair", F.col("channel_idx").alias("idx_a"))
     b = names.join(table, F.col("name") == F.col("name_b")).select(*FILE, "pair", F.col("channel_idx").alias("idx_b"))

@@ -35,7 +35,7 @@ def phase_locking(epochs: DataFrame, spec: SignalSpec = SignalSpec(), filtered:
 
     Only the window's phasors of the pairs' channels are shuffled, once, by epoch; the sums then run in place.
     """
-    wanted = epochs.where(named(F.col("channel"), pair_channels(spec)))
+    wanted = named(epochs, pair_channels(spec))
     rows = phasors(wanted, spec, filtered).select(*KEY, F.lower("channel").alias("name"), "channel_idx", "z")
     ends = pair_channels(spec)
     # Of equal names the last index counts.

@@ -44,33 +44,34 @@ def digest_position(df: DataFrame, digest: str, by: list[str] | None = None, pos
 
 
 def value_cuts(df: DataFrame, by: list[str], value: str, cuts: int = CUTS) -> DataFrame:
-    """Per group at most ``cuts`` ascending values that split its rows about evenly.
+    """Per group at most ``cuts`` ascending values that split its rows about evenly, and every 16th of them.
 
     The approximate quantiles are one bounded sketch per group and task. They depend on the order of merging, so the
-    result, one short array per group, is pinned: all readers must bucket alike.
+    result, a row per group, is pinned: all readers must bucket alike.
     """
     shares = [(i + 1) / (cuts + 1) for i in range(cuts)]
     agg = F.percentile_approx(value, shares, 10 * (cuts + 1)).alias("_cuts")
-    return pin(df.groupBy(*by).agg(agg).withColumn("_cuts", F.array_sort(F.array_distinct("_cuts"))))
+    fine = df.groupBy(*by).agg(agg).withColumn("_cuts", F.array_sort(F.array_distinct("_cuts")))
+    return pin(fine.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % 16 == 15)))
 
 
-def with_group_value(df: DataFrame, groups: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Attach one column of a table with a row per group; without groups it is a scalar subquery, not a join."""
-    return df.join(groups.select(*by, value), by) if by else df.withColumn(value, groups.select(value).scalar())
+def with_bucket(df: DataFrame, cuts: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``_b``: the number of cuts <= value, found in two short steps."""
+    if by:
+        both = df.join(cuts, by)
+    else:  # one row: a scalar subquery, not a join
+        both = df.withColumn("_c", cuts.select(F.struct("_cuts", "_coarse")).scalar()).select("*", "_c.*").drop("_c")
+    v = F.col(value)
+    skipped = F.size(F.filter("_coarse", lambda c: c <= v)) * 16
+    bucket = skipped + F.size(F.filter(F.slice("_cuts", skipped + 1, F.lit(16)), lambda c: c <= v))
+    return both.withColumn("_b", bucket).drop("_cuts", "_coarse")
 
 
-def _bucketed_counts(df: DataFrame, by: list[str], value: str, cuts: DataFrame) -> DataFrame:
-    """Distinct values with their counts and bucket; bucket b holds cuts[b-1] <= v < cuts[b]."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    bucket = F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
-    return with_group_value(counted, cuts, by, "_cuts").withColumn("_b", bucket).drop("_cuts")
-
-
-def _bucket_offsets(counted: DataFrame, by: list[str]) -> DataFrame:
-    totals = counted.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
+def _bucket_offsets(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Rows before each bucket and rows of the group; at most CUTS + 1 buckets per group are ordered here."""
     w = Window.partitionBy(*by)
     before = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0))) \
+    return counts.withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0))) \
         .withColumn("_size", F.sum("_bn").over(w))
 
 
@@ -78,10 +79,11 @@ def average_rank(df: DataFrame, value: str, by: list[str] | None = None, rank: s
                  descending: bool = True) -> DataFrame:
     """``by, value, rank``: the rank of each distinct value, equal values sharing their mean place."""
     by = by or []
-    counted = _bucketed_counts(df, by, value, value_cuts(df, by, value))
-    offsets = _bucket_offsets(counted, by)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    bucketed = with_bucket(counted, value_cuts(df, by, value), by, value)
+    offsets = _bucket_offsets(bucketed.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn")), by)
     inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.join(offsets, [*by, "_b"]).withColumn(
+    placed = bucketed.join(offsets, [*by, "_b"]).withColumn(
         "_below", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     ascending = F.col("_below") + (F.col("_n") + 1) / 2
     return placed.select(*by, value, (F.col("_size") + 1 - ascending if descending else ascending).alias(rank))
@@ -90,16 +92,19 @@ def average_rank(df: DataFrame, value: str, by: list[str] | None = None, rank: s
 def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
     """``by, share, quantile``: exact, interpolated linearly between neighbours.
 
-    Spark's own exact ``percentile`` keeps every distinct value of a group in one buffer; here only the one or two
-    buckets that hold the wanted places are ordered.
+    Spark's own exact ``percentile`` keeps every distinct value of a group in one buffer. Here the first pass sums
+    rows per bucket on the map side, and the second shuffles the rows of the few buckets that hold the wanted places,
+    equal values as one.
     """
-    counted = _bucketed_counts(df, by, value, value_cuts(df, by, value))
-    offsets = _bucket_offsets(counted, by)
-    wanted = offsets.withColumn("share", F.explode(F.array(*map(F.lit, shares)))) \
-        .withColumn("_at", F.col("share") * (F.col("_size") - 1)) \
-        .withColumn("_low", F.floor("_at")).withColumn("_high", F.ceil("_at")) \
-        .where((F.col("_high") >= F.col("_before")) & (F.col("_low") < F.col("_before") + F.col("_bn")))
+    rows = with_bucket(df.select(*by, value).where(F.col(value).isNotNull()), value_cuts(df, by, value), by, value)
+    offsets = _bucket_offsets(rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_bn")), by)
+    wanted = pin(offsets.withColumn("share", F.explode(F.array(*map(F.lit, shares))))
+                 .withColumn("_at", F.col("share") * (F.col("_size") - 1))
+                 .withColumn("_low", F.floor("_at")).withColumn("_high", F.ceil("_at"))
+                 .where((F.col("_high") >= F.col("_before")) & (F.col("_low") < F.col("_before") + F.col("_bn"))))
     buckets = wanted.select(*by, "_b", "_before").distinct()
+    counted = rows.join(wanted.select(*by, "_b"), [*by, "_b"], "left_semi") \
+        .groupBy(*by, "_b", value).agg(F.count(F.lit(1)).alias("_n"))
     inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.join(buckets, [*by, "_b"]).withColumn(
         "_from", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evoq.operators.ranking import wide_quantiles
+from evoq.session import pin
 
 
 def group_count(df: DataFrame, by: list[str], name: str = "n") -> DataFrame:
@@ -41,13 +42,13 @@ def equal_width_histogram(df: DataFrame, by: str, value: str, bins: int) -> Data
     """``by, bin, low, high, n, density``: equal bins from the least to the largest value of each group.
 
     The last bin is closed at the top, a group of one value gets the range value -0.5 to +0.5, and empty bins stay.
-    Only the ranges (one row per group) are joined to the rows.
+    Only the ranges (one row per group, pinned) are joined to the rows.
     """
     kept = df.select(by, value).na.drop()
     ranges = kept.groupBy(by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("total"))
     one = F.col("lo") == F.col("hi")
-    ranges = ranges.select(by, "total", F.when(one, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-                           F.when(one, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+    ranges = pin(ranges.select(by, "total", F.when(one, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+                           F.when(one, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi")))
     edge = lambda i: F.when(i == bins, F.col("hi")).otherwise(F.col("lo") + i * ((F.col("hi") - F.col("lo")) / bins))
     v = F.col(value)
     guess = F.least(F.floor((v - F.col("lo")) * (bins / (F.col("hi") - F.col("lo")))).cast("int"), F.lit(bins - 1))
@@ -79,7 +80,7 @@ def unit_histogram(df: DataFrame, by: str, value: str, low: int = 0, high: int =
 
 def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     """Quartiles, whiskers (outermost values within 1.5 quartile ranges) and the count of values beyond."""
-    quartiles = wide_quantiles(df, [by], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    quartiles = pin(wide_quantiles(df, [by], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     v = F.col(value)
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)

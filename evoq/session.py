@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# AQE broadcasts a join side only after measuring it against this bound.
+# A join side is broadcast only if its stored or measured size is under this bound; else both sides are shuffled.
 BROADCAST_BOUND = "64m"
 
 SETTINGS = {
@@ -15,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": BROADCAST_BOUND,
+    "spark.sql.autoBroadcastJoinThreshold": BROADCAST_BOUND,
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # A signal row is some 12 KB, so a batch stays near 25 MB.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
@@ -43,12 +44,15 @@ def build_session(app: str = "evoq", master: str | None = None, anonymous_store:
     return builder.getOrCreate()
 
 
+_local_folder: str | None = None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see; a local one only where the cluster names none."""
+    global _local_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="evoq-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        _local_folder = folder = _local_folder or tempfile.mkdtemp(prefix="evoq-")
     return folder.rstrip("/")
 
 
@@ -57,8 +61,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Fix the rows of ``df`` in the shared folder, so that every branch of a plan reads the same ones
-    however often a lost task is run again."""
+    """Write a table (not signals) to the shared folder and read it from there.
+
+    Every branch of a plan then reads the same rows however often a lost task is run again, and the planner knows
+    the size: joined to a large table, a small one is broadcast and the large one is not shuffled at all, while one
+    beyond the bound is joined by shuffling. An aggregate's size is known only when the large side has been
+    shuffled already.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, "pin")
     df.write.parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evoq.functions import text
+from evoq.session import pin
 
 LABEL_DERIVATIVE = "rerefer"
 
@@ -65,11 +66,11 @@ def signal_files(manifest: DataFrame, name: str = LABEL_DERIVATIVE) -> DataFrame
 def preferred_sets(manifest: DataFrame) -> DataFrame:
     """Per dataset the ``.set`` files below a derivatives folder; all ``.set`` files where there are none.
 
-    The flag is an aggregate of one row per dataset, joined back, so that a large dataset is never one window group.
+    The flag is one row per dataset, joined back, so that a large dataset is never one window group.
     """
     sets = manifest.where(F.col("key").endswith(".set")) \
         .withColumn("is_derived", F.lower("key").contains("derivatives"))
-    flags = sets.groupBy("dataset").agg(F.max("is_derived").alias("has_derived"))
+    flags = pin(sets.groupBy("dataset").agg(F.max("is_derived").alias("has_derived")))
     return sets.join(flags, "dataset").where(F.col("is_derived") | ~F.col("has_derived")) \
         .drop("is_derived", "has_derived")
 

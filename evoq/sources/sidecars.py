@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evoq.functions import text
+from evoq.session import pin
 
 
 def read_sidecars(spark: SparkSession, path: str, glob: str = "*_events.json") -> DataFrame:
@@ -31,5 +32,5 @@ def first_contents(sidecars: DataFrame, n: int = 2) -> DataFrame:
     """The first ``n`` distinct contents of each dataset in key order, with a preview of the text."""
     order = Window.partitionBy("dataset").orderBy("key")
     chosen = distinct_contents(sidecars).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n)
-    return chosen.join(sidecars, ["dataset", "key"]) \
+    return pin(chosen.select("dataset", "key", "nth")).join(sidecars, ["dataset", "key"]) \
         .select("dataset", "nth", "key", text.json_preview(F.col("content")).alias("preview"))

@@ -13,15 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evoq.functions.numbers import missing_as_null
+from evoq.session import pin
 
 DEFAULT_RATE = 1000.0
 
 
 def read_float_blocks(spark: SparkSession, path: str, shapes: DataFrame, glob: str = "*.fdt") -> DataFrame:
-    """Blocks of a folder with their shapes (``path, nbchan, pnts, trials``); sizes come with the listing."""
+    """Blocks of a folder with their shapes (``path, nbchan, pnts, trials``).
+
+    The shapes are pinned: known to be small, they go to the blocks, and no block is shuffled.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
         .option("pathGlobFilter", glob).load(path)
-    return files.select("path", "length", "content").join(shapes, "path")
+    return files.select("path", "length", "content").join(pin(shapes), "path")
 
 
 def block_fits(length="length"):
@@ -107,6 +111,7 @@ def orient(cells: DataFrame) -> DataFrame:
     roles = lengths.withColumn("ch", ch).withColumn("tm", F.get(others, F.lit(0))) \
         .where((F.col("ch") > 0) & F.col("tm").isNotNull()) \
         .select(*key, "ch", "tm", (F.lit(6) - F.col("ch") - F.col("tm")).alias("ep"))
+    roles = pin(roles)
     at = F.array("a0", "a1", "a2")
     placed = cells.join(roles, key).select(
         *key, F.element_at(at, F.col("ep")).alias("epoch"), F.element_at(at, F.col("ch")).alias("channel_idx"),
@@ -142,10 +147,11 @@ def check_shapes(epochs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
         .when(F.col("found_channels") != F.col("n_channels"), F.lit("channel count differs from names")) \
         .when((F.col("shortest") != F.col("n_times")) | (F.col("longest") != F.col("n_times")),
               F.lit("sample count differs from time axis"))
-    judged = found.join(files, key).select(*key, reason.alias("reason"))
-    bad = judged.where(F.col("reason").isNotNull())
-    return epochs.join(judged.where(F.col("reason").isNull()).select(*key), key, "left_semi"), \
-        bad.withColumn("stage", F.lit("shape"))
+    undeclared = F.when(F.col("n_channels").isNull(), F.lit("no declared shape"))
+    judged = found.join(files, key, "left").select(*key, F.coalesce(undeclared, reason).alias("reason"))
+    # Bad files are few, so taking them out does not shuffle the signals.
+    bad = pin(judged.where(F.col("reason").isNotNull()))
+    return epochs.join(bad, key, "left_anti"), bad.withColumn("stage", F.lit("shape"))
 
 
 def scale(epochs: DataFrame, factor: float) -> DataFrame:
@@ -167,12 +173,14 @@ def samples_without_nan(samples: DataFrame) -> DataFrame:
 
 
 def write_epochs(epochs: DataFrame, path: str) -> None:
-    """Store the signals in one folder per lower-cased channel name.
+    """Store the signals, in every file ordered by ``channel_key``, the lower-cased name, in small row groups.
 
-    The features of an epoch need at most eight of up to 64 channels, so a filter on ``channel_key`` then reads
-    only their folders.
+    The features of an epoch need at most eight of up to 64 channels: a filter on ``channel_key`` then skips the row
+    groups of the others by their bounds. Nothing is shuffled and no task writes more than one file, which one folder
+    per channel would cost.
     """
-    epochs.withColumn("channel_key", F.lower("channel")).write.partitionBy("channel_key").parquet(path)
+    epochs.withColumn("channel_key", F.lower("channel")).sortWithinPartitions("channel_key", "dataset", "subject", "epoch") \
+        .write.option("parquet.block.size", 16 << 20).parquet(path)
 
 
 def read_epochs(spark: SparkSession, path: str) -> DataFrame:

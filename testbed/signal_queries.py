@@ -438,7 +438,7 @@ def s8(spark, sf):
 @query("S9_epoch_store", """SELECT dataset, subject, epoch, channel, len(s)::INT AS n_times, round(list_sum(s), 9) + 0.0::DOUBLE AS total FROM mont
     WHERE lower(channel) IN ('cz', 'pz')""", (I.MONTAGE_SQL,))
 def s9(spark, sf):
-    """Signals written to the shared folder by channel and read back; the filter reads two channel folders."""
+    """Signals written to the shared folder in channel order and read back; the filter skips row groups by channel."""
     from evoq.functions.arrays import total
     from evoq.session import scratch_path
     path = scratch_path(spark, "epochs")
