@@ -1,10 +1,15 @@
-"""Column expressions over a signal array: no explode, no shuffle, one value per row."""
+"""Column expressions over a signal array: no explode, no shuffle, one value per row.
+
+Two rules keep them cheap. A value used more than once is a column of its own, so that it is computed once (Spark
+merges projections only where that repeats no work). And no lambda refers to a computed value: it would be computed
+again for every element.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evoq.config import Span
@@ -22,30 +27,43 @@ class Axis:
     times: str | None = None
 
     @classmethod
-    def of(cls, columns: list[str]) -> "Axis":
-        return cls(times="times" if "times" in columns else None)
+    def of(cls, df: DataFrame) -> "Axis":
+        return cls(times="times" if "times" in df.columns else None)
 
     def time(self, index: Column) -> Column:
         if self.times:
             return F.get(F.col(self.times), index)
         return F.col(self.t0) + index / F.col(self.sfreq)
 
-    def bounds(self, span: Span) -> tuple[Column, Column]:
-        """First index and count of the samples with low <= t <= high, by exact comparison of the times."""
-        low, high = (F.lit(float(x)) for x in span)
+    def with_bounds(self, df: DataFrame, spans: dict[str, Span]) -> DataFrame:
+        """Adds ``_<name>_first`` and ``_<name>_count`` of the samples with low <= t <= high, by exact comparison
+        of the times. Names that are there already are left alone."""
+        spans = {n: tuple(map(float, s)) for n, s in spans.items() if f"_{n}_first" not in df.columns}
         if self.times:
             times = F.col(self.times)
-            first = F.size(F.filter(times, lambda t: t < low))
-            return first, F.size(F.filter(times, lambda t: (t >= low) & (t <= high)))
-        t0, rate, n = F.col(self.t0), F.col(self.sfreq), F.col(self.n_times)
-        # The closed form may be one sample off in the last bit; the comparisons settle it.
-        c = F.ceil((low - t0) * rate).cast("int")
-        first = F.when(self.time(c - 1) >= low, c - 1).when(self.time(c) >= low, c).otherwise(c + 1)
-        f = F.floor((high - t0) * rate).cast("int")
-        last = F.when(self.time(f + 1) <= high, f + 1).when(self.time(f) <= high, f).otherwise(f - 1)
-        first = F.greatest(first, F.lit(0))
-        last = F.least(last, n - 1)
-        return first, F.greatest(last - first + 1, F.lit(0))
+            new = {}
+            for n, (low, high) in spans.items():
+                new[f"_{n}_first"] = F.size(F.filter(times, lambda t, low=low: t < low))
+                new[f"_{n}_count"] = F.size(F.filter(times, lambda t, low=low, high=high: (t >= low) & (t <= high)))
+            return df.withColumns(new)
+        t0, rate, n_times = F.col(self.t0), F.col(self.sfreq), F.col(self.n_times)
+        guess, first, last, count = {}, {}, {}, {}
+        for n, (low, high) in spans.items():
+            guess[f"_{n}_c"] = F.ceil((F.lit(low) - t0) * rate).cast("int")
+            guess[f"_{n}_f"] = F.floor((F.lit(high) - t0) * rate).cast("int")
+            c, f = F.col(f"_{n}_c"), F.col(f"_{n}_f")
+            # The closed form may be one sample off in the last bit; the comparisons settle it.
+            first[f"_{n}_first"] = F.greatest(F.lit(0), F.when(self.time(c - 1) >= low, c - 1).when(
+                self.time(c) >= low, c).otherwise(c + 1))
+            last[f"_{n}_last"] = F.least(n_times - 1, F.when(self.time(f + 1) <= high, f + 1).when(
+                self.time(f) <= high, f).otherwise(f - 1))
+            count[f"_{n}_count"] = F.greatest(F.col(f"_{n}_last") - F.col(f"_{n}_first") + 1, F.lit(0))
+        return df.withColumns(guess).withColumns({**first, **last}).withColumns(count).drop(*guess, *last)
+
+
+def without_helpers(df: DataFrame, *kept: str) -> DataFrame:
+    """Drop the columns that start with an underscore, but for those named."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("_") or c in kept])
 
 
 def cut(signal: Column, first: Column, count: Column) -> Column:
@@ -70,16 +88,15 @@ def first_extreme(values: Column, largest: bool) -> Column:
 
 
 def entropy_bits(weights: Column) -> Column:
-    """Shannon entropy of the weights taken as shares; a share of 0 adds 0."""
+    """Shannon entropy of the weights taken as shares w / S: log2 S - sum(w log2 w) / S; a weight of 0 adds 0."""
+    terms = F.transform(weights, lambda w: F.when(w > 0, w * F.log2(w)).otherwise(F.when(F.isnan(w), w).otherwise(0.0)))
     whole = total(weights)
-    terms = F.transform(weights, lambda w: F.when(w > 0, -w / whole * F.log2(w / whole)).otherwise(F.lit(0.0)))
-    return F.when(whole > 0, total(terms))
+    return F.when(whole > 0, F.log2(whole) - total(terms) / whole)
 
 
 def line_slope(x: Column, y: Column) -> Column:
-    """Least-squares slope of y on x over paired arrays."""
-    n = F.size(x)
-    mx, my = F.try_divide(total(x), n), F.try_divide(total(y), n)
-    sxy = total(F.zip_with(x, y, lambda a, b: (a - mx) * (b - my)))
-    sxx = total(F.transform(x, lambda a: (a - mx) * (a - mx)))
+    """Least-squares slope of y on x over paired arrays of at least two points."""
+    n, sx, sy = F.size(x), total(x), total(y)
+    sxy = total(F.zip_with(x, y, lambda a, b: a * b)) - F.try_divide(sx * sy, n)
+    sxx = total(F.transform(x, lambda a: a * a)) - F.try_divide(sx * sx, n)
     return F.when(n > 1, F.try_divide(sxy, sxx))

@@ -8,16 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evoq.config import KEY, SignalSpec
-from evoq.functions.arrays import line_slope
+from evoq.functions.arrays import line_slope, without_helpers
 from evoq.functions.kernels import fluctuations, match_counts
 from evoq.functions.numbers import missing_as_null
-from evoq.operators.erp import window
+from evoq.operators.erp import enough, samples, with_windows
 
 
 def lagged_rows(df: DataFrame, spec: SignalSpec, lags: int) -> DataFrame:
     """One row per sample with the next ``lags`` samples beside it: x0, x1, .. (NULL past the end), length n."""
-    _, count, samples = window(df, spec, "psd")
-    cut_once = df.select(*KEY, samples.alias("_s"), count.alias("n"))
+    cut_once = with_windows(df, spec, "psd").select(*KEY, samples("psd").alias("_s"), F.col("_psd_count").alias("n"))
     columns = [F.slice("_s", F.lit(k + 1), F.greatest(F.col("n") - k, F.lit(0))).alias(f"x{k}") for k in range(lags + 1)]
     return cut_once.select(*KEY, "n", F.posexplode_outer(F.arrays_zip(*columns)).alias("i", "r")) \
         .select(*KEY, "n", "i", *[F.col(f"r.x{k}").alias(f"x{k}") for k in range(lags + 1)])
@@ -73,15 +72,13 @@ def neighbour_features(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFr
 
 def with_sample_entropy(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
     """-ln of the share of matching pairs of 2 that also match in the third sample; NULL without matches."""
-    _, count, samples = window(df, spec, "psd")
-    counts = match_counts(F.when(count > 3, samples), spec.entropy_tolerance)
+    out = with_windows(df, spec, "psd").withColumn("_m", match_counts(enough("psd", 4), spec.entropy_tolerance))
     ratio = F.try_divide(F.col("_m.long"), F.col("_m.short"))
-    return df.withColumn("_m", counts).withColumn("sample_entropy", -F.ln(F.when(ratio > 0, ratio))).drop("_m")
+    return without_helpers(out.withColumn("sample_entropy", -F.ln(F.when(ratio > 0, ratio))), *df.columns)
 
 
 def with_dfa(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
     """Slope of log fluctuation on log box size."""
-    _, count, samples = window(df, spec, "psd")
-    curve = fluctuations(F.when(count >= spec.min_samples, samples), spec.dfa_sizes)
-    return df.withColumn("_f", curve) \
-        .withColumn("dfa", missing_as_null(line_slope(F.col("_f.size"), F.col("_f.value")))).drop("_f")
+    out = with_windows(df, spec, "psd").withColumn("_f", fluctuations(enough("psd", spec.min_samples), spec.dfa_sizes))
+    out = out.withColumn("dfa", missing_as_null(line_slope(F.col("_f.size"), F.col("_f.value"))))
+    return without_helpers(out, *df.columns)

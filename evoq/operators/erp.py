@@ -1,4 +1,4 @@
-"""Peaks of the evoked response."""
+"""Windows of an epoch and the peaks of the evoked response."""
 
 from __future__ import annotations
 
@@ -6,20 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evoq.config import SignalSpec
-from evoq.functions.arrays import Axis, cut, first_extreme, mean_of
+from evoq.functions.arrays import Axis, cut, first_extreme, mean_of, without_helpers
 from evoq.functions.numbers import missing_as_null
 
-SIGNAL = "signal"
 
+def with_windows(df: DataFrame, spec: SignalSpec, *names: str) -> DataFrame:
+    """Adds ``_<name>_first`` and ``_<name>_count`` for the named windows (all of them by default)."""
+    return Axis.of(df).with_bounds(df, {n: spec.windows[n] for n in names or spec.windows})
 
-def window(df: DataFrame, spec: SignalSpec, name: str) -> tuple[Column, Column, Column]:
-    """First index, sample count and samples of a named window."""
-    first, count = Axis.of(df.columns).bounds(spec.windows[name])
-    return first, count, cut(F.col(SIGNAL), first, count)
 
+def samples(name: str) -> Column:
+    """The samples of a window whose bounds are there."""
+    return cut(F.col("signal"), F.col(f"_{name}_first"), F.col(f"_{name}_count"))
 
-def baseline_mean(df: DataFrame, spec: SignalSpec) -> Column:
-    return F.coalesce(mean_of(window(df, spec, "baseline")[2]), F.lit(0.0))
+
+def enough(name: str, least: int) -> Column:
+    """The samples of a window, NULL where there are fewer than ``least``."""
+    return F.when(F.col(f"_{name}_count") >= least, samples(name))
+
+
+def baseline_mean() -> Column:
+    return F.coalesce(mean_of(samples("baseline")), F.lit(0.0))
 
 
 def with_peaks(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
@@ -27,23 +34,23 @@ def with_peaks(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
 
     All NULL where either window holds no sample.
     """
-    axis = Axis.of(df.columns)
-    out = df.withColumn("_base", baseline_mean(df, spec))
-    for name in ("n2", "p2"):
-        first, _, samples = window(df, spec, name)
-        out = out.withColumns({f"_{name}_first": first, f"_{name}": samples})
-    both = (F.size("_n2") > 0) & (F.size("_p2") > 0)
-    for name in ("n2", "p2"):
-        out = out.withColumn(f"_{name}_at", F.when(both, first_extreme(F.col(f"_{name}"), largest=name == "p2")))
-    for name in ("n2", "p2"):
-        at = F.col(f"_{name}_at")
-        out = out.withColumns({
-            f"{name}_amp": missing_as_null(F.get(f"_{name}", at) - F.col("_base")),
-            f"{name}_lat": axis.time(F.col(f"_{name}_first") + at)})
-    return out.withColumn("n2p2_amp", F.col("p2_amp") - F.col("n2_amp")) \
-        .drop("_base", *[f"_{n}{s}" for n in ("n2", "p2") for s in ("", "_first", "_at")])
+    axis = Axis.of(df)
+    out = with_windows(df, spec, "baseline", "n2", "p2")
+    out = out.withColumns({"_base": baseline_mean(), "_n2": samples("n2"), "_p2": samples("p2")})
+    both = (F.col("_n2_count") > 0) & (F.col("_p2_count") > 0)
+    out = out.withColumns({f"_{n}_at": F.when(both, first_extreme(F.col(f"_{n}"), largest=n == "p2"))
+                           for n in ("n2", "p2")})
+    peaks = {}
+    for n in ("n2", "p2"):
+        at = F.col(f"_{n}_at")
+        peaks[f"{n}_amp"] = missing_as_null(F.get(f"_{n}", at) - F.col("_base"))
+        peaks[f"{n}_lat"] = axis.time(F.col(f"_{n}_first") + at)
+    out = out.withColumns(peaks).withColumn("n2p2_amp", F.col("p2_amp") - F.col("n2_amp"))
+    return without_helpers(out, *df.columns)
 
 
 def subtract_baseline(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
-    return df.withColumn("_base", baseline_mean(df, spec)) \
-        .withColumn(SIGNAL, F.transform(SIGNAL, lambda v: v - F.col("_base"))).drop("_base")
+    out = with_windows(df, spec, "baseline").withColumn("_base", baseline_mean())
+    level = F.array_repeat(F.col("_base"), F.size("signal"))
+    out = out.withColumn("signal", F.zip_with("signal", level, lambda v, b: v - b))
+    return without_helpers(out, *df.columns)

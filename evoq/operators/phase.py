@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evoq.config import KEY, SignalSpec
-from evoq.functions.arrays import cut
+from evoq.functions.arrays import without_helpers
 from evoq.functions.kernels import band_pass, unit_phasors
 from evoq.functions.numbers import missing_as_null, resultant_length
 from evoq.operators.channels import named
-from evoq.operators.erp import window
+from evoq.operators.erp import enough, with_windows
 
 
 def pair_channels(spec: SignalSpec) -> list[str]:
@@ -24,10 +24,8 @@ def with_filtered(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
 
 def phasors(df: DataFrame, spec: SignalSpec = SignalSpec(), filtered: bool = True) -> DataFrame:
     """``z`` with the cosine and sine of the phase in the locking window; each channel is filtered once."""
-    first, count, _ = window(df, spec, "plv")
-    source = with_filtered(df, spec) if filtered else df
-    part = F.when(count >= spec.min_samples, cut(F.col("signal"), first, count))
-    return source.withColumn("z", unit_phasors(part))
+    source = with_windows(with_filtered(df, spec) if filtered else df, spec, "plv")
+    return without_helpers(source.withColumn("z", unit_phasors(enough("plv", spec.min_samples))), *df.columns)
 
 
 def phase_locking(epochs: DataFrame, spec: SignalSpec = SignalSpec(), filtered: bool = True) -> DataFrame:

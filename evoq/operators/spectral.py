@@ -6,74 +6,80 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evoq.config import SignalSpec, Span
-from evoq.functions.arrays import cut, entropy_bits, total
+from evoq.functions.arrays import cut, entropy_bits, total, without_helpers
 from evoq.functions.kernels import welch
 from evoq.functions.numbers import band_label, capped_high, missing_as_null, percent_change
-from evoq.operators.erp import window
+from evoq.operators.erp import enough, with_windows
 
 
-def spectrum(df: DataFrame, spec: SignalSpec, name: str, segment: int) -> tuple[Column, Column]:
-    """Density of a window and the segment length used; NULL under the least sample count."""
-    _, count, samples = window(df, spec, name)
-    enough = count >= spec.min_samples
-    return welch(F.when(enough, samples), F.col("sfreq"), segment), F.when(enough, F.least(count, F.lit(segment)))
-
-
-def band_power(psd: Column, n: Column, sfreq: Column, low: float, high: Column) -> Column:
-    """Trapezoid over the bins with low <= f <= high: 0 for a single bin, NULL for none."""
-    step = F.lit(1.0) / (n * (F.lit(1.0) / sfreq))
-    # Smallest and largest bin inside, settled by comparing the bin frequencies themselves.
-    c = F.ceil(F.lit(low) / step)
-    first = F.when((c - 1) * step >= low, c - 1).when(c * step >= low, c).otherwise(c + 1)
-    f = F.floor(high / step)
-    last = F.when((f + 1) * step <= high, f + 1).when(f * step <= high, f).otherwise(f - 1)
-    first, last = F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.size(psd) - 1).cast("int")
-    bins = cut(psd, first, F.greatest(last - first + 1, F.lit(0)))
-    ends = (F.get(bins, F.lit(0)) + F.get(bins, F.size(bins) - 1)) / 2
-    return missing_as_null(F.when(last >= first, step * (total(bins) - ends)))
-
-
-def _bands(df: DataFrame, psd: str, n: str, bands: dict[str, Span], cap: float | None) -> dict[str, Column]:
-    rate = F.col("sfreq")
-    return {name: band_power(F.col(psd), F.col(n), rate, low,
-                             F.lit(high) if cap is None else capped_high(high, rate, cap))
-            for name, (low, high) in bands.items()}
+def with_spectra(df: DataFrame, spec: SignalSpec, segments: dict[str, int]) -> DataFrame:
+    """Adds ``_<window>_psd`` and ``_<window>_n``, the segment length used; both NULL for too few samples."""
+    missing = {w: s for w, s in segments.items() if f"_{w}_psd" not in df.columns}
+    out = with_windows(df, spec, *missing) if missing else df
+    lengths = {f"_{w}_n": F.when(F.col(f"_{w}_count") >= spec.min_samples, F.least(F.col(f"_{w}_count"), F.lit(s)))
+               for w, s in missing.items()}
+    return out.withColumns({**lengths, **{f"_{w}_psd": welch(enough(w, spec.min_samples), F.col("sfreq"), s)
+                                          for w, s in missing.items()}})
 
 
 def with_psd(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
-    """Adds ``_psd`` and ``_psd_n``, shared by the band powers and the spectral entropy."""
-    psd, n = spectrum(df, spec, "psd", spec.psd_segment)
-    return df.withColumns({"_psd": psd, "_psd_n": n})
+    """The spectrum shared by the band powers and the spectral entropy."""
+    return with_spectra(df, spec, {"psd": spec.psd_segment})
+
+
+def with_powers(df: DataFrame, powers: dict[str, tuple[str, float, Column]]) -> DataFrame:
+    """Adds a power per entry ``name: (window, low, high)``: the trapezoid over the bins with low <= f <= high, 0 for
+    a single bin, NULL for none."""
+    windows = {w for w, _, _ in powers.values()}
+    out = df.withColumns({f"_{w}_df": F.lit(1.0) / (F.col(f"_{w}_n") * (F.lit(1.0) / F.col("sfreq"))) for w in windows})
+    guess, ends, bins, values = {}, {}, {}, {}
+    for name, (w, low, high) in powers.items():
+        step, c, f = F.col(f"_{w}_df"), F.col(f"_{name}_c"), F.col(f"_{name}_f")
+        guess[f"_{name}_c"], guess[f"_{name}_f"] = F.ceil(F.lit(low) / step), F.floor(high / step)
+        # The bin frequencies themselves settle which bins are inside.
+        first = F.when((c - 1) * step >= low, c - 1).when(c * step >= low, c).otherwise(c + 1)
+        last = F.when((f + 1) * step <= high, f + 1).when(f * step <= high, f).otherwise(f - 1)
+        ends[f"_{name}_i"] = F.greatest(first, F.lit(0)).cast("int")
+        ends[f"_{name}_j"] = F.least(last, F.size(f"_{w}_psd") - 1).cast("int")
+        i, j = F.col(f"_{name}_i"), F.col(f"_{name}_j")
+        bins[f"_{name}_bins"] = F.when(j >= i, cut(F.col(f"_{w}_psd"), i, j - i + 1))
+        inside = F.col(f"_{name}_bins")
+        values[name] = missing_as_null(step * (total(inside) - (F.get(inside, F.lit(0)) + F.element_at(inside, -1)) / 2))
+    return out.withColumns(guess).withColumns(ends).withColumns(bins).withColumns(values)
 
 
 def with_band_powers(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
-    powers = _bands(df, "_psd", "_psd_n", spec.bands, spec.nyquist_margin)
-    return df.withColumns({f"psd_{k}": v for k, v in powers.items()})
+    """``psd_<band>`` over the spectral window, the upper edges capped below the Nyquist rate."""
+    out = with_powers(with_psd(df, spec), {f"psd_{b}": ("psd", low, _cap(high, spec)) for b, (low, high) in spec.bands.items()})
+    return without_helpers(out, *df.columns)
+
+
+def _cap(high: float, spec: SignalSpec) -> Column:
+    return capped_high(high, F.col("sfreq"), spec.nyquist_margin)
 
 
 def with_gamma(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
     """Gamma power after the stimulus and the band used; a short window reports the band without the cap."""
-    psd, n = spectrum(df, spec, "gamma", spec.psd_segment)
     low, high = spec.bands["gamma"]
-    used = F.when(F.col("_gamma_n").isNull(), F.lit(high)).otherwise(
-        capped_high(high, F.col("sfreq"), spec.nyquist_margin))
-    out = df.withColumns({"_gamma": psd, "_gamma_n": n})
-    power = _bands(out, "_gamma", "_gamma_n", {"gamma": (low, high)}, spec.nyquist_margin)["gamma"]
-    return out.withColumns({"gamma_power": power, "gamma_band_hz": band_label(low, used)}).drop("_gamma", "_gamma_n")
+    out = with_spectra(df, spec, {"gamma": spec.psd_segment})
+    out = with_powers(out, {"gamma_power": ("gamma", low, _cap(high, spec))})
+    used = F.when(F.col("_gamma_n").isNull(), F.lit(high)).otherwise(_cap(high, spec))
+    return without_helpers(out.withColumn("gamma_band_hz", band_label(low, used)), *df.columns)
 
 
 def with_erd(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
     """Drop of alpha and beta power from baseline to task, in percent of the baseline."""
-    base, base_n = spectrum(df, spec, "baseline", spec.erd_segment)
-    task, task_n = spectrum(df, spec, "erd_task", spec.erd_segment)
-    out = df.withColumns({"_eb": base, "_eb_n": base_n, "_et": task, "_et_n": task_n})
-    bands = {b: spec.bands[b] for b in ("alpha", "beta")}
-    before, during = _bands(out, "_eb", "_eb_n", bands, None), _bands(out, "_et", "_et_n", bands, None)
-    out = out.withColumns({f"{b}_erd_pct": percent_change(before[b], during[b]) for b in bands})
-    return out.drop("_eb", "_eb_n", "_et", "_et_n")
-
-
-def with_spectral_entropy(df: DataFrame) -> DataFrame:
-    """Entropy of the spectrum over log2 of its bin count; the rate cancels out, so ``_psd`` serves."""
-    psd = F.col("_psd")
-    return df.withColumn("spectral_entropy", missing_as_null(F.try_divide(entropy_bits(psd), F.log2(F.size(psd)))))
+    bands: dict[str, Span] = {b: spec.bands[b] for b in ("alpha", "beta")}
+    out = with_spectra(df, spec, {"baseline": spec.erd_segment, "erd_task": spec.erd_segment})
+    out = with_powers(out, {f"_{b}_{w}": (w, low, F.lit(high)) for b, (low, high) in bands.items()
+                            for w in ("baseline", "erd_task")})
+    out = out.withColumns({f"{b}_erd_pct": percent_change(F.col(f"_{b}_baseline"), F.col(f"_{b}_erd_task")) for b in bands})
+    return without_helpers(out, *df.columns)
+
+
+def with_spectral_entropy(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
+    """Entropy of the spectrum over log2 of its bin count; the rate cancels out, so the same spectrum serves."""
+    psd = F.col("_psd_psd")
+    out = with_psd(df, spec).withColumn(
+        "spectral_entropy", missing_as_null(F.try_divide(entropy_bits(psd), F.log2(F.size(psd)))))
+    return without_helpers(out, *df.columns)

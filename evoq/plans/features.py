@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evoq.config import KEY, SignalSpec
+from evoq.functions.arrays import without_helpers
 from evoq.operators import channels, complexity, erp, phase, spectral, trials
 from evoq.sources import signals
 
@@ -20,15 +21,17 @@ def feature_columns(spec: SignalSpec = SignalSpec()) -> list[str]:
 
 
 def row_features(vertex: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
-    """All features that need only the epoch's own row: no shuffle, one visit to Python for all spectra."""
-    out = erp.with_peaks(vertex, spec)
+    """All features that need only the epoch's own row: no shuffle, one visit to Python for all kernels."""
+    out = erp.with_windows(vertex, spec)
+    out = erp.with_peaks(out, spec)
     out = spectral.with_gamma(out, spec)
     out = spectral.with_erd(out, spec)
-    out = spectral.with_band_powers(spectral.with_psd(out, spec), spec)
-    out = spectral.with_spectral_entropy(out)
+    out = spectral.with_psd(out, spec)
+    out = spectral.with_band_powers(out, spec)
+    out = spectral.with_spectral_entropy(out, spec)
     out = complexity.with_sample_entropy(out, spec)
     out = complexity.with_dfa(out, spec)
-    return out.drop("signal", "_psd", "_psd_n")
+    return without_helpers(out.drop("signal"))
 
 
 def feature_table(epochs: DataFrame, labels: DataFrame | None = None, spec: SignalSpec = SignalSpec()) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from evoq.functions import kernels
-from evoq.functions.arrays import Axis, cut
+from evoq.functions.arrays import Axis
 from evoq.functions.numbers import band_label, capped_high, percent_change, resultant_length
 from evoq.operators import channels, complexity, erp, phase, spectral, summaries, trials
 from evoq.plans import features
@@ -68,11 +68,9 @@ def a16(spark, sf):
 
 @query("P11_window_mask", "SELECT epoch, i, t, v FROM smp WHERE " + between("n2"), (I.EPOCHS_SQL.replace("i - 1 AS i", "(i - 1)::INT AS i"),))
 def p11(spark, sf):
-    first, count = Axis().bounds(W["n2"])
-    axis = Axis()
-    e = I.epochs(spark, sf).withColumns({"first": first, "count": count})
-    return e.select("epoch", "sfreq", "t0", "first", F.posexplode(cut(F.col("signal"), F.col("first"), F.col("count"))).alias("k", "v")) \
-        .withColumn("i", F.col("first") + F.col("k")).select("epoch", "i", axis.time(F.col("i")).alias("t"), "v")
+    e = erp.with_windows(I.epochs(spark, sf), SPEC, "n2")
+    return e.select("epoch", "sfreq", "t0", "_n2_first", F.posexplode(erp.samples("n2")).alias("k", "v")) \
+        .withColumn("i", F.col("_n2_first") + F.col("k")).select("epoch", "i", Axis().time(F.col("i")).alias("t"), "v")
 
 
 @query("P12_minimum_length", """SELECT epoch, CASE WHEN count(*) >= 8 THEN count(*)::INT END AS n_samples
@@ -150,15 +148,14 @@ CAP = 27.0
 
 @query("X2_welch_psd", f"SELECT epoch, k::INT AS k, {rnd('p', 12)} AS p FROM psd", (I.EPOCHS_SQL, PSD))
 def x2(spark, sf):
-    return rounded(spectral.with_psd(I.epochs(spark, sf), SPEC).select("epoch", F.posexplode("_psd").alias("k", "p")), 12)
+    return rounded(spectral.with_psd(I.epochs(spark, sf), SPEC).select("epoch", F.posexplode("_psd_psd").alias("k", "p")), 12)
 
 
 @query("W4_overlapping_segments", f"SELECT epoch, s::INT AS s, count(*) AS n, {rnd('sum(v)')} AS total FROM psd_g GROUP BY epoch, s",
        (I.EPOCHS_SQL, PSD))
 def w4(spark, sf):
     n = SPEC.psd_segment
-    rows = erp.window(I.epochs(spark, sf), SPEC, "psd")
-    e = I.epochs(spark, sf).select("epoch", rows[2].alias("x"))
+    e = erp.with_windows(I.epochs(spark, sf), SPEC, "psd").select("epoch", erp.samples("psd").alias("x"))
     starts = F.sequence(F.lit(0), F.size("x") - n, F.lit(n - n // 2))
     return rounded(e.select("epoch", F.posexplode(F.transform(starts, lambda a: F.slice("x", a + 1, F.lit(n)))).alias("s", "part"))
                    .select("epoch", "s", F.explode("part").alias("v")).groupBy("epoch", "s")
@@ -167,23 +164,22 @@ def w4(spark, sf):
 
 @query("X3_band_power", f"SELECT epoch, {rnd(band_sql('psd', 8, 13), 12)} AS power FROM ep", (I.EPOCHS_SQL, PSD))
 def x3(spark, sf):
-    e = spectral.with_psd(I.epochs(spark, sf), SPEC)
-    return rounded(e.select("epoch", spectral.band_power(F.col("_psd"), F.col("_psd_n"), F.col("sfreq"), 8.0, F.lit(13.0)).alias("power")), 12)
+    e = spectral.with_powers(spectral.with_psd(I.epochs(spark, sf), SPEC), {"power": ("psd", 8.0, F.lit(13.0))})
+    return rounded(e.select("epoch", "power"), 12)
 
 
 @query("P13_band_mask_empty_is_null", f"""SELECT epoch, {rnd(band_sql('psd', 6.5, 7.5), 12)} AS none, {rnd(band_sql('psd', 7.5, 8.5), 12)} AS one,
     {rnd(band_sql('psd', 7.5, 10.5), 12)} AS two FROM ep""", (I.EPOCHS_SQL, PSD))
 def p13(spark, sf):
-    e = spectral.with_psd(I.epochs(spark, sf), SPEC)
-    power = lambda lo, hi: spectral.band_power(F.col("_psd"), F.col("_psd_n"), F.col("sfreq"), lo, F.lit(hi))
-    return rounded(e.select("epoch", power(6.5, 7.5).alias("none"), power(7.5, 8.5).alias("one"), power(7.5, 10.5).alias("two")), 12)
+    bands = {"none": ("psd", 6.5, F.lit(7.5)), "one": ("psd", 7.5, F.lit(8.5)), "two": ("psd", 7.5, F.lit(10.5))}
+    return rounded(spectral.with_powers(spectral.with_psd(I.epochs(spark, sf), SPEC), bands).select("epoch", *bands), 12)
 
 
 @query("A17_trapezoid", f"""SELECT epoch, {rnd('sum(area)', 12)} AS area FROM (SELECT epoch,
     (p + lead(p) OVER (PARTITION BY epoch ORDER BY k)) / 2 * 2.0 AS area FROM psd) GROUP BY epoch""", (I.EPOCHS_SQL, PSD))
 def a17(spark, sf):
-    e = spectral.with_psd(I.epochs(spark, sf), SPEC)
-    return rounded(e.select("epoch", spectral.band_power(F.col("_psd"), F.col("_psd_n"), F.col("sfreq"), 0.0, F.lit(32.0)).alias("area")), 12)
+    e = spectral.with_powers(spectral.with_psd(I.epochs(spark, sf), SPEC), {"area": ("psd", 0.0, F.lit(32.0))})
+    return rounded(e.select("epoch", "area"), 12)
 
 
 BANDS_SQL = ", ".join(f"{rnd(band_sql('psd', lo, min(hi, CAP)), 12)} AS psd_{b}" for b, (lo, hi) in SPEC.bands.items())
@@ -191,7 +187,7 @@ BANDS_SQL = ", ".join(f"{rnd(band_sql('psd', lo, min(hi, CAP)), 12)} AS psd_{b}"
 
 @query("X4_psd_bands", f"SELECT epoch, {BANDS_SQL} FROM ep", (I.EPOCHS_SQL, PSD))
 def x4(spark, sf):
-    e = spectral.with_band_powers(spectral.with_psd(I.epochs(spark, sf), SPEC), SPEC)
+    e = spectral.with_band_powers(I.epochs(spark, sf), SPEC)
     return rounded(e.select("epoch", *[f"psd_{b}" for b in SPEC.bands]), 12)
 
 
@@ -301,7 +297,7 @@ def x10(spark, sf):
 @query("X11_spectral_entropy", f"""SELECT epoch, {rnd('-sum(q * log2(q)) / log2(count(*))')} AS spectral_entropy FROM
     (SELECT epoch, p / sum(p) OVER (PARTITION BY epoch) AS q FROM psd) GROUP BY epoch""", (I.EPOCHS_SQL, PSD))
 def x11(spark, sf):
-    return rounded(spectral.with_spectral_entropy(spectral.with_psd(I.epochs(spark, sf), SPEC)).select("epoch", "spectral_entropy"))
+    return rounded(spectral.with_spectral_entropy(I.epochs(spark, sf), SPEC).select("epoch", "spectral_entropy"))
 
 
 @query("X12_sample_entropy", f"""SELECT ep.epoch, {rnd('CASE WHEN long > 0 THEN -ln(long / short) END')} AS sample_entropy FROM ep LEFT JOIN
@@ -322,8 +318,8 @@ def x12(spark, sf):
     ON m.epoch = ep.epoch""", (I.EPOCHS_SQL, LAG))
 def j11(spark, sf):
     e = I.epochs(spark, sf)
-    counts = kernels.match_counts(erp.window(e, SPEC, "psd")[2], SPEC.entropy_tolerance)
-    return e.withColumn("m", counts).select("epoch", "m.short", "m.long")
+    counts = kernels.match_counts(erp.samples("psd"), SPEC.entropy_tolerance)
+    return erp.with_windows(e, SPEC, "psd").withColumn("m", counts).select("epoch", "m.short", "m.long")
 
 
 @query("X13_higuchi", f"""SELECT epoch, {rnd('regr_slope(ln(len), ln(1.0 / k))')} AS higuchi_fd FROM (SELECT epoch, k,
@@ -349,8 +345,8 @@ def x14(spark, sf):
 @query("W6_cumulative_profile", f"SELECT epoch, i::INT AS i, {rnd('y')} AS y FROM wk", (I.EPOCHS_SQL, LAG, WALK))
 def w6(spark, sf):
     from pyspark.sql import Window
-    e = I.epochs(spark, sf)
-    rows = e.select("epoch", F.posexplode(erp.window(e, SPEC, "psd")[2]).alias("i", "v"))
+    e = erp.with_windows(I.epochs(spark, sf), SPEC, "psd")
+    rows = e.select("epoch", F.posexplode(erp.samples("psd")).alias("i", "v"))
     w = Window.partitionBy("epoch")  # one epoch, so bounded by its samples
     return rounded(rows.withColumn("d", F.col("v") - F.avg("v").over(w))
                    .select("epoch", "i", F.sum("d").over(w.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("y")))
