@@ -30,40 +30,42 @@ class Axis:
     def of(cls, df: DataFrame) -> "Axis":
         return cls(times="times" if "times" in df.columns else None)
 
-    def time(self, index: Column) -> Column:
-        if self.times:
-            return F.get(F.col(self.times), index)
-        return F.col(self.t0) + index / F.col(self.sfreq)
+    def time(self, index: str) -> str:
+        """SQL for the time of a sample."""
+        return f"get({self.times}, {index})" if self.times else f"({self.t0} + ({index}) / {self.sfreq})"
 
     def with_bounds(self, df: DataFrame, spans: dict[str, Span]) -> DataFrame:
         """Adds ``_<name>_first`` and ``_<name>_count`` of the samples with low <= t <= high, by exact comparison
         of the times. Names that are there already are left alone."""
-        spans = {n: tuple(map(float, s)) for n, s in spans.items() if f"_{n}_first" not in df.columns}
-        if self.times:
-            times = F.col(self.times)
-            new = {}
-            for n, (low, high) in spans.items():
-                new[f"_{n}_first"] = F.size(F.filter(times, lambda t, low=low: t < low))
-                new[f"_{n}_count"] = F.size(F.filter(times, lambda t, low=low, high=high: (t >= low) & (t <= high)))
-            return df.withColumns(new)
-        t0, rate, n_times = F.col(self.t0), F.col(self.sfreq), F.col(self.n_times)
-        guess, first, last, count = {}, {}, {}, {}
+        have = set(df.columns)
+        guess, ends, count = {}, {}, {}
         for n, (low, high) in spans.items():
-            guess[f"_{n}_c"] = F.ceil((F.lit(low) - t0) * rate).cast("int")
-            guess[f"_{n}_f"] = F.floor((F.lit(high) - t0) * rate).cast("int")
-            c, f = F.col(f"_{n}_c"), F.col(f"_{n}_f")
+            if f"_{n}_first" in have:
+                continue
+            low, high = f"({float(low)!r}D)", f"({float(high)!r}D)"
+            if self.times:
+                ends[f"_{n}_first"] = F.expr(f"size(filter({self.times}, t -> t < {low}))")
+                count[f"_{n}_count"] = F.expr(f"size(filter({self.times}, t -> t >= {low} AND t <= {high}))")
+                continue
+            c, f = f"_{n}_c", f"_{n}_f"
+            guess[c] = F.expr(f"cast(ceil(({low} - {self.t0}) * {self.sfreq}) AS int)")
+            guess[f] = F.expr(f"cast(floor(({high} - {self.t0}) * {self.sfreq}) AS int)")
             # The closed form may be one sample off in the last bit; the comparisons settle it.
-            first[f"_{n}_first"] = F.greatest(F.lit(0), F.when(self.time(c - 1) >= low, c - 1).when(
-                self.time(c) >= low, c).otherwise(c + 1))
-            last[f"_{n}_last"] = F.least(n_times - 1, F.when(self.time(f + 1) <= high, f + 1).when(
-                self.time(f) <= high, f).otherwise(f - 1))
-            count[f"_{n}_count"] = F.greatest(F.col(f"_{n}_last") - F.col(f"_{n}_first") + 1, F.lit(0))
-        return df.withColumns(guess).withColumns({**first, **last}).withColumns(count).drop(*guess, *last)
-
-
-def without_helpers(df: DataFrame, *kept: str) -> DataFrame:
+            ends[f"_{n}_first"] = F.expr(
+                f"greatest(0, CASE WHEN {self.time(c + ' - 1')} >= {low} THEN {c} - 1 "
+                f"WHEN {self.time(c)} >= {low} THEN {c} ELSE {c} + 1 END)")
+            ends[f"_{n}_last"] = F.expr(
+                f"least({self.n_times} - 1, CASE WHEN {self.time(f + ' + 1')} <= {high} THEN {f} + 1 "
+                f"WHEN {self.time(f)} <= {high} THEN {f} ELSE {f} - 1 END)")
+            count[f"_{n}_count"] = F.expr(f"greatest(_{n}_last - _{n}_first + 1, 0)")
+        for step in (guess, ends, count):
+            df = df.withColumns(step) if step else df
+        return df.drop(*guess, *[e for e in ends if e.endswith("_last")])
+
+
+def without_helpers(df: DataFrame, kept: list[str] = ()) -> DataFrame:
     """Drop the columns that start with an underscore, but for those named."""
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("_") or c in kept])
+    return df.drop(*[c for c in df.columns if c.startswith("_") and c not in kept])
 
 
 def cut(signal: Column, first: Column, count: Column) -> Column:

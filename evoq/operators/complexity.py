@@ -17,37 +17,35 @@ from evoq.operators.erp import enough, samples, with_windows
 def lagged_rows(df: DataFrame, spec: SignalSpec, lags: int) -> DataFrame:
     """One row per sample with the next ``lags`` samples beside it: x0, x1, .. (NULL past the end), length n."""
     cut_once = with_windows(df, spec, "psd").select(*KEY, samples("psd").alias("_s"), F.col("_psd_count").alias("n"))
-    columns = [F.slice("_s", F.lit(k + 1), F.greatest(F.col("n") - k, F.lit(0))).alias(f"x{k}") for k in range(lags + 1)]
-    return cut_once.select(*KEY, "n", F.posexplode_outer(F.arrays_zip(*columns)).alias("i", "r")) \
-        .select(*KEY, "n", "i", *[F.col(f"r.x{k}").alias(f"x{k}") for k in range(lags + 1)])
+    columns = [f"slice(_s, {k + 1}, greatest(n - {k}, 0)) AS x{k}" for k in range(lags + 1)]
+    return cut_once.selectExpr(*KEY, "n", *columns) \
+        .selectExpr(*KEY, "n", f"posexplode_outer(arrays_zip({', '.join(f'x{k}' for k in range(lags + 1))})) AS (i, r)") \
+        .selectExpr(*KEY, "n", "i", *[f"r.x{k}" for k in range(lags + 1)])
 
 
 def _pattern_entropy() -> Column:
     """Share of each of the six orders of three neighbours; earlier samples go first among equals."""
-    a, b, c = F.col("x0"), F.col("x1"), F.col("x2")
-    orders = [(a <= b) & (b <= c), (a <= c) & (c < b), (b < a) & (a <= c),
-              (b <= c) & (c < a), (c < a) & (a <= b), (c < b) & (b < a)]
-    n = F.count("x2")
-    share = [F.try_divide(F.count_if(o), n) for o in orders]
-    terms = [F.when(s > 0, -s * F.log2(s)).otherwise(F.lit(0.0)) for s in share]
-    return F.when(n > 0, sum(terms[1:], terms[0]) / math.log2(6))
+    orders = ["x0 <= x1 AND x1 <= x2", "x0 <= x2 AND x2 < x1", "x1 < x0 AND x0 <= x2",
+              "x1 <= x2 AND x2 < x0", "x2 < x0 AND x0 <= x1", "x2 < x1 AND x1 < x0"]
+    counts = [f"count_if({o})" for o in orders]
+    terms = [f"coalesce({c} * log2(nullif({c}, 0)), 0D)" for c in counts]
+    n = "count(x2)"
+    return F.expr(f"CASE WHEN {n} > 0 THEN (log2({n}) - ({' + '.join(terms)}) / {n}) / log2(6D) END")
 
 
 def _higuchi(kmax: int) -> Column:
     """Slope of log curve length on log 1/k. The curve of start m at step k leaves out its last increment, as the
     entropy library of the analysis does (its documented value for a straight line is 1.0040)."""
-    n, i = F.col("n"), F.col("i")
-    logs = []
-    for k in range(1, kmax + 1):
-        most = F.floor((n - i % k - 1) / k)
-        weight = F.when(F.floor(i / k) + 1 < most, (n - 1) / (most * k * k * k))
-        logs.append(F.ln(F.sum(F.abs(F.col(f"x{k}") - F.col("x0")) * weight)))
     xs = [math.log(1 / k) for k in range(1, kmax + 1)]
     mean = sum(xs) / kmax
     spread = sum((x - mean) ** 2 for x in xs)
-    slope = sum((logs[j] * ((xs[j] - mean) / spread) for j in range(1, kmax)), logs[0] * ((xs[0] - mean) / spread))
+    terms = []
+    for k, x in enumerate(xs, 1):
+        most = f"(n - i % {k} - 1) div {k}"
+        length = f"sum(CASE WHEN i div {k} + 1 < {most} THEN abs(x{k} - x0) * (n - 1) / (({most}) * {k ** 3}) END)"
+        terms.append(f"ln({length}) * ({(x - mean) / spread!r}D)")
     # Under kmax + 1 samples some curve has no increment at all.
-    return F.when(F.max("n") > kmax, slope)
+    return F.expr(f"CASE WHEN max(n) > {kmax} THEN {' + '.join(terms)} END")
 
 
 def neighbour_features(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
@@ -56,11 +54,9 @@ def neighbour_features(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFr
     The rows of an epoch are made and summed in the task that read it; one short row per epoch is shuffled.
     """
     rows = lagged_rows(df, spec, spec.higuchi_kmax)
-    d1 = F.col("x1") - F.col("x0")
-    d2 = F.col("x2") - F.col("x1") * 2 + F.col("x0")
     sums = rows.groupBy(*KEY).agg(
         _pattern_entropy().alias("perm_entropy"), _higuchi(spec.higuchi_kmax).alias("higuchi_fd"),
-        F.var_pop("x0").alias("_v0"), F.var_pop(d1).alias("_v1"), F.var_pop(d2).alias("_v2"))
+        F.expr("var_pop(x0) AS _v0"), F.expr("var_pop(x1 - x0) AS _v1"), F.expr("var_pop(x2 - 2 * x1 + x0) AS _v2"))
     mobility = F.sqrt(F.try_divide(F.col("_v1"), F.col("_v0")))
     return sums.select(
         *KEY, missing_as_null(F.col("perm_entropy")).alias("perm_entropy"),
@@ -74,11 +70,11 @@ def with_sample_entropy(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataF
     """-ln of the share of matching pairs of 2 that also match in the third sample; NULL without matches."""
     out = with_windows(df, spec, "psd").withColumn("_m", match_counts(enough("psd", 4), spec.entropy_tolerance))
     ratio = F.try_divide(F.col("_m.long"), F.col("_m.short"))
-    return without_helpers(out.withColumn("sample_entropy", -F.ln(F.when(ratio > 0, ratio))), *df.columns)
+    return without_helpers(out.withColumn("sample_entropy", -F.ln(F.when(ratio > 0, ratio))), df.columns)
 
 
 def with_dfa(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
     """Slope of log fluctuation on log box size."""
     out = with_windows(df, spec, "psd").withColumn("_f", fluctuations(enough("psd", spec.min_samples), spec.dfa_sizes))
     out = out.withColumn("dfa", missing_as_null(line_slope(F.col("_f.size"), F.col("_f.value"))))
-    return without_helpers(out, *df.columns)
+    return without_helpers(out, df.columns)

@@ -42,15 +42,14 @@ def with_peaks(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
                            for n in ("n2", "p2")})
     peaks = {}
     for n in ("n2", "p2"):
-        at = F.col(f"_{n}_at")
-        peaks[f"{n}_amp"] = missing_as_null(F.get(f"_{n}", at) - F.col("_base"))
-        peaks[f"{n}_lat"] = axis.time(F.col(f"_{n}_first") + at)
+        peaks[f"{n}_amp"] = missing_as_null(F.expr(f"get(_{n}, _{n}_at) - _base"))
+        peaks[f"{n}_lat"] = F.expr(axis.time(f"_{n}_first + _{n}_at"))
     out = out.withColumns(peaks).withColumn("n2p2_amp", F.col("p2_amp") - F.col("n2_amp"))
-    return without_helpers(out, *df.columns)
+    return without_helpers(out, df.columns)
 
 
 def subtract_baseline(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
     out = with_windows(df, spec, "baseline").withColumn("_base", baseline_mean())
     level = F.array_repeat(F.col("_base"), F.size("signal"))
     out = out.withColumn("signal", F.zip_with("signal", level, lambda v, b: v - b))
-    return without_helpers(out, *df.columns)
+    return without_helpers(out, df.columns)

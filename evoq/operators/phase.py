@@ -25,7 +25,7 @@ def with_filtered(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
 def phasors(df: DataFrame, spec: SignalSpec = SignalSpec(), filtered: bool = True) -> DataFrame:
     """``z`` with the cosine and sine of the phase in the locking window; each channel is filtered once."""
     source = with_windows(with_filtered(df, spec) if filtered else df, spec, "plv")
-    return without_helpers(source.withColumn("z", unit_phasors(enough("plv", spec.min_samples))), *df.columns)
+    return without_helpers(source.withColumn("z", unit_phasors(enough("plv", spec.min_samples))), df.columns)
 
 
 def phase_locking(epochs: DataFrame, spec: SignalSpec = SignalSpec(), filtered: bool = True) -> DataFrame:

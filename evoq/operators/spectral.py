@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evoq.config import SignalSpec, Span
-from evoq.functions.arrays import cut, entropy_bits, total, without_helpers
+from evoq.functions.arrays import entropy_bits, without_helpers
 from evoq.functions.kernels import welch
 from evoq.functions.numbers import band_label, capped_high, missing_as_null, percent_change
 from evoq.operators.erp import enough, with_windows
@@ -27,35 +27,36 @@ def with_psd(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
     return with_spectra(df, spec, {"psd": spec.psd_segment})
 
 
-def with_powers(df: DataFrame, powers: dict[str, tuple[str, float, Column]]) -> DataFrame:
-    """Adds a power per entry ``name: (window, low, high)``: the trapezoid over the bins with low <= f <= high, 0 for
-    a single bin, NULL for none."""
-    windows = {w for w, _, _ in powers.values()}
-    out = df.withColumns({f"_{w}_df": F.lit(1.0) / (F.col(f"_{w}_n") * (F.lit(1.0) / F.col("sfreq"))) for w in windows})
+def with_powers(df: DataFrame, powers: dict[str, tuple[str, float, str]]) -> DataFrame:
+    """Adds a power per entry ``name: (window, low, high)``, ``high`` in SQL: the trapezoid over the bins with
+    low <= f <= high, 0 for a single bin, NULL for none."""
+    steps = {f"_{w}_df": F.expr(f"1D / (_{w}_n * (1D / sfreq))") for w in {w for w, _, _ in powers.values()}}
     guess, ends, bins, values = {}, {}, {}, {}
     for name, (w, low, high) in powers.items():
-        step, c, f = F.col(f"_{w}_df"), F.col(f"_{name}_c"), F.col(f"_{name}_f")
-        guess[f"_{name}_c"], guess[f"_{name}_f"] = F.ceil(F.lit(low) / step), F.floor(high / step)
+        psd, step, low = f"_{w}_psd", f"_{w}_df", f"{float(low)!r}D"
+        c, f, i, j, x = (f"_{name}_{part}" for part in ("c", "f", "i", "j", "bins"))
+        guess[c] = F.expr(f"cast(ceil({low} / {step}) AS int)")
+        guess[f] = F.expr(f"cast(floor({high} / {step}) AS int)")
         # The bin frequencies themselves settle which bins are inside.
-        first = F.when((c - 1) * step >= low, c - 1).when(c * step >= low, c).otherwise(c + 1)
-        last = F.when((f + 1) * step <= high, f + 1).when(f * step <= high, f).otherwise(f - 1)
-        ends[f"_{name}_i"] = F.greatest(first, F.lit(0)).cast("int")
-        ends[f"_{name}_j"] = F.least(last, F.size(f"_{w}_psd") - 1).cast("int")
-        i, j = F.col(f"_{name}_i"), F.col(f"_{name}_j")
-        bins[f"_{name}_bins"] = F.when(j >= i, cut(F.col(f"_{w}_psd"), i, j - i + 1))
-        inside = F.col(f"_{name}_bins")
-        values[name] = missing_as_null(step * (total(inside) - (F.get(inside, F.lit(0)) + F.element_at(inside, -1)) / 2))
-    return out.withColumns(guess).withColumns(ends).withColumns(bins).withColumns(values)
+        ends[i] = F.expr(f"greatest(0, CASE WHEN ({c} - 1) * {step} >= {low} THEN {c} - 1 "
+                         f"WHEN {c} * {step} >= {low} THEN {c} ELSE {c} + 1 END)")
+        ends[j] = F.expr(f"least(size({psd}) - 1, CASE WHEN ({f} + 1) * {step} <= {high} THEN {f} + 1 "
+                         f"WHEN {f} * {step} <= {high} THEN {f} ELSE {f} - 1 END)")
+        bins[x] = F.expr(f"CASE WHEN {j} >= {i} THEN slice({psd}, {i} + 1, {j} - {i} + 1) END")
+        values[name] = missing_as_null(F.expr(
+            f"{step} * (aggregate({x}, 0D, (acc, v) -> acc + v) - (get({x}, 0) + element_at({x}, -1)) / 2)"))
+    return df.withColumns(steps).withColumns(guess).withColumns(ends).withColumns(bins).withColumns(values)
 
 
 def with_band_powers(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
     """``psd_<band>`` over the spectral window, the upper edges capped below the Nyquist rate."""
-    out = with_powers(with_psd(df, spec), {f"psd_{b}": ("psd", low, _cap(high, spec)) for b, (low, high) in spec.bands.items()})
-    return without_helpers(out, *df.columns)
+    out = with_powers(with_psd(df, spec), {
+        f"psd_{b}": ("psd", low, _cap(high, spec)) for b, (low, high) in spec.bands.items()})
+    return without_helpers(out, df.columns)
 
 
-def _cap(high: float, spec: SignalSpec) -> Column:
-    return capped_high(high, F.col("sfreq"), spec.nyquist_margin)
+def _cap(high: float, spec: SignalSpec) -> str:
+    return f"least({float(high)!r}D, sfreq / 2 - {float(spec.nyquist_margin)!r}D)"
 
 
 def with_gamma(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
@@ -63,18 +64,18 @@ def with_gamma(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
     low, high = spec.bands["gamma"]
     out = with_spectra(df, spec, {"gamma": spec.psd_segment})
     out = with_powers(out, {"gamma_power": ("gamma", low, _cap(high, spec))})
-    used = F.when(F.col("_gamma_n").isNull(), F.lit(high)).otherwise(_cap(high, spec))
-    return without_helpers(out.withColumn("gamma_band_hz", band_label(low, used)), *df.columns)
+    used = F.when(F.col("_gamma_n").isNull(), F.lit(high)).otherwise(capped_high(high, F.col("sfreq"), spec.nyquist_margin))
+    return without_helpers(out.withColumn("gamma_band_hz", band_label(low, used)), df.columns)
 
 
 def with_erd(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
     """Drop of alpha and beta power from baseline to task, in percent of the baseline."""
     bands: dict[str, Span] = {b: spec.bands[b] for b in ("alpha", "beta")}
     out = with_spectra(df, spec, {"baseline": spec.erd_segment, "erd_task": spec.erd_segment})
-    out = with_powers(out, {f"_{b}_{w}": (w, low, F.lit(high)) for b, (low, high) in bands.items()
+    out = with_powers(out, {f"_{b}_{w}": (w, low, f"{high!r}D") for b, (low, high) in bands.items()
                             for w in ("baseline", "erd_task")})
     out = out.withColumns({f"{b}_erd_pct": percent_change(F.col(f"_{b}_baseline"), F.col(f"_{b}_erd_task")) for b in bands})
-    return without_helpers(out, *df.columns)
+    return without_helpers(out, df.columns)
 
 
 def with_spectral_entropy(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
@@ -82,4 +83,4 @@ def with_spectral_entropy(df: DataFrame, spec: SignalSpec = SignalSpec()) -> Dat
     psd = F.col("_psd_psd")
     out = with_psd(df, spec).withColumn(
         "spectral_entropy", missing_as_null(F.try_divide(entropy_bits(psd), F.log2(F.size(psd)))))
-    return without_helpers(out, *df.columns)
+    return without_helpers(out, df.columns)

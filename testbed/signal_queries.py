@@ -70,7 +70,7 @@ def a16(spark, sf):
 def p11(spark, sf):
     e = erp.with_windows(I.epochs(spark, sf), SPEC, "n2")
     return e.select("epoch", "sfreq", "t0", "_n2_first", F.posexplode(erp.samples("n2")).alias("k", "v")) \
-        .withColumn("i", F.col("_n2_first") + F.col("k")).select("epoch", "i", Axis().time(F.col("i")).alias("t"), "v")
+        .withColumn("i", F.col("_n2_first") + F.col("k")).select("epoch", "i", F.expr(Axis().time("i")).alias("t"), "v")
 
 
 @query("P12_minimum_length", """SELECT epoch, CASE WHEN count(*) >= 8 THEN count(*)::INT END AS n_samples
@@ -164,21 +164,21 @@ def w4(spark, sf):
 
 @query("X3_band_power", f"SELECT epoch, {rnd(band_sql('psd', 8, 13), 12)} AS power FROM ep", (I.EPOCHS_SQL, PSD))
 def x3(spark, sf):
-    e = spectral.with_powers(spectral.with_psd(I.epochs(spark, sf), SPEC), {"power": ("psd", 8.0, F.lit(13.0))})
+    e = spectral.with_powers(spectral.with_psd(I.epochs(spark, sf), SPEC), {"power": ("psd", 8.0, "13D")})
     return rounded(e.select("epoch", "power"), 12)
 
 
 @query("P13_band_mask_empty_is_null", f"""SELECT epoch, {rnd(band_sql('psd', 6.5, 7.5), 12)} AS none, {rnd(band_sql('psd', 7.5, 8.5), 12)} AS one,
     {rnd(band_sql('psd', 7.5, 10.5), 12)} AS two FROM ep""", (I.EPOCHS_SQL, PSD))
 def p13(spark, sf):
-    bands = {"none": ("psd", 6.5, F.lit(7.5)), "one": ("psd", 7.5, F.lit(8.5)), "two": ("psd", 7.5, F.lit(10.5))}
+    bands = {"none": ("psd", 6.5, "7.5D"), "one": ("psd", 7.5, "8.5D"), "two": ("psd", 7.5, "10.5D")}
     return rounded(spectral.with_powers(spectral.with_psd(I.epochs(spark, sf), SPEC), bands).select("epoch", *bands), 12)
 
 
 @query("A17_trapezoid", f"""SELECT epoch, {rnd('sum(area)', 12)} AS area FROM (SELECT epoch,
     (p + lead(p) OVER (PARTITION BY epoch ORDER BY k)) / 2 * 2.0 AS area FROM psd) GROUP BY epoch""", (I.EPOCHS_SQL, PSD))
 def a17(spark, sf):
-    e = spectral.with_powers(spectral.with_psd(I.epochs(spark, sf), SPEC), {"area": ("psd", 0.0, F.lit(32.0))})
+    e = spectral.with_powers(spectral.with_psd(I.epochs(spark, sf), SPEC), {"area": ("psd", 0.0, "32D")})
     return rounded(e.select("epoch", "area"), 12)
 
 
