@@ -137,8 +137,10 @@ def unit_phasors(signal: Column) -> Column:
     def kernel(signals: pa.Array) -> pa.Array:
         cosines, sines = [None] * len(signals), [None] * len(signals)
         for rows, x, _ in _blocks(signals):
-            phase = np.angle(analytic(x))
-            for row, c, s in zip(rows, np.cos(phase), np.sin(phase)):
+            z = analytic(x)
+            size = np.abs(z)
+            unit = np.divide(z, size, out=np.ones_like(z), where=size > 0)
+            for row, c, s in zip(rows, unit.real, unit.imag):
                 cosines[row], sines[row] = c, s
         return pa.StructArray.from_arrays([_lists(cosines), _lists(sines)], names=["cos", "sin"])
 

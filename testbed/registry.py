@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+SPLIT = " /* result */ "  # between the inputs of a query's SQL and its final SELECT
 
 
 def query(name: str, sql: str | None = None, inputs: tuple[str, ...] = ()):
@@ -16,7 +17,7 @@ def query(name: str, sql: str | None = None, inputs: tuple[str, ...] = ()):
     def register(run: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = run
         if sql is not None:
-            SQL[name] = (f"WITH {', '.join(inputs)} {sql}" if inputs else sql)
+            SQL[name] = (f"WITH RECURSIVE {', '.join(inputs)}{SPLIT}{sql}" if inputs else sql)
         return run
     return register
 

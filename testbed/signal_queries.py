@@ -13,6 +13,7 @@ from evoq.operators import channels, complexity, erp, phase, spectral, summaries
 from evoq.plans import features
 from evoq.sources import signals
 from testbed import inputs as I
+from testbed import registry
 from testbed.registry import query, rnd, rounded
 
 SPEC = I.SPEC
@@ -221,9 +222,32 @@ def f9(spark, sf):
 
 # ------------------------------------------------------------------ phase
 
-@query("X7_zero_phase_band_pass")
+def filter_sql():
+    """Both passes of the band-pass as recursions over samples prolonged by 27 on either side; ``bp`` (epoch, s)."""
+    b, a = kernels.butterworth_band(SPEC.filter_order, SPEC.plv_band[0] / (I.RATE / 2), SPEC.plv_band[1] / (I.RATE / 2))
+    start = [float(v) for v in kernels._steady_state(b, a)]
+    b, a, last = [float(v) for v in b], [float(v) for v in a], len(b) - 1
+    line = ", ".join((f"z[{k + 1}] + " if k < last else "") + f"({b[k]!r})::DOUBLE * xi - ({a[k]!r})::DOUBLE * yi" for k in range(1, last + 1))
+
+    def run(tag, source, signal):
+        return f"""{tag} AS (SELECT epoch, 0 AS i, {signal} AS x, list_transform({start}::DOUBLE[], lambda q: q * {signal}[1]) AS z, []::DOUBLE[] AS y FROM {source}
+    UNION ALL SELECT epoch, i + 1, x, [{line}], list_append(y, yi) FROM
+    (SELECT *, x[i + 1] AS xi, ({b[0]!r})::DOUBLE * x[i + 1] + z[1] AS yi FROM {tag} WHERE i < 118))"""
+
+    return f"""pad AS (SELECT epoch, list_concat(list_concat(list_transform(range(27, 0, -1), lambda j: 2 * s[1] - s[1 + j]), s),
+    list_transform(range(1, 28), lambda j: 2 * s[64] - s[64 - j])) AS x FROM ep),
+{run('fw', 'pad', 'x')},
+back AS (SELECT epoch, list_reverse(y) AS x FROM fw WHERE i = 118),
+{run('bw', 'back', 'x')},
+bp AS (SELECT epoch, list_reverse(y)[28:91] AS s FROM bw WHERE i = 118)"""
+
+
+FILTER = filter_sql()
+
+
+@query("X7_zero_phase_band_pass", f"SELECT epoch, (i - 1)::INT AS i, {rnd('s[i]', 7)} AS v FROM bp, range(1, 65) r(i)", (I.EPOCHS_SQL, FILTER))
 def x7(spark, sf):
-    return rounded(phase.with_filtered(I.epochs(spark, sf), SPEC).select("epoch", F.posexplode("signal").alias("i", "v")))
+    return rounded(phase.with_filtered(I.epochs(spark, sf), SPEC).select("epoch", F.posexplode("signal").alias("i", "v")), 7)
 
 
 def hilbert_sql(source):
@@ -263,7 +287,12 @@ def a18(spark, sf):
     return rounded(phase.phase_locking(I.montage(spark, sf), SPEC, filtered=False).select("epoch", *[F.col(f"`{n}`") for n in PLV_NAMES]), 7)
 
 
-@query("X9_phase_locking")
+MONTAGE_BP = "low AS (SELECT mont.epoch, lower(channel) AS name, bp.s FROM mont JOIN bp ON bp.epoch = mont.epoch + channel_idx WHERE lower(channel) <> 'oz')"
+PLV = [I.EPOCHS_SQL, FILTER, I.MONTAGE_SQL, MONTAGE_BP, hilbert_sql("low"),
+       "plv AS (SELECT epoch, " + ", ".join(plv_sql(a, b).replace(", 8)", ", 6)").replace(", 7)", ", 6)") for a, b in SPEC.pairs) + " FROM (SELECT DISTINCT epoch FROM mont) me)"]
+
+
+@query("X9_phase_locking", "SELECT dataset, subject, epoch, " + ", ".join(f'"{n}"' for n in PLV_NAMES) + " FROM plv JOIN ep USING (epoch)", tuple(PLV))
 def x9(spark, sf):
     return rounded(phase.phase_locking(I.montage(spark, sf), SPEC), 6)
 
@@ -375,7 +404,22 @@ def j12(spark, sf):
 
 # ------------------------------------------------------------------ assembly
 
-@query("X16_feature_rows")
+def piece(name):
+    """The final SELECT of an earlier query, whose inputs are among those of the assembly."""
+    return registry.SQL[name].split(registry.SPLIT, 1)[1]
+
+
+X16 = f"""SELECT ep.dataset, ep.subject, ep.epoch, CASE WHEN ep.epoch % 5 = 3 THEN 'cz' ELSE 'Cz' END AS vertex_channel, 64.0::DOUBLE AS sfreq,
+    {', '.join(rnd('pk.' + c, 6) + ' AS ' + c for c in features.ERP)}, {rnd('gamma_power', 6)} AS gamma_power, gamma_band_hz, alpha_erd_pct, beta_erd_pct,
+    {', '.join(rnd('psd_' + b, 6) + ' AS psd_' + b for b in SPEC.bands)}, {', '.join(f'"{n}"' for n in PLV_NAMES)},
+    {', '.join(rnd(c, 6) + ' AS ' + c for c in features.COMPLEXITY)}, {rnd('rating', 6)} AS rating, laser_power
+    FROM ep JOIN pk USING (epoch) JOIN plv USING (epoch) LEFT JOIN lab ON ep.dataset = lab.dataset AND ep.subject = lab.subject AND ep.epoch = lab.epoch
+    {' '.join(f'JOIN ({piece(q)}) q{i} ON q{i}.epoch = ep.epoch' for i, q in enumerate((
+        "X5_gamma_power", "X6_erd", "X4_psd_bands", "X10_permutation_entropy", "X11_spectral_entropy", "X12_sample_entropy",
+        "X13_higuchi", "X14_dfa", "X15_hjorth")))}"""
+
+
+@query("X16_feature_rows", X16, (*PLV, PEAKS_SQL, I.EPOCH_LABELS_SQL, PSD, GAMMA, *ERD, LAG, WALK))
 def x16(spark, sf):
     """Every feature of every epoch with its label."""
     return rounded(features.feature_table(I.montage(spark, sf), I.epoch_labels(spark, sf), SPEC), 6)
