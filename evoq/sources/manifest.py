@@ -12,7 +12,10 @@ LABEL_DERIVATIVE = "rerefer"
 
 
 def list_objects(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Keys (below ``root``) and sizes of all objects; the content column is never read."""
+    """Keys (below ``root``) and sizes of all objects; the content column is never read.
+
+    Spark's file sources do not hand out objects of zero bytes, so those are not listed.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
