@@ -13,6 +13,7 @@ from evoq.session import pin
 
 DIGEST_BUCKETS = 4096  # three hexadecimal digits
 CUTS = 255
+SKETCH = 10_000  # accuracy of the sketch around exact quantiles
 
 
 def first_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -92,29 +93,39 @@ def average_rank(df: DataFrame, value: str, by: list[str] | None = None, rank: s
 def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
     """``by, share, quantile``: exact, interpolated linearly between neighbours.
 
-    Spark's own exact ``percentile`` keeps every distinct value of a group in one buffer. Here the first pass sums
-    rows per bucket on the map side, and the second shuffles the rows of the few buckets that hold the wanted places,
-    equal values as one.
+    Spark's own exact ``percentile`` keeps every distinct value of a group in one buffer. Here a bounded sketch gives
+    two values around each wanted place, one pass counts the rows below and inside, and only the rows inside (some
+    thousandth of the table) are shuffled and ordered, equal values as one. Where the counts show that a sketch missed
+    the place, all rows of that group count as inside, so the result is exact in any case.
     """
-    rows = with_bucket(df.select(*by, value).where(F.col(value).isNotNull()), value_cuts(df, by, value), by, value)
-    offsets = _bucket_offsets(rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_bn")), by)
-    wanted = pin(offsets.withColumn("share", F.explode(F.array(*map(F.lit, shares))))
-                 .withColumn("_at", F.col("share") * (F.col("_size") - 1))
-                 .withColumn("_low", F.floor("_at")).withColumn("_high", F.ceil("_at"))
-                 .where((F.col("_high") >= F.col("_before")) & (F.col("_low") < F.col("_before") + F.col("_bn"))))
-    buckets = wanted.select(*by, "_b", "_before").distinct()
-    counted = rows.join(wanted.select(*by, "_b"), [*by, "_b"], "left_semi") \
-        .groupBy(*by, "_b", value).agg(F.count(F.lit(1)).alias("_n"))
-    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.join(buckets, [*by, "_b"]).withColumn(
-        "_from", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    hit = placed.join(wanted.select(*by, "_b", "share", "_at", "_low", "_high"), [*by, "_b"])
-    holds = lambda place: (F.col("_from") <= F.col(place)) & (F.col(place) < F.col("_from") + F.col("_n"))
-    return hit.groupBy(*by, "share", "_at", "_low").agg(
-        F.max(F.when(holds("_low"), F.col(value))).alias("_v0"),
-        F.max(F.when(holds("_high"), F.col(value))).alias("_v1")) \
-        .select(*by, "share", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_at") - F.col("_low")))
-                .alias("quantile"))
+    group = by or ["_all"]
+    v, margin = F.col(value), 4 / SKETCH
+    rows = df.select(*by, value, *([] if by else [F.lit(0).alias("_all")])).where(v.isNotNull())
+    probes = [p for s in shares for p in (max(s - margin, 0.0), min(s + margin, 1.0))]
+    at = lambda p, i: F.get("_q", F.lit(i)) if 0 < p < 1 else F.lit(None).cast("double")  # no bound at either end
+    sketch = rows.groupBy(*group).agg(F.percentile_approx(value, probes, SKETCH).alias("_q"))
+    bounds = pin(sketch.select(*group, *[at(p, i).alias(f"_{'lh'[i % 2]}{i // 2}") for i, p in enumerate(probes)]))
+    counts = rows.join(bounds, group).groupBy(*bounds.columns).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.count_if(v < F.col(f"_l{i}")).alias(f"_b{i}") for i in range(len(shares))],
+        *[F.count_if(v <= F.col(f"_h{i}")).alias(f"_e{i}") for i in range(len(shares))])
+    places = []
+    for i, s in enumerate(shares):
+        place = F.lit(float(s)) * (F.col("_n") - 1)
+        low, high = F.col(f"_l{i}"), F.col(f"_h{i}")
+        holds = (low.isNull() | (F.col(f"_b{i}") <= F.floor(place))) & (high.isNull() | (F.ceil(place) < F.col(f"_e{i}")))
+        places.append(F.struct(
+            F.lit(float(s)).alias("share"), place.alias("_at"), F.when(holds, low).alias("_l"), F.when(holds, high).alias("_h"),
+            F.when(holds & low.isNotNull(), F.col(f"_b{i}")).otherwise(0).alias("_before")))
+    wanted = pin(counts.select(*group, F.inline(F.array(*places))))
+    inside = rows.join(wanted, group).where((F.col("_l").isNull() | (v >= F.col("_l"))) & (F.col("_h").isNull() | (v <= F.col("_h"))))
+    counted = inside.groupBy(*group, "share", "_at", "_before", value).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group, "share").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    here = lambda place: F.max(F.when((F.col("_from") <= place) & (place < F.col("_from") + F.col("_n")), v))
+    ends = placed.groupBy(*group, "share", "_at").agg(here(F.floor("_at")).alias("_v0"), here(F.ceil("_at")).alias("_v1"))
+    return ends.select(*by, "share", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_at") - F.floor("_at")))
+                       .alias("quantile"))
 
 
 def wide_quantiles(df: DataFrame, by: list[str], value: str, named: dict[str, float]) -> DataFrame:

@@ -11,11 +11,11 @@ from evoq.config import KEY
 def first_event_per_epoch(labels: DataFrame, values: tuple[str, ...] = ("rating", "laser_power")) -> DataFrame:
     """The values of the event that arrived first in each epoch (counted from 0); events without an epoch drop out.
 
-    A minimum of a struct is combined on the map side, so no epoch or subject is ever sorted as a group.
+    ``event_pos`` names an event within its file. The minimum is kept by hash and combined on the map side, so no
+    epoch or subject is ever sorted.
     """
-    first = F.min(F.struct("event_pos", *values)).alias("first")
-    return labels.where(F.col("epoch").isNotNull()).groupBy(*KEY).agg(first) \
-        .select(*KEY, *[F.col(f"first.{v}").alias(v) for v in values])
+    first = [F.min_by(v, "event_pos").alias(v) for v in values]
+    return labels.where(F.col("epoch").isNotNull()).groupBy(*KEY).agg(*first)
 
 
 def epoch_spine(files: DataFrame) -> DataFrame:

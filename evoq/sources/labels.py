@@ -9,7 +9,7 @@ from evoq.functions.numbers import to_number
 
 FIELDS = ["type", "laser_power", "rating", "latency", "epoch", "urevent", "code", "duration"]
 NUMERIC = ["laser_power", "rating", "latency", "urevent", "duration"]
-SCHEMA = "dataset string, subject string, event_pos int, " + ", ".join(f"{f} string" for f in FIELDS)
+SCHEMA = "dataset string, subject string, event_pos bigint, " + ", ".join(f"{f} string" for f in FIELDS)
 
 
 def read_labels(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

@@ -65,17 +65,22 @@ mont AS (SELECT {OWNER_SQL.format(e='epoch')}, epoch, channel_idx,
     FROM mont0)"""
 
 
+# The lines of an order are its events, told apart by part and price.
+EVENT_POS = "l_partkey * 100000000 + cast(round(l_extendedprice * 100) AS bigint)"
+EVENT_POS_SQL = "l_partkey * 100000000 + round(l_extendedprice * 100)::BIGINT"
+
+
 def epoch_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label events for those epochs: order k labels epoch k, its lines are the events."""
     k = F.col("l_orderkey")
     raw = table(spark, sf_dir, "lineitem").select(
-        *[c.alias(n) for n, c in _owner(k).items()], F.col("l_partkey").cast("int").alias("event_pos"),
+        *[c.alias(n) for n, c in _owner(k).items()], F.expr(EVENT_POS).alias("event_pos"),
         (k + 1).cast("string").alias("epoch"), (F.col("l_discount") * 100).cast("string").alias("rating"),
         F.col("l_quantity").cast("string").alias("laser_power"))
     return label_source.coerce(raw)
 
 
-EPOCH_LABELS_SQL = f"""lab0 AS (SELECT {OWNER_SQL.format(e='l_orderkey')}, l_orderkey AS epoch, l_partkey AS event_pos,
+EPOCH_LABELS_SQL = f"""lab0 AS (SELECT {OWNER_SQL.format(e='l_orderkey')}, l_orderkey AS epoch, {EVENT_POS_SQL} AS event_pos,
     l_discount * 100 AS rating, l_quantity AS laser_power FROM lineitem),
 lab AS (SELECT * FROM lab0 QUALIFY row_number() OVER (PARTITION BY dataset, subject, epoch
     ORDER BY event_pos, rating, laser_power) = 1)"""
@@ -86,7 +91,7 @@ def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     tax = F.col("l_tax")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("dataset"), F.concat(F.lit("sub-"), F.col("l_orderkey").cast("string")).alias("subject"),
-        F.col("l_partkey").cast("int").alias("event_pos"), F.col("l_linestatus").alias("type"),
+        F.expr(EVENT_POS).alias("event_pos"), F.col("l_linestatus").alias("type"),
         F.when(tax != 0.05, F.col("l_linenumber").cast("string")).alias("epoch"),
         F.when(tax == 0.08, "[]").when(tax == 0.07, "nan")
         .otherwise(F.round(F.col("l_discount") * 100).cast("int").cast("string")).alias("rating"),
@@ -97,7 +102,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_source.coerce(raw_labels(spark, sf_dir))
 
 
-LABELS_SQL = """lb AS (SELECT l_returnflag AS dataset, 'sub-' || l_orderkey AS subject, l_partkey::INT AS event_pos,
+LABELS_SQL = f"""lb AS (SELECT l_returnflag AS dataset, 'sub-' || l_orderkey AS subject, {EVENT_POS_SQL} AS event_pos,
     l_linestatus AS type, CASE WHEN l_tax <> 0.05 THEN l_linenumber - 1 END AS epoch,
     CASE WHEN l_tax NOT IN (0.07, 0.08) THEN round(l_discount * 100) END AS rating,
     CASE WHEN l_tax <> 0.06 THEN l_quantity / 10 END AS laser_power FROM lineitem)"""

@@ -410,9 +410,9 @@ def piece(name):
 
 
 X16 = f"""SELECT ep.dataset, ep.subject, ep.epoch, CASE WHEN ep.epoch % 5 = 3 THEN 'cz' ELSE 'Cz' END AS vertex_channel, 64.0::DOUBLE AS sfreq,
-    {', '.join(rnd('pk.' + c, 6) + ' AS ' + c for c in features.ERP)}, {rnd('gamma_power', 6)} AS gamma_power, gamma_band_hz, alpha_erd_pct, beta_erd_pct,
-    {', '.join(rnd('psd_' + b, 6) + ' AS psd_' + b for b in SPEC.bands)}, {', '.join(f'"{n}"' for n in PLV_NAMES)},
-    {', '.join(rnd(c, 6) + ' AS ' + c for c in features.COMPLEXITY)}, {rnd('rating', 6)} AS rating, laser_power
+    {', '.join(rnd('pk.' + c) + ' AS ' + c for c in features.ERP)}, gamma_power, gamma_band_hz, alpha_erd_pct, beta_erd_pct,
+    {', '.join('psd_' + b for b in SPEC.bands)}, {', '.join(f'"{n}"' for n in PLV_NAMES)},
+    {', '.join(features.COMPLEXITY)}, {rnd('rating')} AS rating, laser_power
     FROM ep JOIN pk USING (epoch) JOIN plv USING (epoch) LEFT JOIN lab ON ep.dataset = lab.dataset AND ep.subject = lab.subject AND ep.epoch = lab.epoch
     {' '.join(f'JOIN ({piece(q)}) q{i} ON q{i}.epoch = ep.epoch' for i, q in enumerate((
         "X5_gamma_power", "X6_erd", "X4_psd_bands", "X10_permutation_entropy", "X11_spectral_entropy", "X12_sample_entropy",
@@ -422,7 +422,10 @@ X16 = f"""SELECT ep.dataset, ep.subject, ep.epoch, CASE WHEN ep.epoch % 5 = 3 TH
 @query("X16_feature_rows", X16, (*PLV, PEAKS_SQL, I.EPOCH_LABELS_SQL, PSD, GAMMA, *ERD, LAG, WALK))
 def x16(spark, sf):
     """Every feature of every epoch with its label."""
-    return rounded(features.feature_table(I.montage(spark, sf), I.epoch_labels(spark, sf), SPEC), 6)
+    table = features.feature_table(I.montage(spark, sf), I.epoch_labels(spark, sf), SPEC)
+    table = rounded(table, 6, *PLV_NAMES, "alpha_erd_pct", "beta_erd_pct")
+    table = rounded(table, 12, "gamma_power", *[f"psd_{b}" for b in SPEC.bands])
+    return rounded(table, 9, *features.ERP, *features.COMPLEXITY, "rating")
 
 
 @query("X17_extract_with_rejects", """SELECT dataset, reason, count(*) AS n FROM (SELECT dataset, subject,
