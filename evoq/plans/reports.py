@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evoq.functions.text import guess_column
 from evoq.operators import summaries
 from evoq.operators.ranking import first_per_group
+from evoq.session import pin
 from evoq.sources import manifest as objects
 from evoq.sources import sidecars as jsons
 
@@ -41,10 +42,14 @@ def demographics(participants: DataFrame, sexes: list[str], age_bins: int = 15)
 
 
 def behaviour(labels: DataFrame, power_bins: int = 20) -> dict[str, tuple[DataFrame, list[str]]]:
-    """Trials per subject, rating and power histograms, correlation, per dataset. ``labels`` are coerced."""
-    trials = summaries.trials_per_subject(labels)
+    """Trials per subject, rating and power histograms, correlation, per dataset. ``labels`` are coerced.
+
+    The few label columns are written once and read by every part, so that the source is decoded once.
+    """
     rating = guess_column(labels.columns, ["rating", "pain", "nrs"], exact="rating")
     power = guess_column(labels.columns, ["intensity", "energy", "power", "joule"], exact="laser_power")
+    labels = pin(labels.select("dataset", "subject", *[c for c in (rating, power) if c]))
+    trials = pin(summaries.trials_per_subject(labels))
     out = {"trials": (summaries.describe(trials, ["dataset"], "n_trials"), ["dataset"]),
            "trials_box": (summaries.box_stats(trials, "dataset", "n_trials"), ["dataset"])}
     if rating:
@@ -59,6 +64,7 @@ def behaviour(labels: DataFrame, power_bins: int = 20) -> dict[str, tuple[DataFr
 
 def zero_ratings(labels: DataFrame, top: int = 10) -> dict[str, tuple[DataFrame, list[str]]]:
     """Whether ratings of 0 look like placeholders: their share, epochs, laser power and count per subject."""
+    labels = pin(labels.select("dataset", "subject", "epoch", "rating", "laser_power"))
     is_zero: Column = F.col("rating") == 0
     zeros = labels.where(is_zero)
     totals = labels.agg(F.count(F.lit(1)).alias("n_trials"), F.count_if(is_zero).alias("n_zero"),
