@@ -100,7 +100,9 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float
     """
     group = by or ["_all"]
     v, margin = F.col(value), 4 / SKETCH
-    rows = df.select(*by, value, *([] if by else [F.lit(0).alias("_all")])).where(v.isNotNull())
+    # Without groups all rows share the key 0. It is computed, as a literal would turn the joins into cross joins.
+    one_group = [] if by else [F.pmod(F.hash(v), F.lit(1)).alias("_all")]
+    rows = df.select(*by, value, *one_group).where(v.isNotNull())
     probes = [p for s in shares for p in (max(s - margin, 0.0), min(s + margin, 1.0))]
     at = lambda p, i: F.get("_q", F.lit(i)) if 0 < p < 1 else F.lit(None).cast("double")  # no bound at either end
     sketch = rows.groupBy(*group).agg(F.percentile_approx(value, probes, SKETCH).alias("_q"))
