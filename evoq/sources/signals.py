@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evoq.functions.numbers import missing_as_null
 from evoq.session import pin
 
 DEFAULT_RATE = 1000.0
@@ -168,10 +167,6 @@ def preview(epochs: DataFrame, seconds: float = 30.0, factor: float = 1e6) -> Da
                 (F.col("v") * factor).alias("value"))
 
 
-def samples_without_nan(samples: DataFrame) -> DataFrame:
-    return samples.withColumn("v", missing_as_null(F.col("v")))
-
-
 def write_epochs(epochs: DataFrame, path: str) -> None:
     """Store the signals, in every file ordered by ``channel_key``, the lower-cased name, in small row groups.
 

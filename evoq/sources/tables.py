@@ -60,10 +60,6 @@ def read_participants(spark: SparkSession, path_of_dataset: dict[str, str]) -> D
     return union_all(spark, frames, PARTICIPANTS)
 
 
-def read_participants_csv(spark: SparkSession, path: str) -> DataFrame:
-    return blank_missing(spark.read.csv(path, header=True, schema=PARTICIPANTS))
-
-
 def read_event_files(spark: SparkSession, path: str, glob: str = "*_events.tsv") -> DataFrame:
     """One row per event of every ``*_events.tsv`` file, in one scan whatever columns each file has.
 

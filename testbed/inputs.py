@@ -71,13 +71,11 @@ EVENT_POS_SQL = "l_partkey * 100000000 + round(l_extendedprice * 100)::BIGINT"
 
 
 def epoch_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label events for those epochs: order k labels epoch k, its lines are the events."""
+    """Label events for those epochs, numbers already: order k labels epoch k, its lines are the events."""
     k = F.col("l_orderkey")
-    raw = table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem").select(
         *[c.alias(n) for n, c in _owner(k).items()], F.expr(EVENT_POS).alias("event_pos"),
-        (k + 1).cast("string").alias("epoch"), (F.col("l_discount") * 100).cast("string").alias("rating"),
-        F.col("l_quantity").cast("string").alias("laser_power"))
-    return label_source.coerce(raw)
+        k.cast("int").alias("epoch"), (F.col("l_discount") * 100).alias("rating"), F.col("l_quantity").alias("laser_power"))
 
 
 EPOCH_LABELS_SQL = f"""lab0 AS (SELECT {OWNER_SQL.format(e='l_orderkey')}, l_orderkey AS epoch, {EVENT_POS_SQL} AS event_pos,
