@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evoq.llm import language, secrets, word_bpe
 from evoq.llm import near_copies as nc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +33,42 @@ def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("dataset"), F.col("doc_id").alias("key"), F.col("text").alias("content"), "lang")
 
 
+def remainder(divisor: int) -> Column:
+    """crc32 of the document id as text, by a divisor."""
+    return F.crc32(F.col("key").cast("string")) % divisor
+
+
+@query("op1_secret_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(sidecars(spark, sf_dir).withColumn("subject", F.col("key")))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(F.col("key").alias("doc_id"), count("assign"), count("access"), count("hex"),
+                        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
+                        secrets.joined(F.col("spans")).alias("spans"), "n_live", "n_copied")
+
+
 @query("op4_near_copies")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nc.near_copies(sidecars(spark, sf_dir)).select(
         F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+def tokenizer_file(name: str) -> str:
+    """Text of a public tokenizer file; the installed collection knows the place."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+@query("op7_word_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = word_bpe.encode_texts(sidecars(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+    return encoded.select(F.col("key").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_language(sidecars(spark, sf_dir), held_out=remainder(4) == 2) \
+        .select(F.col("key").alias("doc_id"), "held_out", "lang_pred", "score", "accepted")

@@ -61,6 +61,10 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
 def slices(offsets: np.ndarray, block: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``block`` bytes; a longer row is a range of its own."""
     first, n = 0, len(offsets) - 1
