@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evoq.llm import language, secrets, word_bpe
+from evoq.llm import contamination, context_tree, language, passages, secrets, word_bpe
 from evoq.llm import near_copies as nc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(sidecars(spark, sf_dir), held_out=remainder(4) == 2) \
         .select(F.col("key").alias("doc_id"), "held_out", "lang_pred", "score", "accepted")
+
+
+@query("op6_shared_passages")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["stop"])), ",")
+    return passages.shared_passages(sidecars(spark, sf_dir)).select(
+        F.col("key").alias("doc_id"), F.col("class_key").alias("class_id"), "n_links", "n_words", spans.alias("word_spans"))
+
+
+@query("op9_context_tree")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.tree_scores(sidecars(spark, sf_dir), held_out=remainder(7) == 2).withColumnRenamed("key", "doc_id")
+
+
+@query("op10_contamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.contaminated(sidecars(spark, sf_dir), table(spark, sf_dir, "benchmark"), item="item_id", question="text", answer=None)
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "overlap")
