@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evoq.llm import contamination, context_tree, language, passages, secrets, word_bpe
+from evoq.llm import contamination, context_tree, language, neighbours, packing, passages, secrets, word_bpe
 from evoq.llm import near_copies as nc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,23 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.joined(F.col("spans")).alias("spans"), "n_live", "n_copied")
 
 
+TOP_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id,
+             list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2]))::bigint as score
+      from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10"""
+
+
+@query("op2_top_k", TOP_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trials = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("epoch"), F.col("embedding").alias("features"))
+    return neighbours.nearest_trials(trials, F.col("epoch") % 100 == 0).select(
+        F.col("query_key").alias("query_id"), "rank", F.col("key").alias("vec_id"), "score")
+
+
 @query("op4_near_copies")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nc.near_copies(sidecars(spark, sf_dir)).select(
@@ -74,6 +91,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("key").alias("doc_id"), "held_out", "lang_pred", "score", "accepted")
 
 
+@query("op5_packed_rows")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every packed row: its texts, where their pieces begin and end, and digests of the id and position rows."""
+    import public_tokenizers
+
+    packed = packing.pack_texts(sidecars(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+    return packed.select("pack", "n_tokens", F.col("keys").alias("doc_ids"), "offsets", "ends", F.sha2("ids", 256).alias("ids_sha256"),
+                         F.sha2("positions", 256).alias("positions_sha256"))
+
+
 @query("op6_shared_passages")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["stop"])), ",")
