@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evoq.llm import contamination, context_tree, language, neighbours, packing, passages, secrets, word_bpe
+from evoq.llm import contamination, context_tree, language, neighbours, object_rules, packing, passages, secrets, word_bpe
 from evoq.llm import near_copies as nc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("query_key").alias("query_id"), "rank", F.col("key").alias("vec_id"), "score")
 
 
+# The rules of the query (verdict, host, path).
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query("op3_object_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), "url")
+    return object_rules.judge_objects(objects, RULES).withColumnRenamed("key", "page_id")
+
+
 @query("op4_near_copies")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nc.near_copies(sidecars(spark, sf_dir)).select(
@@ -117,3 +127,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.contaminated(sidecars(spark, sf_dir), table(spark, sf_dir, "benchmark"), item="item_id", question="text", answer=None)
     return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "overlap")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
