@@ -80,7 +80,8 @@ def numbers(vectors: list, largest: int) -> np.ndarray:
     """Rows of whole numbers: floats where every inner product is exact in them, else Python's integers."""
     dims = len(vectors[0]) if len(vectors) else 0
     exact = max(largest, 1) ** 2 * max(dims, 1) < 2**53
-    return np.array([list(v) for v in vectors], dtype=np.float64 if exact else object).reshape(len(vectors), dims)
+    rows = [list(v) if exact else [int(x) for x in v] for v in vectors]
+    return np.array(rows, dtype=np.float64 if exact else object).reshape(len(vectors), dims)
 
 
 def _searcher(spec: SearchSpec):
