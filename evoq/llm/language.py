@@ -58,8 +58,11 @@ def training_sample(sidecars: DataFrame, key: str, content: str, lang: str, lear
     order = Window.partitionBy("lang").orderBy("place", "key")
     ids = rows.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.xxhash64(F.col(key)).alias("place")).distinct() \
         .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= spec.sample).select("lang", "key", "nth")
+    ids = pin(ids)
+    named = ids.select("lang").distinct().orderBy("lang").limit(spec.languages)
+    ids = ids.join(named, "lang", "left_semi")
     texts = sidecars.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(content).cast("string").alias("content")) \
-        .join(F.broadcast(pin(ids)), ["key", "lang"])
+        .join(F.broadcast(ids), ["key", "lang"])
 
     def run(batches):
         for batch in batches:
@@ -94,17 +97,21 @@ class LanguageModel:
         return (self.logits[found] * weights).sum(axis=0, dtype=np.float64) + self.bias
 
 
-def train(rows: list, spec: LanguageSpec) -> LanguageModel:
+def train(sample: pa.Table, spec: LanguageSpec) -> LanguageModel:
     """Stochastic gradient descent in numpy over the bounded sample (embeddings and output weights together)."""
-    rows = sorted((r for r in rows if len(r["buckets"])), key=lambda r: (r["nth"], r["lang"]))
-    names = sorted({r["lang"] for r in rows})
+    sample = sample.sort_by([("nth", "ascending"), ("lang", "ascending")]).combine_chunks()
+    langs = sample["lang"].to_pylist()
+    names = sorted(set(langs))
     if not names:
         return LanguageModel([], np.zeros((spec.buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    texts = [(np.asarray(r["buckets"]), np.asarray(r["counts"], np.float64), names.index(r["lang"])) for r in rows]
+    lists = sample["buckets"].combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().to_pylist()])
+    times = sample["counts"].combine_chunks().flatten().to_numpy()
+    texts = [(flat[ends[i]:ends[i + 1]], times[ends[i]:ends[i + 1]], names.index(langs[i])) for i in range(len(langs)) if ends[i] < ends[i + 1]]
     learn = [t for i, t in enumerate(texts) if i % 5] or texts
     calibrate = texts[::5]
     random = np.random.default_rng(spec.seed)
-    vectors = random.normal(0, 1 / spec.dimensions, (spec.buckets, spec.dimensions))
+    vectors = random.normal(0, 1 / spec.dimensions, (spec.buckets, spec.dimensions)).astype(np.float32)
     output, bias = np.zeros((spec.dimensions, len(names))), np.zeros(len(names))
     for epoch in range(spec.epochs):
         rate = spec.rate * (1 - epoch / spec.epochs)
@@ -134,7 +141,7 @@ def train(rows: list, spec: LanguageSpec) -> LanguageModel:
 def fit_language_model(sidecars: DataFrame, key: str, content: str, lang: str, learn_from: Column,
                        spec: LanguageSpec = LanguageSpec()) -> LanguageModel:
     rows = training_sample(sidecars, key, content, lang, learn_from, spec)
-    return train(rows.limit(spec.sample * spec.languages).collect(), spec)
+    return train(rows.toArrow(), spec)
 
 
 def predict(sidecars: DataFrame, model: LanguageModel, content: str, spec: LanguageSpec) -> DataFrame:
