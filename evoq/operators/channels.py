@@ -12,7 +12,8 @@ FILE = ["dataset", "subject"]
 
 
 def channel_table(epochs: DataFrame) -> DataFrame:
-    return epochs.select(*FILE, "channel_idx", "channel").distinct()
+    """The channels of each file; one without a label is ``unknown``."""
+    return epochs.select(*FILE, "channel_idx", F.coalesce("channel", F.lit("unknown")).alias("channel")).distinct()
 
 
 def named(rows: DataFrame, names) -> DataFrame:

@@ -26,7 +26,8 @@ def enough(name: str, least: int) -> Column:
 
 
 def baseline_mean() -> Column:
-    return F.coalesce(mean_of(samples("baseline")), F.lit(0.0))
+    """Mean of the baseline's samples: 0 for a window without samples, NULL where no sample of it is a number."""
+    return F.when(F.col("_baseline_count") > 0, mean_of(samples("baseline"))).otherwise(0.0)
 
 
 def with_peaks(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:

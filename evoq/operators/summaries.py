@@ -33,9 +33,14 @@ def trials_per_subject(df: DataFrame) -> DataFrame:
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
-    """Counts of each ``column`` value per ``row`` value, 0 where none; the values are named, so one pass is enough."""
+    """Counts of each ``column`` value per ``row`` value, 0 where none.
+
+    The values are named, so one pass is enough; all others are counted in the column ``other``.
+    """
     kept = df.na.drop(subset=[row, column])
-    return kept.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
+    named = F.when(F.col(column).isin(values), F.col(column)).otherwise("other")
+    return kept.withColumn("_value", named).groupBy(row).pivot("_value", [*values, "other"]) \
+        .agg(F.count(F.lit(1))).na.fill(0)
 
 
 def equal_width_histogram(df: DataFrame, by: str, value: str, bins: int) -> DataFrame:

@@ -9,13 +9,15 @@ from evoq.config import KEY
 
 
 def first_event_per_epoch(labels: DataFrame, values: tuple[str, ...] = ("rating", "laser_power")) -> DataFrame:
-    """The values of the event that arrived first in each epoch (counted from 0); events without an epoch drop out.
+    """The values of the event that arrived first in each epoch; events without an epoch drop out.
 
-    ``event_pos`` names an event within its file. The minimum is kept by hash and combined on the map side, so no
-    epoch or subject is ever sorted.
+    Labels count epochs from 1, the result counts them from 0 as the signals do. ``event_pos`` names an event within its
+    file; all values come from one event, of equal places the one with the least values. The minimum is combined on
+    the map side, so no epoch or subject is ever gathered.
     """
-    first = [F.min_by(v, "event_pos").alias(v) for v in values]
-    return labels.where(F.col("epoch").isNotNull()).groupBy(*KEY).agg(*first)
+    first = F.min(F.struct("event_pos", *values)).alias("_first")
+    counted = labels.where(F.col("epoch").isNotNull()).withColumn("epoch", F.col("epoch") - 1)
+    return counted.groupBy(*KEY).agg(first).select(*KEY, *[F.col(f"_first.{v}").alias(v) for v in values])
 
 
 def epoch_spine(files: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
@@ -27,6 +26,8 @@ class ForestSpec:
     seed: int = 42
     test_share: float = 0.2
     repeats: int = 15
+    tasks: int = 8  # a part of the result, as bagging is seeded per task: raise it for more than a few million rows
+    memory_mb: int = 1024  # statistics of a round of nodes; more means fewer passes over the rows
 
 
 def feature_names(columns: list[str], drop: tuple[str, ...] = NON_FEATURES) -> list[str]:
@@ -38,9 +39,15 @@ def labelled(features: DataFrame, subset: tuple[str, ...] = ("rating", "laser_po
 
 
 def model_inputs(features: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Labelled rows with the remaining gaps filled by column medians, and the names of the model inputs."""
-    names = feature_names(features.columns)
-    return summaries.impute_medians(labelled(features), names), names
+    """Labelled rows with the remaining gaps filled by column medians, and the names of the model inputs.
+
+    A feature without a single value, such as the phase locking of a pair no montage has, is not an input.
+    """
+    rows, names = labelled(features), feature_names(features.columns)
+    held = rows.agg(*[F.count(F.col(f"`{n}`")).alias(n) for n in names]).first()
+    empty = [n for n in names if not held[n]]
+    names = [n for n in names if held[n]]
+    return summaries.impute_medians(rows.drop(*empty), names), names
 
 
 def split(df: DataFrame, key: list[str], seed: int = 42, test_share: float = 0.2) -> DataFrame:
@@ -54,20 +61,15 @@ def split(df: DataFrame, key: list[str], seed: int = 42, test_share: float = 0.2
         .drop("_d", "group_size")
 
 
-def forest_tasks(rows: int) -> int:
-    """Every task sends the statistics of all open nodes in each round, so few rows want few tasks and many rows
-    large ones; 100,000 rows bagged for 300 trees hold some 130 MB."""
-    return max(min(math.ceil(rows / 2_000), 64), math.ceil(rows / 100_000), 1)
-
-
 def fit_forest(train: DataFrame, names: list[str], target: str, spec: ForestSpec) -> RandomForestRegressionModel:
-    """``train`` has the ``position`` of ``split``; it is spread by it, alike on every run."""
-    train = train.repartition(forest_tasks(train.count()), "position")
+    """``train`` has the ``position`` of ``split``. Bagging is seeded per task, so rows are spread over a set number of tasks by
+    it and ordered within: the same seed gives the same forest at any size of cluster."""
+    train = train.repartition(spec.tasks, "position").sortWithinPartitions("position")
     vectors = VectorAssembler(inputCols=names, outputCol="features") \
         .transform(train)
     forest = RandomForestRegressor(
         featuresCol="features", labelCol=target, numTrees=spec.trees, maxDepth=spec.depth, maxBins=spec.bins,
-        featureSubsetStrategy="all", minInstancesPerNode=1, seed=spec.seed)
+        featureSubsetStrategy="all", minInstancesPerNode=1, seed=spec.seed, maxMemoryInMB=spec.memory_mb)
     return forest.fit(vectors.select("features", F.col(target).cast("double").alias(target)))
 
 

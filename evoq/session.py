@@ -48,10 +48,16 @@ _local_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; a local one only where the cluster names none."""
+    """The folder all executors see: ``spark.checkpoint.dir`` or the context's checkpoint folder.
+
+    Only in local mode, where driver and executors are one machine, does a temporary folder stand in for it.
+    """
     global _local_folder
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         _local_folder = folder = _local_folder or tempfile.mkdtemp(prefix="evoq-")
     return folder.rstrip("/")
 

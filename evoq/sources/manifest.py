@@ -14,7 +14,8 @@ LABEL_DERIVATIVE = "rerefer"
 def list_objects(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """Keys (below ``root``) and sizes of all objects; the content column is never read.
 
-    Spark's file sources do not hand out objects of zero bytes, so those are not listed.
+    Spark's file sources leave out objects of zero bytes and names that start with ``.`` or ``_``; where these count,
+    read the store's own inventory (``from_inventory``).
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
@@ -24,6 +25,12 @@ def list_objects(spark: SparkSession, root: str, glob: str | None = None) -> Dat
     return found.select(F.element_at(F.split("path", "\\Q" + base + "\\E", 2), -1).alias("key"), "size")
 
 
+def from_inventory(inventory: DataFrame, key: str = "key", size: str = "size") -> DataFrame:
+    """Keys and sizes of a store's inventory table: every object, hidden and empty ones too; folder marks are none."""
+    return inventory.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("size")) \
+        .where(F.col("key").isNotNull() & ~F.col("key").endswith("/"))
+
+
 def under_prefix(manifest: DataFrame, prefix: str) -> DataFrame:
     return manifest.where(F.col("key").startswith(prefix))
 
@@ -42,8 +49,9 @@ def with_key_parts(objects: DataFrame) -> DataFrame:
 
 
 def missing_datasets(datasets: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Accessions without a single object."""
-    return datasets.join(manifest, datasets["accession"] == manifest["dataset"], "left_anti")
+    """Accessions without a single object. One row per dataset is left before the join, so no dataset's objects meet."""
+    present = manifest.select(F.col("dataset").alias("_present")).distinct()
+    return datasets.join(present, F.col("accession") == F.col("_present"), "left_anti")
 
 
 def ends_with_any(key: Column, suffixes: list[str]) -> Column:

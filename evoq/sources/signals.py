@@ -18,13 +18,13 @@ DEFAULT_RATE = 1000.0
 
 
 def read_float_blocks(spark: SparkSession, path: str, shapes: DataFrame, glob: str = "*.fdt") -> DataFrame:
-    """Blocks of a folder with their shapes (``path, nbchan, pnts, trials``).
+    """Blocks of a folder with their shapes (``path, nbchan, pnts, trials``), NULL for a block without one.
 
     The shapes are pinned: known to be small, they go to the blocks, and no block is shuffled.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
         .option("pathGlobFilter", glob).load(path)
-    return files.select("path", "length", "content").join(pin(shapes), "path")
+    return files.select("path", "length", "content").join(pin(shapes), "path", "left")
 
 
 def block_fits(length="length"):
@@ -59,28 +59,29 @@ def decode_float_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def block_rejects(blocks: DataFrame) -> DataFrame:
-    return blocks.where(~block_fits()).select("path", F.lit("block size").alias("stage"), F.format_string(
-        "%d bytes for %d x %d x %d values of 4", "length", "nbchan", "pnts",
-        F.coalesce("trials", F.lit(1))).alias("reason"))
+    """Every block that ``decode_float_blocks`` leaves out, with the reason."""
+    known = F.col("nbchan").isNotNull() & F.col("pnts").isNotNull()
+    size = F.format_string("%d bytes for %d x %d x %d values of 4", "length", "nbchan", "pnts", F.coalesce("trials", F.lit(1)))
+    return blocks.where(~F.coalesce(block_fits(), F.lit(False))).select(
+        "path", F.when(known, "block size").otherwise("block shape").alias("stage"),
+        F.when(known, size).otherwise("no channel or sample count").alias("reason"))
 
 
 def decode_large_block(spark: SparkSession, path: str, nbchan: int, pnts: int) -> DataFrame:
-    """A block too large for one row: one record per time sample, regrouped to signals by a shuffle on its epoch."""
-    records = spark.sparkContext.binaryRecords(path, 4 * nbchan).zipWithIndex() \
-        .map(lambda r: (r[1], bytearray(r[0]))).toDF("n bigint, record binary")
+    """A block too large for one row. One record is one epoch, decoded where it is read, so nothing is shuffled."""
+    records = spark.sparkContext.binaryRecords(path, 4 * nbchan * pnts).zipWithIndex() \
+        .map(lambda r: (r[1], bytearray(r[0]))).toDF("epoch bigint, record binary")
 
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = b"".join(v.as_py() for v in batch.column(1))
-            values = np.frombuffer(raw, dtype="<f4").astype("f8")
-            offsets = np.arange(batch.num_rows + 1, dtype="i4") * nbchan
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["n", "row"])
+            for epoch, record in zip(batch.column(0).to_pylist(), batch.column(1)):
+                values = np.frombuffer(record.as_buffer(), dtype="<f4").reshape(pnts, nbchan).T.astype("f8").ravel()
+                offsets = np.arange(nbchan + 1, dtype="i4") * pnts
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([epoch] * nbchan, pa.int32()), pa.array(range(nbchan), pa.int32()),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["epoch", "channel_idx", "signal"])
 
-    samples = records.mapInArrow(widen, "n bigint, row array<double>")
-    long = samples.select(F.expr(f"cast(n div {pnts} as int)").alias("epoch"),
-                          (F.col("n") % pnts).cast("int").alias("i"), F.posexplode("row").alias("channel_idx", "v"))
-    return gather_signals(long, ["epoch", "channel_idx"])
+    return records.mapInArrow(decode, "epoch int, channel_idx int, signal array<double>")
 
 
 def gather_signals(samples: DataFrame, key: list[str]) -> DataFrame:
@@ -93,24 +94,37 @@ def to_samples(epochs: DataFrame, *keep: str) -> DataFrame:
     return epochs.select(*keep, F.posexplode("signal").alias("i", "v"))
 
 
-def orient(cells: DataFrame) -> DataFrame:
-    """Give the axes of a tensor stored cell by cell their roles.
-
-    ``cells``: ``dataset, subject, a0, a1, a2, v, n_channels, n_times``. The channel axis is the first of the
-    length n_channels, the time axis the first other one of the length n_times, the epoch axis the one left.
-    Files without such axes are left out.
-    """
+def _axis_roles(cells: DataFrame) -> DataFrame:
+    """Per file the axes (1 to 3) of channels ``ch`` and time ``tm``, NULL where none fits."""
     key = ["dataset", "subject"]
     lengths = cells.groupBy(*key, "n_channels", "n_times").agg(
         *[(F.max(f"a{i}") + 1).alias(f"l{i}") for i in range(3)])
     axes = F.array("l0", "l1", "l2")
-    ch = F.array_position(axes, F.col("n_channels")).cast("int")
+    stored = (F.col("l1") == F.col("n_channels")) & (F.col("l2") == F.col("n_times"))
+    found = F.nullif(F.array_position(axes, F.col("n_channels")).cast("int"), F.lit(0))
     others = F.filter(F.array(*map(F.lit, (1, 2, 3))),
                       lambda i: (i != F.col("ch")) & (F.element_at(axes, i) == F.col("n_times")))
-    roles = lengths.withColumn("ch", ch).withColumn("tm", F.get(others, F.lit(0))) \
-        .where((F.col("ch") > 0) & F.col("tm").isNotNull()) \
-        .select(*key, "ch", "tm", (F.lit(6) - F.col("ch") - F.col("tm")).alias("ep"))
-    roles = pin(roles)
+    return lengths.withColumn("ch", F.when(stored, 2).otherwise(found)) \
+        .withColumn("tm", F.when(stored, 3).otherwise(F.get(others, F.lit(0))))
+
+
+def orient_rejects(cells: DataFrame) -> DataFrame:
+    """Files whose axes fit no roles."""
+    return _axis_roles(cells).where("ch is null or tm is null").select(
+        "dataset", "subject", F.lit("axes").alias("stage"),
+        F.format_string("no axes of %d channels and %d samples", "n_channels", "n_times").alias("reason"))
+
+
+def orient(cells: DataFrame) -> DataFrame:
+    """Give the axes of a tensor stored cell by cell their roles.
+
+    ``cells``: ``dataset, subject, a0, a1, a2, v, n_channels, n_times``. Data whose axes fit as (epoch, channel, time)
+    keep that order. Else the channel axis is the first of the length n_channels, the time axis the first other one
+    of the length n_times, the epoch axis the one left. Files without such axes are in ``orient_rejects``.
+    """
+    key = ["dataset", "subject"]
+    roles = pin(_axis_roles(cells).where("ch is not null and tm is not null")
+                .select(*key, "ch", "tm", (F.lit(6) - F.col("ch") - F.col("tm")).alias("ep")))
     at = F.array("a0", "a1", "a2")
     placed = cells.join(roles, key).select(
         *key, F.element_at(at, F.col("ep")).alias("epoch"), F.element_at(at, F.col("ch")).alias("channel_idx"),
@@ -130,9 +144,17 @@ def with_times(files: DataFrame) -> DataFrame:
         .withColumn("srate", rate)
 
 
+def time_rejects(files: DataFrame) -> DataFrame:
+    """Files of ``with_times`` without a time axis."""
+    return files.where(F.col("times").isNull()).select(
+        "dataset", "subject", F.lit("times").alias("stage"), F.lit("no time axis").alias("reason"))
+
+
 def check_shapes(epochs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split rows by their files' declared shape into good rows and one reject per bad file with the reason.
 
+    A declared file without a row and a file without a declared shape are rejects too.
+
     ``files``: ``dataset, subject, n_channels, n_times, ndim``; a file is bad as a whole, like one read at once.
     """
     key = ["dataset", "subject"]
@@ -147,7 +169,8 @@ def check_shapes(epochs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
         .when((F.col("shortest") != F.col("n_times")) | (F.col("longest") != F.col("n_times")),
               F.lit("sample count differs from time axis"))
     undeclared = F.when(F.col("n_channels").isNull(), F.lit("no declared shape"))
-    judged = found.join(files, key, "left").select(*key, F.coalesce(undeclared, reason).alias("reason"))
+    absent = F.when(F.col("found_channels").isNull(), F.lit("no signals"))
+    judged = found.join(files, key, "full").select(*key, F.coalesce(absent, undeclared, reason).alias("reason"))
     # Bad files are few, so taking them out does not shuffle the signals.
     bad = pin(judged.where(F.col("reason").isNotNull()))
     return epochs.join(bad, key, "left_anti"), bad.withColumn("stage", F.lit("shape"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,22 +60,37 @@ def read_participants(spark: SparkSession, path_of_dataset: dict[str, str]) -> D
     return union_all(spark, frames, PARTICIPANTS)
 
 
+def _places_beyond(names: str, cells: str) -> Column:
+    """Names for the cells that a line has beyond the header."""
+    more = F.transform(F.sequence(F.size(names), F.greatest(F.size(cells) - 1, F.size(names))), lambda i: F.concat(F.lit("_"), i))
+    return F.when(F.size(cells) > F.size(names), more).otherwise(F.array().cast("array<string>"))
+
+
+def _numbered(names: Column) -> Column:
+    """A repeated name gets the number of its earlier occurrences."""
+    def name(n: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(names, F.lit(1), i), lambda m: m == n))
+        return F.when(before == 0, n).otherwise(F.concat(n, F.lit("."), before))
+    return F.transform(names, name)
+
+
 def read_event_files(spark: SparkSession, path: str, glob: str = "*_events.tsv") -> DataFrame:
     """One row per event of every ``*_events.tsv`` file, in one scan whatever columns each file has.
 
     A file is small, so it is read whole; its first line names the fields of the others. Fields without a
-    column of their own are kept in ``extra``. A line of another width than the header is dropped.
+    column of their own are kept in ``extra``. Cells that a short line lacks are NULL; cells beyond the header are
+    kept in ``extra`` under their place (``_5``); a name that the header repeats is numbered (``value``, ``value.1``).
     """
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob) \
         .text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
     lines = files.select("source_file", F.split("value", "\r?\n").alias("lines")) \
         .select("source_file", F.split(F.get("lines", F.lit(0)), "\t").alias("names"),
                 F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line"))
-    fields = lines.where(F.trim("line") != "") \
-        .withColumn("cells", F.split("line", "\t")) \
-        .where((F.size("cells") == F.size("names")) & (F.size(F.array_distinct("names")) == F.size("names"))) \
-        .select("source_file", F.map_from_arrays("names", F.transform(
-            "cells", lambda c: F.when(~F.trim(c).isin(MISSING_TEXTS), c))).alias("cell"))
+    fields = lines.where(F.trim("line") != "").withColumn("cells", F.split("line", "\t")) \
+        .withColumn("names", _numbered(_numbered(F.concat("names", _places_beyond("names", "cells"))))) \
+        .select("source_file", F.map_from_arrays("names", F.transform("names", lambda _, i: F.get("cells", i)))
+                .alias("cell")) \
+        .withColumn("cell", F.transform_values("cell", lambda _, c: F.when(~F.trim(c).isin(MISSING_TEXTS), c)))
     known = ["onset", "duration", "sample", "value"]
     cell = lambda name: F.try_element_at("cell", F.lit(name))
     return fields.select(

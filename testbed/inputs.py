@@ -71,11 +71,11 @@ EVENT_POS_SQL = "l_partkey * 100000000 + round(l_extendedprice * 100)::BIGINT"
 
 
 def epoch_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label events for those epochs, numbers already: order k labels epoch k, its lines are the events."""
+    """Label events for those epochs, numbers already: order k labels the epoch that counts k + 1 from 1."""
     k = F.col("l_orderkey")
     return table(spark, sf_dir, "lineitem").select(
         *[c.alias(n) for n, c in _owner(k).items()], F.expr(EVENT_POS).alias("event_pos"),
-        k.cast("int").alias("epoch"), (F.col("l_discount") * 100).alias("rating"), F.col("l_quantity").alias("laser_power"))
+        (k + 1).cast("int").alias("epoch"), (F.col("l_discount") * 100).alias("rating"), F.col("l_quantity").alias("laser_power"))
 
 
 EPOCH_LABELS_SQL = f"""lab0 AS (SELECT {OWNER_SQL.format(e='l_orderkey')}, l_orderkey AS epoch, {EVENT_POS_SQL} AS event_pos,
@@ -101,7 +101,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LABELS_SQL = f"""lb AS (SELECT l_returnflag AS dataset, 'sub-' || l_orderkey AS subject, {EVENT_POS_SQL} AS event_pos,
-    l_linestatus AS type, CASE WHEN l_tax <> 0.05 THEN l_linenumber - 1 END AS epoch,
+    l_linestatus AS type, CASE WHEN l_tax <> 0.05 THEN l_linenumber END AS epoch,
     CASE WHEN l_tax NOT IN (0.07, 0.08) THEN round(l_discount * 100) END AS rating,
     CASE WHEN l_tax <> 0.06 THEN l_quantity / 10 END AS laser_power FROM lineitem)"""
 
@@ -119,7 +119,7 @@ PARTICIPANTS_SQL = """pt AS (SELECT c_name AS participant_id, r_name AS dataset,
     CASE WHEN r_name <> 'ASIA' THEN c_acctbal END AS "Age" FROM customer
     JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
-SEXES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+SEXES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]  # and one that the list lacks
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,7 @@ MATRIX_SQL = "mx AS (SELECT 'ds' || (vec_id % 3) AS dataset, vec_id AS epoch, "
 
 
 def float_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector packed as one float32 block of 4 channels x 4 samples x 4 epochs; longer ids get a wrong shape."""
+    """Each vector packed as one float32 block of 4 channels x 4 samples x 4 epochs; label 9 gets a wrong shape, label 8 none."""
     @F.arrow_udf("binary")
     def pack(values: pa.Array) -> pa.Array:
         flat = np.asarray(values.flatten(), dtype="<f4").reshape(len(values), -1)
@@ -226,6 +226,6 @@ def float_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.concat(F.lit("b/"), F.col("vec_id").cast("string")).alias("path"), pack("embedding").alias("content"),
-                    F.lit(4).alias("nbchan"), F.lit(4).alias("pnts"),
+                    F.when(F.col("label") != 8, 4).alias("nbchan"), F.lit(4).alias("pnts"),
                     F.when(F.col("label") == 9, 3).otherwise(4).alias("trials")) \
         .withColumn("length", F.length("content").cast("bigint"))

@@ -11,7 +11,7 @@ from testbed import inputs as I
 from testbed.registry import query, rnd, rounded
 
 MX = I.MATRIX_SQL
-SPEC = imp.ForestSpec(trees=40, depth=10, bins=32)
+SPEC = imp.ForestSpec()
 CHOSEN = "mc AS (SELECT * FROM mx WHERE rating IS NOT NULL AND laser_power IS NOT NULL)"
 PLACE = "pl AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || epoch)) AS position, count(*) OVER () AS total FROM mc)"
 
@@ -44,9 +44,9 @@ def m8(spark, sf):
     return rounded(filled.select("epoch", *names))
 
 
-@query("F12_fill_with_median", f"SELECT epoch, {rnd('coalesce(f3, (SELECT median(f3) FROM mx))')} AS f3 FROM mx", (MX,))
+@query("F12_fill_with_median", "SELECT epoch, " + ", ".join(f"{rnd(f'coalesce({f}, (SELECT median({f}) FROM mx))')} AS {f}" for f in I.FEATURES) + " FROM mx", (MX,))
 def f12(spark, sf):
-    return rounded(summaries.impute_medians(I.matrix(spark, sf).select("epoch", "f3"), ["f3"]))
+    return rounded(summaries.impute_medians(I.matrix(spark, sf).select("epoch", *I.FEATURES), I.FEATURES))
 
 
 def fitted(spark, sf, target="rating"):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from evoq.functions.arrays import Axis
 from evoq.functions.numbers import band_label, capped_high, percent_change, resultant_length
 from evoq.operators import channels, complexity, erp, phase, spectral, summaries, trials
 from evoq.plans import features
+from evoq.sources import labels as label_source
 from evoq.sources import signals
 from testbed import inputs as I
 from testbed import registry
@@ -452,9 +454,19 @@ def p9(spark, sf):
     return good.groupBy("dataset", "subject").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("A22_rejects_by_reason", """SELECT 'block size' AS stage, count(*) AS n FROM embeddings WHERE label = 9""")
+@query("A22_rejects_by_reason", """SELECT CASE label WHEN 9 THEN 'block size' ELSE 'block shape' END AS stage, count(*) AS n FROM embeddings
+    WHERE label IN (8, 9) GROUP BY 1 UNION ALL SELECT 'labels', count(*) FROM orders WHERE o_orderkey % 3 <> 0
+    UNION ALL SELECT 'times', count(*) FROM orders WHERE o_orderkey % 2 = 0""")
 def a22(spark, sf):
-    return signals.block_rejects(I.float_blocks(spark, sf)).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    """Blocks with a wrong shape or none, label files without an event, files without a time axis."""
+    o = I.table(spark, sf, "orders").select(F.lit("ds1").alias("dataset"), F.col("o_orderkey").cast("string").alias("subject"), "o_orderkey")
+    event = F.struct(F.lit("1").alias("epoch"))
+    files = o.select("*", F.when(F.col("o_orderkey") % 3 == 0, F.array(event)).when(F.col("o_orderkey") % 3 == 1, F.array().cast("array<struct<epoch: string>>")).alias("events"),
+                     F.lit(None).cast("struct<epoch: string>").alias("event"))
+    times = signals.with_times(o.select("*", F.lit(None).cast("array<double>").alias("times_ms"), F.lit(100.0).alias("srate"), F.lit(3).alias("pnts"),
+                                        F.when(F.col("o_orderkey") % 2 == 1, 0.5).alias("xmin")))
+    stages = [signals.block_rejects(I.float_blocks(spark, sf)), label_source.event_rejects(files), signals.time_rejects(times)]
+    return reduce(lambda a, b: a.unionAll(b), [s.select("stage") for s in stages]).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("P10_axis_orientation", """SELECT 'ds' || (vec_id % 2) AS dataset, vec_id::VARCHAR AS subject, (u // 32)::INT AS epoch, CASE WHEN vec_id % 2 = 0
@@ -473,7 +485,7 @@ def p10(spark, sf):
 
 
 @query("S8_float_block_decode", """SELECT 'b/' || vec_id AS path, (u // 16)::INT AS epoch, (u % 4)::INT AS channel_idx, (u // 4 % 4)::INT AS i,
-    embedding[u + 1]::DOUBLE AS v FROM embeddings, range(0, 64) r(u) WHERE label <> 9""")
+    embedding[u + 1]::DOUBLE AS v FROM embeddings, range(0, 64) r(u) WHERE label NOT IN (8, 9)""")
 def s8(spark, sf):
     return signals.to_samples(signals.decode_float_blocks(I.float_blocks(spark, sf)), "path", "epoch", "channel_idx")
 
@@ -526,7 +538,7 @@ def j1(spark, sf):
     return rounded(trials.attach_labels(I.epochs(spark, sf).select("dataset", "subject", "epoch"), I.epoch_labels(spark, sf)))
 
 
-FIRST_SQL = """fe AS (SELECT dataset, subject, epoch::INT AS epoch, rating, laser_power FROM lb WHERE epoch IS NOT NULL
+FIRST_SQL = """fe AS (SELECT dataset, subject, (epoch - 1)::INT AS epoch, rating, laser_power FROM lb WHERE epoch IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY dataset, subject, epoch ORDER BY event_pos, rating NULLS FIRST, laser_power NULLS FIRST) = 1)"""
 
 

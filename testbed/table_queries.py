@@ -24,7 +24,9 @@ LB, PT, MF, SC = I.LABELS_SQL, I.PARTICIPANTS_SQL, I.MANIFEST_SQL, I.SIDECARS_SQ
 
 @query("S1_list_under_prefix", "SELECT key, size FROM mf WHERE starts_with(key, 'dsen/')", (MF,))
 def s1(spark, sf):
-    return objects.under_prefix(I.manifest_keys(spark, sf), "dsen/")
+    path = scratch_path(spark, "inventory")
+    I.manifest_keys(spark, sf).write.parquet(path)
+    return objects.under_prefix(objects.from_inventory(spark.read.parquet(path)), "dsen/")
 
 
 @query("S2_missing_datasets", """SELECT accession FROM (SELECT 'ds' || lang AS accession FROM documents UNION
@@ -71,11 +73,11 @@ MATRIX_SCHEMA = T.StructType([T.StructField("dataset", T.StringType()), T.Struct
                               *[T.StructField(f, T.DoubleType()) for f in (*I.FEATURES, "rating", "laser_power")]])
 
 
-@query("S6_feature_csv", "SELECT epoch, f1, f2, f22, rating, laser_power FROM mx", (I.MATRIX_SQL,))
+@query("S6_feature_csv", f"SELECT dataset, epoch, {', '.join(I.FEATURES)}, rating, laser_power FROM mx", (I.MATRIX_SQL,))
 def s6(spark, sf):
     path = scratch_path(spark, "features")
     tables.write_csv(I.matrix(spark, sf), path)
-    return tables.read_features_csv(spark, path, MATRIX_SCHEMA).select("epoch", "f1", "f2", "f22", "rating", "laser_power")
+    return tables.read_features_csv(spark, path, MATRIX_SCHEMA)
 
 
 @query("S7_label_scan", "SELECT dataset, subject, event_pos, type, epoch::INT AS epoch, rating, laser_power, NULL::VARCHAR AS code FROM lb", (LB,))
@@ -187,9 +189,9 @@ def p16(spark, sf):
     return c.select(F.lit(name).alias("column_name"), F.col(name).alias("value"))
 
 
-@query("P22_transpose", "SELECT epoch, feature, value FROM (SELECT epoch, f1, f2, f3, f4 FROM mx) UNPIVOT INCLUDE NULLS (value FOR feature IN (f1, f2, f3, f4))", (I.MATRIX_SQL,))
+@query("P22_transpose", f"SELECT epoch, feature, value FROM (SELECT epoch, {', '.join(I.FEATURES)} FROM mx) UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(I.FEATURES)}))", (I.MATRIX_SQL,))
 def p22(spark, sf):
-    return summaries.to_long(I.matrix(spark, sf), ["epoch"], ["f1", "f2", "f3", "f4"])
+    return summaries.to_long(I.matrix(spark, sf), ["epoch"], I.FEATURES)
 
 
 @query("P23_empty_inputs", """SELECT dataset, count(rating) AS count FROM lb GROUP BY dataset""", (LB,))
@@ -264,7 +266,8 @@ def a5(spark, sf):
                    .withColumns({c: F.col(c).cast("double") for c in ("min", "max")}), 6)
 
 
-CROSSTAB = ", ".join(f"count(*) FILTER (WHERE \"Gender\" = '{s}') AS \"{s}\"" for s in I.SEXES)
+CROSSTAB = ", ".join(f"count(*) FILTER (WHERE \"Gender\" = '{s}') AS \"{s}\"" for s in I.SEXES) \
+    + f', count(*) FILTER (WHERE "Gender" NOT IN {tuple(I.SEXES)}) AS other'
 
 
 @query("A6_crosstab", f"SELECT dataset, {CROSSTAB} FROM pt GROUP BY dataset", (PT,))
@@ -589,7 +592,7 @@ X19 = " UNION ALL ".join([
     long_sql("age", "dataset", [(m, f'"{m}"') for m, _ in described("Age")],
              "(SELECT dataset, " + ", ".join(f"{e} AS \"{m}\"" for m, e in described('"Age"')) + " FROM pt GROUP BY dataset)"),
     long_sql("age_histogram", "dataset || '/' || bin", [("n", "n")], "hist"),
-    long_sql("sex", "dataset", [(s, f'"{s}"') for s in I.SEXES], f"(SELECT dataset, {CROSSTAB} FROM pt GROUP BY dataset)")])
+    long_sql("sex", "dataset", [(s, f'"{s}"') for s in [*I.SEXES, "other"]], f"(SELECT dataset, {CROSSTAB} FROM pt GROUP BY dataset)")])
 
 
 @query("X19_demographics_report", X19, (PT, histogram_sql("pt", '"Age"', 15)))

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evoq.operators import ranking, summaries
+from evoq.config import SignalSpec
+from evoq.operators import erp, ranking, summaries, trials
 from evoq.plans import importance as imp
 from evoq.plans import reports
 
@@ -141,5 +142,40 @@ def test_average_rank_of_ties(spark):
     assert {r["feature"]: r["r"] for r in imp.feature_rank(df, "v", "r").collect()} == {"a": 1.5, "c": 1.5, "b": 3.0}
 
 
-def test_forest_tasks():
-    assert [imp.forest_tasks(n) for n in (0, 10, 5000, 1_000_000, 130_000_000)] == [1, 1, 3, 64, 1300]
+def test_features_without_a_value_are_no_inputs(spark):
+    rows = spark.createDataFrame([(i, 1.0 * i, None, 2.0, 3.0) for i in range(4)], "epoch int, a double, `plv_C3-C4` double, rating double, laser_power double")
+    filled, names = imp.model_inputs(rows)
+    assert names == ["a"] and "plv_C3-C4" not in filled.columns and filled.count() == 4
+
+
+def test_crosstab_counts_values_beyond_the_list(spark):
+    rows = spark.createDataFrame([("d", "F"), ("d", "M"), ("d", "X"), ("e", "X"), ("e", None)], "dataset string, sex string")
+    got = {r["dataset"]: (r["F"], r["M"], r["other"]) for r in summaries.crosstab(rows, "dataset", "sex", ["F", "M"]).collect()}
+    assert got == {"d": (1, 1, 1), "e": (0, 0, 1)}
+
+
+def test_first_event_is_one_event(spark):
+    rows = spark.createDataFrame([("d", "s", 1, 0, None, 7.0), ("d", "s", 1, 0, 2.0, 1.0), ("d", "s", 1, 1, 9.0, 9.0)],
+                                 "dataset string, subject string, epoch int, event_pos int, rating double, laser_power double")
+    assert [tuple(r) for r in trials.first_event_per_epoch(rows).collect()] == [("d", "s", 0, None, 7.0)]
+
+
+def test_baseline_without_numbers_gives_no_peaks(spark):
+    spec = SignalSpec(windows={"baseline": (-0.2, -0.1), "n2": (0.0, 0.1), "p2": (0.2, 0.3)})
+    nan = float("nan")
+    df = spark.createDataFrame([(-0.2, 10.0, [nan, nan, 1.0, 5.0, 2.0, 3.0]), (0.0, 10.0, [5.0, 4.0, 3.0, 2.0])], "t0 double, sfreq double, signal array<double>")
+    df = df.withColumn("n_times", F.size("signal"))
+    got = [(r["n2_amp"], r["p2_amp"]) for r in erp.with_peaks(df, spec).collect()]
+    assert got == [(None, None), (4.0, 3.0)]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from evoq.session import shared_folder
+    fake = lambda master, folder: SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    assert shared_folder(fake("yarn", "hdfs:///x/")) == "hdfs:///x"
+    assert shared_folder(fake("local[2]", None))
+    with pytest.raises(RuntimeError):
+        shared_folder(fake("local-cluster[1,1,1024]", None))

@@ -21,7 +21,8 @@ def store(tmp_path):
     put("ds001/participants.tsv", "participant_id\tGender\tAge\nsub-1\tF\t20\nsub-2\tM\tn/a\n")
     put("ds002/participants.tsv", "participant_id\tGender\tEnergy\nsub-1\tM\t4.25\n")
     put("ds001/sub-1/eeg/sub-1_task_events.tsv", "onset\tduration\tsample\tvalue\n0.5\tn/a\t512\tS 1\n1.5\t0\t1536\tn/a\n")
-    put("ds001/sub-2/eeg/sub-2_task_events.tsv", "onset\tvalue\ttrial\r\n0.25\tS 2\t7\r\nbad line\r\n")
+    put("ds001/sub-2/eeg/sub-2_task_events.tsv", "onset\tvalue\ttrial\r\n0.25\tS 2\t7\r\n0.75\r\n")
+    put("ds002/sub-4/eeg/sub-4_task_events.tsv", "onset\tvalue\tvalue\n0.125\ta\tb\tc\n")
     put("ds002/sub-3/eeg/sub-3_task_events.tsv", "")
     put("ds001/sub-1/eeg/sub-1_task_events.json", '{"onset": {"Units": "s"}}')
     put("ds001/sub-2/eeg/sub-2_task_events.json", '{"onset": {"Units": "s"}}')
@@ -33,7 +34,7 @@ def store(tmp_path):
 def test_listing(spark, store):
     found = manifest.with_key_parts(manifest.list_objects(spark, str(store)))
     keys = {r["key"]: r for r in found.collect()}
-    assert len(keys) == 8  # the empty event file is not listed
+    assert len(keys) == 9  # the empty event file is not listed
     row = keys["ds001/derivatives/rerefer/sub-1.set"]
     assert (row["dataset"], row["subject"], row["derivative"], row["basename"], row["ext"], row["size"]) == \
         ("ds001", "sub-1", "rerefer", "sub-1.set", ".set", 3)
@@ -64,7 +65,9 @@ def test_participants(spark, store):
 
 def test_event_files(spark, store):
     rows = {(r["subject"], r["onset"]): r for r in tables.read_event_files(spark, str(store)).collect()}
-    assert set(rows) == {("sub-1", 0.5), ("sub-1", 1.5), ("sub-2", 0.25)}
+    assert set(rows) == {("sub-1", 0.5), ("sub-1", 1.5), ("sub-2", 0.25), ("sub-2", 0.75), ("sub-4", 0.125)}
+    assert rows["sub-2", 0.75]["value"] is None and rows["sub-2", 0.75]["extra"] == {"trial": None}
+    assert rows["sub-4", 0.125]["value"] == "a" and rows["sub-4", 0.125]["extra"] == {"value.1": "b", "_3": "c"}
     one = rows["sub-1", 0.5]
     assert (one["duration"], one["sample"], one["value"], one["dataset"]) == (None, 512, "S 1", "ds001")
     assert rows["sub-1", 1.5]["value"] is None
@@ -89,7 +92,7 @@ def test_label_rows(spark, tmp_path):
         {"dataset": "d", "subject": "s", "event_pos": 3, "epoch": "3", "rating": "[]"}]))
     rows = labels.coerce(labels.read_labels(spark, str(path))).orderBy("event_pos").collect()
     assert [r["rating"] for r in rows] == [5.0, 9.0, None, None]
-    assert [r["epoch"] for r in rows] == [0, 0, None, 2]
+    assert [r["epoch"] for r in rows] == [1, 1, None, 3]
     assert rows[0]["code"] is None
     from evoq.operators import trials
     files = spark.createDataFrame([("d", "s", 3), ("d", "empty", 0)], "dataset string, subject string, n_epochs int")
@@ -103,13 +106,18 @@ def test_float_blocks(spark, tmp_path):
     good, bad = tmp_path / "sub-1.fdt", tmp_path / "sub-2.fdt"
     good.write_bytes(data.tobytes(order="F"))
     bad.write_bytes(b"\0" * 8)
-    shapes = spark.createDataFrame([(f"file:{p}", 3, 5, 2) for p in (good, bad)], "path string, nbchan int, pnts int, trials int")
+    alone, unknown = tmp_path / "sub-3.fdt", tmp_path / "sub-4.fdt"
+    alone.write_bytes(b"\0" * 4)
+    unknown.write_bytes(b"\0" * 4)
+    shapes = spark.createDataFrame([(f"file:{p}", 3, 5, 2) for p in (good, bad)] + [(f"file:{unknown}", None, 5, 2)],
+                                   "path string, nbchan int, pnts int, trials int")
     blocks = signals.read_float_blocks(spark, str(tmp_path), shapes)
     got = {(r["epoch"], r["channel_idx"]): r["signal"] for r in signals.decode_float_blocks(blocks).collect()}
     assert len(got) == 6
     assert all(got[e, c] == data[c, :, e].tolist() for e in range(2) for c in range(3))
-    rejects = signals.block_rejects(blocks).collect()
-    assert len(rejects) == 1 and "8 bytes" in rejects[0]["reason"]
+    rejects = {r["path"][-9:]: r for r in signals.block_rejects(blocks).collect()}
+    assert set(rejects) == {"sub-2.fdt", "sub-3.fdt", "sub-4.fdt"} and "8 bytes" in rejects["sub-2.fdt"]["reason"]
+    assert {rejects[f"sub-{i}.fdt"]["stage"] for i in (3, 4)} == {"block shape"}
     large = {(r["epoch"], r["channel_idx"]): r["signal"] for r in signals.decode_large_block(spark, str(good), 3, 5).collect()}
     assert large == got
 
@@ -123,6 +131,36 @@ def test_orientation(spark):
     assert len(got) == 3 * 8
     for name in ("straight", "swapped", "first"):
         assert all(got[name, e, c] == x[e, c].tolist() for e in range(2) for c in range(4))
+    assert [(r["subject"], r["stage"]) for r in signals.orient_rejects(df).collect()] == [("bad", "axes")]
+
+
+def test_orientation_of_as_many_epochs_as_channels(spark):
+    x = np.arange(4 * 4 * 8).reshape(4, 4, 8)
+    rows = [("d", "s", *map(int, i), float(x[i]), 4, 8) for i in np.ndindex(x.shape)]
+    df = spark.createDataFrame(rows, "dataset string, subject string, a0 int, a1 int, a2 int, v double, n_channels int, n_times int")
+    got = {(r["epoch"], r["channel_idx"]): r["signal"] for r in signals.orient(df).collect()}
+    assert all(got[e, c] == x[e, c].tolist() for e in range(4) for c in range(4))
+
+
+def test_shape_rejects_of_absent_and_undeclared_files(spark):
+    epochs = spark.createDataFrame([("d", "a", 0, 0, [1.0, 2.0]), ("d", "b", 0, 0, [1.0])], "dataset string, subject string, epoch int, channel_idx int, signal array<double>")
+    files = spark.createDataFrame([("d", "a", 1, 2, 3), ("d", "c", 1, 2, 3)], "dataset string, subject string, n_channels int, n_times int, ndim int")
+    good, bad = signals.check_shapes(epochs, files)
+    assert [r["subject"] for r in good.collect()] == ["a"]
+    assert {r["subject"]: r["reason"] for r in bad.collect()} == {"b": "no declared shape", "c": "no signals"}
+
+
+def test_label_rejects_and_large_numbers(spark):
+    schema = "dataset string, subject string, events array<struct<epoch: string, rating: string>>, event struct<epoch: string, rating: string>"
+    files = spark.createDataFrame([("d", "one", None, ("1e12", "3")), ("d", "none", [], None), ("d", "no field", None, None), ("d", "list", [("2", "1"), ("2", "5")], None)], schema)
+    assert {r["subject"]: r["reason"] for r in labels.event_rejects(files).collect()} == {"none": "no events", "no field": "no event field"}
+    rows = {(r["subject"], r["event_pos"]): r["epoch"] for r in labels.coerce(labels.explode_events(files)).collect()}
+    assert rows == {("one", 0): None, ("list", 0): 2, ("list", 1): 2}
+
+
+def test_inventory_keeps_hidden_and_empty_objects(spark):
+    df = spark.createDataFrame([(".bidsignore", 5), ("ds1/", 0), ("ds1/_x", 0), (None, 1)], "key string, size int")
+    assert sorted(map(tuple, manifest.from_inventory(df).collect())) == [(".bidsignore", 5), ("ds1/_x", 0)]
 
 
 def test_time_axis(spark):
