@@ -38,7 +38,38 @@ def remainder(divisor: int) -> Column:
     return F.crc32(F.col("key").cast("string")) % divisor
 
 
-@query("op1_secret_scan")
+def _matches_sql(no: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Places of one kind: the pieces between the matches and the matches give them, in code points."""
+    quoted = pattern.replace("'", "''")
+    length = lambda parts, last: f"coalesce(list_sum(list_transform({parts}[1:{last}], lambda x: length(x))), 0)"
+    start = f"{length('p', 'k')} + {length('m', 'k - 1')}"
+    return f"""select doc_id, source, {no} as kind_no, '{kind}' as kind, u.start as start, u.stop as stop, u.value as value from (
+        select doc_id, source, unnest(list_transform(range(1, len(m) + 1), lambda k: {{'start': ({start})::bigint,
+            'stop': ({start} + length(m[k]))::bigint, 'value': v[k]}})) as u
+        from (select doc_id, source, regexp_split_to_array(t, '{quoted}') as p, regexp_extract_all(t, '{quoted}') as m,
+              regexp_extract_all(t, '{quoted}', {group}) as v from d where regexp_matches(t, '{quoted}'))) where length(u.value) >= {least}"""
+
+
+_KINDS_SQL = " union all ".join(_matches_sql(i, *k) for i, k in enumerate(secrets.BASE_KINDS))
+_TEXT_OF = "string_agg(kind || ':' || start || ':' || stop, ',' order by start, kind_no)"
+SECRET_SQL = f"""
+with d as (select doc_id, source, coalesce(text, '') as t from documents),
+base as ({_KINDS_SQL}),
+longer as (select * from ({_matches_sql(3, *secrets.LIVE)}) l where regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]')
+           and not exists (select 1 from base b where b.doc_id = l.doc_id and b.start < l.stop and l.start < b.stop)),
+spans as (select *, true as is_base from base union all select *, false from longer),
+held as (select value, count(distinct source) as owners, count(distinct (source, doc_id)) as holders from spans group by value),
+kept as (select s.*, owners <= 1 and holders < 3 as specific from spans s join held h on h.value = s.value
+         where is_base or (owners <= 1 and holders < 3)),
+grouped as (select doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access,
+            count(*) filter (where kind = 'hex') as n_hex, {_TEXT_OF} filter (where is_base) as base_text, {_TEXT_OF} as spans,
+            count(*) filter (where specific) as n_live, count(*) filter (where not specific) as n_copied from kept group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(base_text, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied
+from d left join grouped g on g.doc_id = d.doc_id"""
+
+
+@query("op1_secret_scan", SECRET_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(sidecars(spark, sf_dir).withColumn("subject", F.col("key")))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
@@ -74,7 +105,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return object_rules.judge_objects(objects, RULES).withColumnRenamed("key", "page_id")
 
 
-@query("op4_near_copies")
+NEAR_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, unnest(list_distinct(case when len(ws) between 1 and 4 then [array_to_string(ws, ' ')]
+             else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end)) as shingle from w),
+n as (select w.doc_id, count(shingle) as n from w left join s on s.doc_id = w.doc_id group by w.doc_id),
+both_ways as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from both_ways join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+reach(doc_id, other) as (select doc_id, doc_id from n union select reach.doc_id, links.b from reach join links on links.a = reach.other)
+select n.doc_id, n.n as n_shingles, component_id, n.doc_id = component_id as kept
+from n join (select doc_id, min(other) as component_id from reach group by 1) c on c.doc_id = n.doc_id"""
+
+
+@query("op4_near_copies", NEAR_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nc.near_copies(sidecars(spark, sf_dir)).select(
         F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")

@@ -14,7 +14,7 @@ BASE_KINDS = (
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 # The added kind: a long token with a digit and a letter, kept only where its owners show it to be live.
-LIVE = ("live", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}", 0, 20)
+LIVE = ("live", r"[A-Za-z0-9+/_-]{20,}", 0, 20)
 
 SPAN = "array<struct<start: int, kind_no: int, kind: string, end: int, value: string>>"
 
@@ -49,7 +49,7 @@ def candidates(sidecars: DataFrame, dataset: str, subject: str, key: str, conten
     found = sidecars.select(F.col(dataset).alias("dataset"), F.col(subject).alias("subject"), F.col(key).alias("key"), text.alias("_text")) \
         .select("dataset", "subject", "key", *[k.alias(f"_{i}") for i, k in enumerate(kinds)])
     base = F.array_sort(F.concat("_0", "_1", "_2"))
-    outside = F.filter("_3", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    outside = F.filter("_3", lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return found.withColumn("base", base).withColumn("live", outside).select("dataset", "subject", "key", "base", "live") \
         .withColumn("row", F.monotonically_increasing_id())
 
