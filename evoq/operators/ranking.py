@@ -56,12 +56,16 @@ def value_cuts(df: DataFrame, by: list[str], value: str, cuts: int = CUTS) -> Da
     return pin(fine.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % 16 == 15)))
 
 
+def beside(df: DataFrame, one: DataFrame, by: list[str]) -> DataFrame:
+    """The columns of the one row per group of ``one`` beside the rows of ``df``; without groups as a scalar, not by a join."""
+    if by:
+        return df.join(one, by)
+    return df.withColumn("_one", one.select(F.struct(*one.columns)).scalar()).select(*df.columns, "_one.*")
+
+
 def with_bucket(df: DataFrame, cuts: DataFrame, by: list[str], value: str) -> DataFrame:
     """``_b``: the number of cuts <= value, found in two short steps."""
-    if by:
-        both = df.join(cuts, by)
-    else:  # one row: a scalar subquery, not a join
-        both = df.withColumn("_c", cuts.select(F.struct("_cuts", "_coarse")).scalar()).select("*", "_c.*").drop("_c")
+    both = beside(df, cuts, by)
     v = F.col(value)
     skipped = F.size(F.filter("_coarse", lambda c: c <= v)) * 16
     bucket = skipped + F.size(F.filter(F.slice("_cuts", skipped + 1, F.lit(16)), lambda c: c <= v))
@@ -98,16 +102,13 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float
     thousandth of the table) are shuffled and ordered, equal values as one. Where the counts show that a sketch missed
     the place, all rows of that group count as inside, so the result is exact in any case.
     """
-    group = by or ["_all"]
     v, margin = F.col(value), 4 / SKETCH
-    # Without groups all rows share the key 0. It is computed, as a literal would turn the joins into cross joins.
-    one_group = [] if by else [F.pmod(F.hash(v), F.lit(1)).alias("_all")]
-    rows = df.select(*by, value, *one_group).where(v.isNotNull())
+    rows = df.select(*by, value).where(v.isNotNull())
     probes = [p for s in shares for p in (max(s - margin, 0.0), min(s + margin, 1.0))]
     at = lambda p, i: F.get("_q", F.lit(i)) if 0 < p < 1 else F.lit(None).cast("double")  # no bound at either end
-    sketch = rows.groupBy(*group).agg(F.percentile_approx(value, probes, SKETCH).alias("_q"))
-    bounds = pin(sketch.select(*group, *[at(p, i).alias(f"_{'lh'[i % 2]}{i // 2}") for i, p in enumerate(probes)]))
-    counts = rows.join(bounds, group).groupBy(*bounds.columns).agg(
+    sketch = rows.groupBy(*by).agg(F.percentile_approx(value, probes, SKETCH).alias("_q"))
+    bounds = pin(sketch.select(*by, *[at(p, i).alias(f"_{'lh'[i % 2]}{i // 2}") for i, p in enumerate(probes)]))
+    counts = beside(rows, bounds, by).groupBy(*bounds.columns).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.count_if(v < F.col(f"_l{i}")).alias(f"_b{i}") for i in range(len(shares))],
         *[F.count_if(v <= F.col(f"_h{i}")).alias(f"_e{i}") for i in range(len(shares))])
@@ -119,13 +120,13 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float
         places.append(F.struct(
             F.lit(float(s)).alias("share"), place.alias("_at"), F.when(holds, low).alias("_l"), F.when(holds, high).alias("_h"),
             F.when(holds & low.isNotNull(), F.col(f"_b{i}")).otherwise(0).alias("_before")))
-    wanted = pin(counts.select(*group, F.inline(F.array(*places))))
-    inside = rows.join(wanted, group).where((F.col("_l").isNull() | (v >= F.col("_l"))) & (F.col("_h").isNull() | (v <= F.col("_h"))))
-    counted = inside.groupBy(*group, "share", "_at", "_before", value).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group, "share").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = pin(counts.select(*by, F.array(*places).alias("_wanted")))
+    inside = beside(rows, wanted, by).select(*by, value, F.inline("_wanted")).where((F.col("_l").isNull() | (v >= F.col("_l"))) & (F.col("_h").isNull() | (v <= F.col("_h"))))
+    counted = inside.groupBy(*by, "share", "_at", "_before", value).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by, "share").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
     here = lambda place: F.max(F.when((F.col("_from") <= place) & (place < F.col("_from") + F.col("_n")), v))
-    ends = placed.groupBy(*group, "share", "_at").agg(here(F.floor("_at")).alias("_v0"), here(F.ceil("_at")).alias("_v1"))
+    ends = placed.groupBy(*by, "share", "_at").agg(here(F.floor("_at")).alias("_v0"), here(F.ceil("_at")).alias("_v1"))
     return ends.select(*by, "share", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_at") - F.floor("_at")))
                        .alias("quantile"))
 

@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A join side is broadcast only if its stored or measured size is under this bound; else both sides are shuffled.
-BROADCAST_BOUND = "64m"
+# A join side is broadcast only if its stored or measured size is under this bound; else both sides are shuffled. Stored
+# columns unpack to several times their size in memory.
+BROADCAST_BOUND = "16m"
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
