@@ -251,8 +251,8 @@ def tree_scores(sidecars: DataFrame, key: str = "key", content: str = "content",
     * Every row gives one row, repeated ones included; an empty table an empty one. Other columns are ignored.
     """
     held_out = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
-    counts = pin(corpus_counts(sidecars, content, ~held_out, spec.depth))
-    word_counts = pin(counts.where("kind = 0").groupBy("item").agg(F.sum("n").alias("n")))
+    counts = pin(corpus_counts(sidecars, content, ~held_out, spec.depth).groupBy("kind", "item").agg(F.sum("n").alias("n")))
+    word_counts = counts.where("kind = 0").select("item", "n")
     totals = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     texts = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     train_tokens, distinct = totals["n"] + texts, totals["v"] + (texts > 0)
@@ -260,7 +260,7 @@ def tree_scores(sidecars: DataFrame, key: str = "key", content: str = "content",
     head = pin(word_counts.orderBy(F.desc("n"), "item").limit(spec.head)).toArrow()
     order = np.argsort(head["item"].to_numpy().view(np.uint64))
     head_words, head_counts = head["item"].to_numpy().view(np.uint64)[order], head["n"].to_numpy()[order]
-    one, own = model_table(tree_nodes(counts.where("kind = 1").groupBy("item").agg(F.sum("n").alias("n")), spec.depth), spec)
+    one, own = model_table(tree_nodes(counts.where("kind = 1").select("item", "n"), spec.depth), spec)
     shared = sidecars.sparkSession.sparkContext.broadcast((head_words, head_counts, one, own))
     end_score = math.log10(texts + 1) - unit
     kind, depth, slots = sidecars.schema[key].dataType.simpleString(), spec.depth, spec.slots
