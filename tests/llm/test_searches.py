@@ -185,7 +185,7 @@ def test_compact_windows_are_wide_tree_nodes():
             while right < n - 1 and x[right + 1] > x[c]:
                 right += 1
             if right - left + 1 >= 46:
-                want.append((int(x[c]), max(left, c - 45), min(right, c + 45)))
+                want.append((c, max(left, c - 45), min(right, c + 45)))
         got = list(zip(*(a.tolist() for a in passages.compact_windows(x, 46))))
         assert sorted(got) == sorted(want)
 
