@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD_CACHE = 150_000
+WORD_CACHE = 80_000
 _WORD = re.compile("[^\x20\x09-\x0D]+")
 _ODD = re.compile("[\x1c-\x1f]")  # white space for split(), but not for the tokenizer
 
@@ -81,7 +81,7 @@ class LastTokens:
         pair = (before, token)
         found = self.follows.get(pair)
         if found is None:
-            if len(self.follows) > 500_000:
+            if len(self.follows) > 200_000:
                 self.follows.clear()
             rank, found = self.rank, True
             for x, x_gone in self.sides(before)[1]:
@@ -141,7 +141,9 @@ class WordEncoder:
         self.rules = LastTokens(spec["model"]["vocab"], merges, spec["model"]["end_of_word_suffix"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        library = Tokenizer.from_str(model)
+        # Only its normalizer and splitter are used, so the library need not hold the vocabulary.
+        bare = {**spec, "added_tokens": [], "model": {**spec["model"], "vocab": {}, "merges": []}}
+        library = Tokenizer.from_str(json.dumps(bare))
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         # The splitting rule of the file for printable ASCII, where it needs no Unicode classes.
         self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -185,7 +187,7 @@ class WordEncoder:
         return self.words
 
 
-def _texts_of_words(column: pa.Array, block: int = 1 << 21) -> Iterator[tuple[int, list[list[str]]]]:
+def _texts_of_words(column: pa.Array, block: int = 1 << 20) -> Iterator[tuple[int, list[list[str]]]]:
     """First row and words of each row, so many rows at a time that they hold ``block`` bytes or are one row."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     first = 0
@@ -212,8 +214,17 @@ def encode_texts(sidecars: DataFrame, model: str, key: str = "key", content: str
     kind = sidecars.schema[key].dataType.simpleString()
 
     def run(batches):
+        # The caches are large and hold no cycles: what earlier tasks left in the worker is collected before and after.
+        gc.collect()
+        gc.disable()
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+            gc.collect()
+
+    def encoded(batches):
         encoder = None
-        gc.disable()  # the caches are large and hold no cycles
         for batch in batches:
             encoder = encoder or WordEncoder(model)
             for first, rows in _texts_of_words(batch.column(1)):
