@@ -26,8 +26,8 @@ class ForestSpec:
     seed: int = 42
     test_share: float = 0.2
     repeats: int = 15
-    tasks: int = 8  # a part of the result, as bagging is seeded per task: raise it for more than a few million rows
-    memory_mb: int = 1024  # statistics of a round of nodes; more means fewer passes over the rows
+    tasks: int = 4  # a part of the result, as bagging is seeded per task: raise it for more than a million rows
+    memory_mb: int = 512  # statistics of a round of nodes in a task; more means fewer passes over the rows
 
 
 def feature_names(columns: list[str], drop: tuple[str, ...] = NON_FEATURES) -> list[str]:
