@@ -19,28 +19,37 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.predict(docs.select(*COLUMNS), model, "text", spec).where("accepted").select(*COLUMNS)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, ``_row``, as doc_id may be null or repeated; pinned, so all branches see the same."""
+    return pin(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+
+
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the least doc_id, of each group of near copies."""
-    groups = near_copies.near_copies(docs, "doc_id", "text")
-    gone = groups.where(~F.col("kept")).select(F.col("key").alias("doc_id")).distinct()
-    left = docs.select(*COLUMNS).join(pin(gone), "doc_id", "left_anti")
-    # Rows that repeat a doc_id are rare; only they are gathered to keep one of them.
-    repeated = pin(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
-    return left.join(repeated, "doc_id", "left_anti").union(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """Keeps one document of each group of near copies (85 %): that of the least doc_id, of equal ones the first row; one
+    without an id only if none of its group has one. Rows without a word that repeat a doc_id are one as well."""
+    rows = with_row_key(docs)
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("_row").alias("row"))
+    groups = pin(near_copies.near_copies(rows.select(own.alias("own"), "text"), "own", "text"))
+    blank = groups.where("n_shingles = 0 and not key.no_id")
+    first = blank.groupBy("key.doc_id").agg(F.min("key.row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = blank.join(first, F.col("key.doc_id") == first["doc_id"]).where("key.row <> first").select("key.row")
+    gone = groups.where(~F.col("kept")).select("key.row").union(again)
+    return rows.join(pin(gone.withColumnRenamed("row", "_row")), "_row", "left_anti").select(*COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    items = queries.table(spark, sf_dir, "benchmark")
-    found = contamination.contaminated(docs, items, "doc_id", "text", "item_id", "text", None)
-    return docs.select(*COLUMNS).join(found.select(F.col("key").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    items, rows = queries.table(spark, sf_dir, "benchmark"), with_row_key(docs)
+    found = contamination.contaminated(rows, items, "_row", "text", "item_id", "text", None)
+    return rows.join(pin(found.select(F.col("key").alias("_row")).distinct()), "_row", "left_anti").select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts by a mark and counts the characters anew; keeps all documents."""
-    found = secrets.scan_secrets(docs.withColumn("_subject", F.col("doc_id")), "source", "_subject", "doc_id", "text") \
-        .where(F.size("spans") > 0).select(F.col("key").alias("doc_id"), "spans")
-    joined = docs.select(*COLUMNS).join(found.dropDuplicates(["doc_id"]), "doc_id", "left")
+    rows = with_row_key(docs)
+    found = secrets.scan_secrets(rows, "source", "doc_id", "_row", "text") \
+        .where(F.size("spans") > 0).select(F.col("key").alias("_row"), "spans")
+    joined = rows.join(pin(found), "_row", "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("spans")))
     return joined.withColumn("text", text).withColumn(
         "n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(*COLUMNS)
