@@ -16,13 +16,13 @@ from evoq.session import pin
 
 @dataclass(frozen=True)
 class TreeSpec:
-    """``depth``: bytes of context. ``slots``: log2 of the places of the model that scores; a fixed size for any corpus,
-    nodes that meet in a place are averaged by their counts. ``head``: so many frequent words are looked up in a
-    table of fixed size, all others by a join."""
+    """``depth``: bytes of context. ``head`` and ``gram_head``: at most so many frequent words and grams are looked up in a table of
+    fixed size, all others by a join. ``slots``: log2 of the places of ``model_table``, which takes no part in the scores."""
 
     depth: int = 4
     slots: int = 23
     head: int = 1 << 16
+    gram_head: int = 1 << 19
 
 
 def token_bytes(block: words.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -214,27 +214,87 @@ def gram_scores(keys: np.ndarray, one: np.ndarray, own: np.ndarray, depth: int,
     return total
 
 
-class GramCache:
-    """Scores of the grams used of late, in a table of fixed size."""
+def node_chances(nodes: DataFrame, depth: int) -> list[DataFrame]:
+    """For every depth ``context, prefix, chance``: that of a one if the node is the deepest one seen, the estimates of the nodes
+    above it mixed in. Each level is joined with the one above it."""
+    out: list[DataFrame] = []
+    for d in range(depth + 1):
+        p = (F.col("ones") + 0.5) / (F.col("ones") + F.col("zeros") + 1.0)
+        own = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("stop")))))
+        level = nodes.where(F.col("depth") == d).select("context", "prefix", p.alias("p"), own.alias("own"))
+        if d:
+            above = out[-1].select(F.col("context").alias("shorter"), "prefix", "above", "left")
+            level = level.withColumn("shorter", F.col("context").bitwiseAND((1 << 8 * (d - 1)) - 1)).join(above, ["shorter", "prefix"])
+        else:
+            level = level.withColumn("above", F.lit(0.0)).withColumn("left", F.lit(1.0))
+        out.append(pin(level.select("context", "prefix", (F.col("above") + F.col("left") * F.col("p")).alias("chance"),
+                                    (F.col("above") + F.col("left") * F.col("own") * F.col("p")).alias("above"),
+                                    (F.col("left") * (1 - F.col("own"))).alias("left"))))
+    return out
 
-    def __init__(self, one, own, depth: int, slots: int, bits: int = 19):
-        self.model, self.bits = (one, own, depth, slots), bits
-        self.keys, self.values = np.full(1 << bits, 2**64 - 1, np.uint64), np.zeros(1 << bits)
 
-    def scores(self, keys: np.ndarray) -> np.ndarray:
-        at = (keys * np.uint64(MULTIPLIERS[0]) >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = self.values[at]
+def gram_chances(grams: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``item, n, score``: log10 of the chance of each gram's byte after its context; per bit that of the deepest node seen."""
+    byte = "cast(item & 255 as int)"
+    rest = grams.select("item", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).select(
+        "item", "n", F.expr(f"(1 << bit) | shiftright({byte}, 8 - bit)").alias("prefix"), F.expr(f"shiftright({byte}, 7 - bit) & 1 = 1").alias("is_one"))
+    found = None
+    for d in range(len(levels) - 1, -1, -1):
+        at = F.shiftrightunsigned("item", 8).bitwiseAND((1 << 8 * d) - 1)
+        looked = pin(rest.withColumn("context", at).join(levels[d].select("context", "prefix", "chance"), ["context", "prefix"], "left"))
+        part = looked.where("chance is not null").select("item", "n", "is_one", "chance")
+        found = part if found is None else found.union(part)
+        rest = looked.where("chance is null").select("item", "n", "prefix", "is_one")
+    found = found.union(rest.select("item", "n", "is_one", F.lit(0.5).alias("chance")))
+    chance = F.when(F.col("is_one"), F.col("chance")).otherwise(1 - F.col("chance"))
+    return found.groupBy("item").agg(F.first("n").alias("n"), F.sum(F.log10(chance)).alias("score"))
+
+
+def frequent_grams(scores: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and scores of the grams that occur at least 2**k times, with the least k that gives at most ``most``."""
+    power = F.floor(F.log2("n")).cast("int")
+    held, least = 0, None
+    for k, n in sorted(((r[0], r[1]) for r in scores.groupBy(power.alias("k")).agg(F.count(F.lit(1))).collect()), reverse=True):
+        held += n
+        if held > most:
+            break
+        least = k
+    table = scores.where(power >= (64 if least is None else least)).select("item", "score").toArrow()
+    keys = table["item"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], table["score"].to_numpy()[order]
+
+
+class GramTable:
+    """Looks up the frequent grams' scores: by a place each, and those that lost theirs by search."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 20):
+        self.keys, self.values, self.shift = keys, values, np.uint64(64 - bits)
+        self.at = np.zeros(1 << bits, np.int32)
+        self.at[self.place(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(MULTIPLIERS[0]) >> self.shift).astype(np.int64)
+
+    def scores(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which grams are known, and the scores (0 for the others)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
+        at = self.at[self.place(keys)].astype(np.int64)
         missed = np.flatnonzero(self.keys[at] != keys)
-        if len(missed):
-            fresh, back = np.unique(keys[missed], return_inverse=True)
-            found = gram_scores(fresh, *self.model)
-            out[missed] = found[back]
-            where = (fresh * np.uint64(MULTIPLIERS[0]) >> np.uint64(64 - self.bits)).astype(np.int64)
-            self.keys[where] = fresh
-            # Of grams that share a place the last one written holds it.
-            holds = self.keys[where] == fresh
-            self.values[where[holds]] = found[holds]
-        return out
+        at[missed] = np.minimum(np.searchsorted(self.keys, keys[missed]), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        return known, np.where(known, self.values[at], 0.0)
+
+
+def _times(row: np.ndarray, items: np.ndarray, n: int) -> pa.ListArray:
+    """Distinct items of each of ``n`` rows with how often they occur."""
+    order = np.lexsort((items, row))
+    row, items = row[order], items[order]
+    fresh = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (items[1:] != items[:-1])])) if len(row) else np.zeros(0, np.int64)
+    times = np.diff(np.concatenate([fresh, [len(row)]])).astype(np.int32)
+    ends = pa.array(np.searchsorted(row[fresh], np.arange(n + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(items[fresh].view(np.int64)), pa.array(times)], ["item", "times"]))
 
 
 def tree_scores(sidecars: DataFrame, key: str = "key", content: str = "content", held_out: Column | None = None,
@@ -260,14 +320,17 @@ def tree_scores(sidecars: DataFrame, key: str = "key", content: str = "content",
     head = pin(word_counts.orderBy(F.desc("n"), "item").limit(spec.head)).toArrow()
     order = np.argsort(head["item"].to_numpy().view(np.uint64))
     head_words, head_counts = head["item"].to_numpy().view(np.uint64)[order], head["n"].to_numpy()[order]
-    one, own = model_table(tree_nodes(counts.where("kind = 1").select("item", "n"), spec.depth), spec)
-    shared = sidecars.sparkSession.sparkContext.broadcast((head_words, head_counts, one, own))
+    learnt = counts.where("kind = 1").select("item", "n")
+    levels = node_chances(tree_nodes(learnt, spec.depth), spec.depth)
+    others = corpus_counts(sidecars, content, held_out, spec.depth).where("kind = 1").select("item", "n")
+    scores = pin(gram_chances(learnt.union(others).groupBy("item").agg(F.sum("n").alias("n")), levels))
+    shared = sidecars.sparkSession.sparkContext.broadcast((head_words, head_counts, *frequent_grams(scores, spec.gram_head)))
     end_score = math.log10(texts + 1) - unit
-    kind, depth, slots = sidecars.schema[key].dataType.simpleString(), spec.depth, spec.slots
+    kind, depth = sidecars.schema[key].dataType.simpleString(), spec.depth
 
     def run(batches):
-        head_words, head_counts, one, own = shared.value
-        cache = GramCache(one, own, depth, slots)
+        head_words, head_counts, *table = shared.value
+        table = GramTable(*table)
         for batch in batches:
             for block in words.blocks_of_words(batch.column(2)):
                 n = block.last - block.first
@@ -276,29 +339,30 @@ def tree_scores(sidecars: DataFrame, key: str = "key", content: str = "content",
                 known = head_words[at] == block.hashes if len(head_words) else np.zeros(len(block.hashes), bool)
                 base = np.bincount(row[known], np.log10(head_counts[at[known]] + 1.0), n) if known.any() else np.zeros(n)
                 data, begins = token_bytes(block)
-                score = np.add.reduceat(cache.scores(grams(data, begins, depth)), begins[:-1])
-                # The other words, once per row with their counts.
-                rest = np.lexsort((block.hashes[~known], row[~known]))
-                rest_row, rest_word = row[~known][rest], block.hashes[~known][rest]
-                fresh = np.flatnonzero(np.concatenate([[True], (rest_row[1:] != rest_row[:-1]) | (rest_word[1:] != rest_word[:-1])])) \
-                    if len(rest) else np.zeros(0, np.int64)
-                times = np.diff(np.concatenate([fresh, [len(rest)]])).astype(np.int32)
-                ends = pa.array(np.searchsorted(rest_row[fresh], np.arange(n + 1)).astype(np.int32))
-                items = pa.StructArray.from_arrays([pa.array(rest_word[fresh].view(np.int64)), pa.array(times)], ["item", "times"])
+                keys = grams(data, begins, depth)
+                held, score = table.scores(keys)
+                score = np.add.reduceat(score, begins[:-1])
+                byte_row = np.repeat(np.arange(n), np.diff(begins))
+                # The other words and grams, once per row with their counts.
+                rest, rest_grams = _times(row[~known], block.hashes[~known], n), _times(byte_row[~held], keys[~held], n)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.first, n), batch.column(1).slice(block.first, n),
                      pa.array(np.diff(block.rows).astype(np.int64) + 1), pa.array(np.bincount(row[known], minlength=n).astype(np.int64)),
-                     pa.array(base), pa.array(score), pa.array(np.diff(begins).astype(np.int64)), pa.ListArray.from_arrays(ends, items)],
-                    ["key", "held_out", "n_tokens", "n_head", "head_score", "score", "n_bytes", "rest"])
+                     pa.array(base), pa.array(score), pa.array(np.diff(begins).astype(np.int64)), rest, rest_grams],
+                    ["key", "held_out", "n_tokens", "n_head", "head_score", "score", "n_bytes", "rest", "rest_grams"])
 
     scored = sidecars.select(F.col(key).alias("key"), held_out.alias("held_out"), F.col(content).cast("string").alias("content")) \
         .mapInArrow(run, f"key {kind}, held_out boolean, n_tokens bigint, n_head bigint, head_score double, score double, "
-                         "n_bytes bigint, rest array<struct<item: bigint, times: int>>")
+                         "n_bytes bigint, rest array<struct<item: bigint, times: int>>, rest_grams array<struct<item: bigint, times: int>>")
     scored = pin(scored.withColumn("row", F.monotonically_increasing_id()))
     rest = scored.select("row", F.explode("rest").alias("w")).select("row", "w.item", "w.times")
     tail = rest.join(word_counts, "item").groupBy("row").agg(
         F.sum("times").alias("n_tail"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail_score"))
-    return scored.drop("rest").join(tail, "row", "left").select(
+    rare = scored.select("row", F.explode("rest_grams").alias("w")).select("row", "w.item", "w.times").join(scores, "item") \
+        .groupBy("row").agg(F.sum(F.col("times") * F.col("score")).alias("rare_score"))
+    whole = scored.drop("rest", "rest_grams").join(tail, "row", "left").join(rare, "row", "left") \
+        .withColumn("score", F.col("score") + F.coalesce("rare_score", F.lit(0.0)))
+    return whole.select(
         "key", "held_out", "n_tokens",
         (F.col("n_head") + F.coalesce("n_tail", F.lit(0)) + F.lit(int(texts > 0))).cast("bigint").alias("n_known"),
         F.lit(train_tokens).cast("bigint").alias("train_tokens"),
