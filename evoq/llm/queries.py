@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evoq.llm import contamination, context_tree, language, neighbours, object_rules, packing, passages, secrets, word_bpe
+from evoq.llm import contamination, context_tree, event_prefixes, language, neighbours, object_rules, packing, passages, quality, secrets
 from evoq.llm import near_copies as nc
+from evoq.llm import spelling, word_bpe
+from evoq.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -173,6 +175,89 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "overlap")
 
 
+def _crc_sql(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of a text, bit by bit."""
+    octets = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex({text}), 2 * i::int + 1, 2))::bigint)"
+    bits = "list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: case when y & 1 = 1 then xor(y >> 1, 3988292384) else y >> 1 end)"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {octets}), lambda c, x: {bits}), 4294967295)"
+
+
+PREFIX_SQL = f"""
+with e as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+t as (select conv_id, turn, substr(sha256(length(role) || ':' || role || text), 1, 32) as event, length(text) as size from e),
+own as (select conv_id, list({{'event': event, 'size': size}} order by turn nulls first, event, size) as path, {_crc_sql("conv_id::varchar")} % 6 as h
+        from t group by conv_id),
+c as (select a.conv_id, list_concat(coalesce(b.path, [])[1:a.h], a.path[a.h + 1:]) as path from own a
+      left join own b on b.conv_id = a.conv_id - a.conv_id % 100),
+p as (select conv_id, path, unnest(range(0, len(path) + 1)) as depth from c),
+n as (select path[1:depth] as node, depth, min(conv_id) as conv_id, count(*) as n_convs from p group by 1, 2),
+k as (select node[1:depth - 1] as above, count(*) as n_children from n where depth > 0 group by 1),
+m as (select n.*, coalesce(n_children, 0) as n_children from n left join k on k.above = n.node),
+u as (select node, conv_id, n_children, case when depth > 0 then (n_convs - 1) * node[depth].size else 0 end as own_saved,
+             unnest(range(0, depth + 1)) as up from m),
+s as (select node[1:up] as node, count(*) filter (where n_children = 0) as n_leaves, sum(own_saved)::bigint as saved_tokens from u group by 1),
+x as (select path, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends from c group by path)
+select m.conv_id, m.depth, a.conv_id as parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens,
+       coalesce(x.ends, sha256('')) as ends_sha256
+from m join s on s.node = m.node left join m a on m.depth > 0 and a.node = m.node[1:m.depth - 1] left join x on x.path = m.node"""
+
+
+@query("op11_event_prefixes", PREFIX_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as recordings, turns as their events; the first events of each are those of the first of its hundred."""
+    events = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("recording"), F.col("turn").alias("event_pos"),
+                                                          F.col("role").alias("type"), F.col("text").alias("value"))
+    paths = pin(event_prefixes.recording_paths(events))
+    heads = paths.select(F.col("recording").alias("first"), F.slice("path", 1, 5).alias("head"))
+    h = (F.crc32(F.col("recording").cast("string")) % 6).cast("int")
+    rebuilt = pin(paths.join(heads, F.col("recording") - F.col("recording") % 100 == F.col("first"), "left").select(
+        "recording", F.concat(F.coalesce(F.slice("head", F.lit(1), h), F.slice("path", 1, 0)),
+                              F.slice("path", h + 1, F.greatest(F.size("path"), F.lit(1)))).alias("path")))
+    nodes = event_prefixes.prefix_nodes(rebuilt).join(event_prefixes.ended_digests(rebuilt), "node", "left")
+    return nodes.select(F.col("recording").alias("conv_id"), "depth", F.col("parent_recording").alias("parent_conv_id"),
+                        F.col("n_recordings").alias("n_convs"), "n_children", "n_leaves", F.col("saved").alias("saved_tokens"),
+                        F.coalesce("ended_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
+@query("op12_sidecar_quality")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), "quality")
+    scored = quality.score_quality(sidecars(spark, sf_dir), marks, held_out=remainder(3) == 1)
+    return scored.withColumnRenamed("key", "doc_id")
+
+
+SPELLING_SQL = f"""
+with recursive r as (select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[{spelling.LETTERS}]+')),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+d as (select run, coalesce(doc_id::varchar, '') || ':' || run as spelt, count(*) as n from r where length(run) >= 7 group by 1, 2),
+h as (select run, n, {_crc_sql("spelt")} as h from d),
+w as (select word, sum(n)::bigint as n from (
+          select n, case when h % 31 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from h)
+      where length(word) >= 7 group by word having sum(n) >= 2),
+g as (select word, n, unnest(range(0, length(word)))::int as gap from w),
+cut as (select word, n, gap, left(word, gap) || substr(word, gap + 2) as rest from g),
+near as (select distinct a.word, b.word as near, b.n as near_n from cut a join cut b on a.rest = b.rest and a.gap = b.gap and a.word <> b.word
+         union select a.word, b.word, b.n from cut a join w b on a.rest = b.word
+         union select b.word, a.word, a.n from cut a join w b on a.rest = b.word),
+best as (select word, count(*) as n_near, arg_min(near, (-near_n, near)) as near, max(near_n) as near_n from near group by word),
+f as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when near_n >= 10 * w.n then near end as form,
+             case when near_n >= 10 * w.n then near_n end as form_n from w left join best on best.word = w.word),
+up(word, root) as (select word, word from f union all select up.word, f.form from up join f on f.word = up.root where f.form is not null)
+select f.word, f.form, e.root, f.n, f.n_near, f.form_n
+from f join (select up.word, up.root from up join f on f.word = up.root where f.form is null) e on e.word = f.word"""
+
+
+@query("op13_spelling_forms", SPELLING_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents, of which one in 31 (by document and word) has lost a letter beforehand."""
+    runs = spelling.word_runs(sidecars(spark, sf_dir))
+    h = F.crc32(F.concat(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(":"), F.col("word")))
+    at = (h % F.length("word")).cast("int")
+    lost = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.length("word")))
+    spelt = runs.select(F.when(h % 31 == 0, lost).otherwise(F.col("word")).alias("word"))
+    return spelling.spelling_forms(spelling.vocabulary(spelt))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
