@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,8 +13,13 @@ from evoq.session import pin, scratch_path
 
 # Recordings of one block of ids; a block's ids are one short text.
 ID_BLOCK = 4096
-_LEVEL = "path array<struct<event:binary,size:bigint>>, recording bigint, n_recordings bigint, n_children bigint, n_leaves bigint, " \
-         "saved bigint"
+# The few deepest sequences that one task peels: their number and the events they have below the depth where it ends.
+FEW, FEW_EVENTS = 1024, 1_000_000
+_PATH = "array<struct<event:binary,size:bigint>>"
+_LEVEL = f"path {_PATH}, node binary, above binary, recording bigint, depth bigint, n_recordings bigint, n_children bigint, " \
+         "n_leaves bigint, saved bigint"
+_ARROW = pa.schema([("path", pa.list_(pa.struct([("event", pa.binary()), ("size", pa.int64())]))), ("node", pa.binary()), ("above", pa.binary()),
+                    *((name, pa.int64()) for name in ["recording", "depth", "n_recordings", "n_children", "n_leaves", "saved"])])
 
 
 def recording_paths(events: DataFrame, recording: str = "recording", position: str = "event_pos", kind: str = "type",
@@ -39,6 +45,53 @@ def node_of(path: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.array_join(F.transform(path, lambda e: F.hex(e["event"])), ""), 256), 1, 32))
 
 
+def few_below(depths: list, few: int = FEW, events: int = FEW_EVENTS) -> int | None:
+    """The least depth with at most ``few`` sequences below it, and ``events`` of their events; None without sequences."""
+    longer = left = 0
+    depths = sorted(((d, n) for d, n in depths), reverse=True)
+    for i, (depth, n) in enumerate(depths):
+        shallower = depths[i + 1][0] if i + 1 < len(depths) else 0
+        longer += n
+        if longer > few or left + longer > events:
+            return depth
+        steps = min(depth - shallower, (events - left) // longer)
+        if steps < depth - shallower:
+            return depth - steps
+        left += longer * steps
+    return 0 if depths else None
+
+
+def peel(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
+    """The nodes below depth ``top`` of a few ``path, recording, n_recordings``; those just below it carry their path."""
+    ends: dict[int, list] = {}
+    for batch in batches:
+        for path, recording, n in zip(*(c.to_pylist() for c in batch.columns)):
+            chain, keys = hashlib.sha256(), []
+            for event in path:
+                keys.append(chain.digest()[:16])
+                chain.update(event["event"].hex().upper().encode())
+            keys.append(chain.digest()[:16])
+            ends.setdefault(len(path), []).append((path, keys, [recording, n, 0, 0, 0]))
+    alive: list[tuple] = []
+    for depth in range(max(ends, default=top), top, -1):
+        merged: dict[bytes, tuple] = {}
+        for path, keys, figures in ends.get(depth, []) + [(p, k, [r, n, 1, leaves, saved]) for p, k, (r, n, _, leaves, saved) in alive]:
+            held = merged.setdefault(keys[depth], (path, keys, [figures[0], 0, 0, 0, 0]))[2]
+            held[0] = min(held[0], figures[0])
+            for i in range(1, 5):
+                held[i] += figures[i]
+        alive = list(merged.values())
+        for path, _, figures in alive:
+            figures[3] = max(figures[3], 1)
+            figures[4] += (figures[1] - 1) * path[depth - 1]["size"]
+        for at in range(0, len(alive), 10_000):
+            part = alive[at:at + 10_000]
+            columns = [[p[:depth] if depth == top + 1 else None for p, _, _ in part], [k[depth] for _, k, _ in part],
+                       [k[depth - 1] for _, k, _ in part], [f[0] for *_, f in part], [depth] * len(part)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns + [[f[i] for *_, f in part] for i in range(1, 5)], _ARROW.types)], schema=_ARROW)
+
+
 def prefix_nodes(paths: DataFrame) -> DataFrame:
     """One row per distinct sequence of first events, the empty one (root) included: ``node, recording`` (least of those that
     begin so), ``depth, parent_recording`` (of the node one event shorter; root: null), ``n_recordings, n_children, n_leaves``
@@ -51,41 +104,39 @@ def prefix_nodes(paths: DataFrame) -> DataFrame:
     The levels are peeled from the deepest up: recordings that end at a depth join the nodes that survive from
     below, which have lost their last event, and are grouped with them; all figures of a node are sums or minima over what
     was merged into it, so a level is one grouping with partial sums and a sequence that many recordings share is one
-    row before the first of them. Each level is written to the shared folder and read by the next, which costs a short
-    job per level of depth. Parents' recordings are joined once at the end.
+    row before the first of them. Each level is written to the shared folder and read by the next. As that costs a job per
+    level, the depths that at most 1,024 sequences (and a million of their events) reach are peeled by one task in the same
+    way: a few very long recordings cost no jobs of their own. Parents' recordings are joined once at the end.
     """
     spark = paths.sparkSession
     ended = paths.where("recording is not null and path is not null").groupBy("path").agg(
         F.min("recording").alias("recording"), F.count(F.lit(1)).alias("n_recordings")).withColumn("depth", F.size("path"))
     ends_at, levels_at = scratch_path(spark, "ended"), scratch_path(spark, "levels")
     ended.hint("rebalance", "depth").write.partitionBy("depth").parquet(ends_at)
-    zero = F.lit(0).cast("bigint")
-    schema = "path array<struct<event:binary,size:bigint>>, recording bigint, n_recordings bigint, depth int"
-    ended = spark.read.schema(schema).parquet(ends_at)
-    deepest = ended.agg(F.max("depth")).first()[0]
-    if deepest is None:
+    ended = spark.read.schema(f"path {_PATH}, recording bigint, n_recordings bigint, depth int").parquet(ends_at)
+    top = few_below(ended.groupBy("depth").count().collect())
+    if top is None:
         return spark.createDataFrame([], "node binary, recording bigint, depth bigint, parent_recording bigint, n_recordings bigint, "
                                          "n_children bigint, n_leaves bigint, saved bigint")
-    below = None
-    for depth in range(deepest, -1, -1):
+    ended.where(F.col("depth") > top).select("path", "recording", "n_recordings").coalesce(1) \
+        .mapInArrow(lambda batches: peel(batches, top), _LEVEL).write.parquet(f"{levels_at}/deep")
+    below, zero = spark.read.schema(_LEVEL).parquet(f"{levels_at}/deep").where("path is not null"), F.lit(0).cast("bigint")
+    for depth in range(top, -1, -1):
         rows = ended.where(F.col("depth") == depth).select(
-            "path", "recording", "n_recordings", zero.alias("child"), zero.alias("leaves"), zero.alias("saved"))
-        if below is not None:
-            rows = rows.union(below.select(
-                F.slice("path", 1, depth), "recording", "n_recordings", F.lit(1).cast("bigint"), "n_leaves", "saved"))
+            "path", "recording", "n_recordings", zero.alias("child"), zero.alias("leaves"), zero.alias("saved")).union(
+            below.select(F.slice("path", 1, depth), "recording", "n_recordings", F.lit(1).cast("bigint"), "n_leaves", "saved"))
         size = F.element_at("path", -1)["size"] if depth else zero
         rows.groupBy("path").agg(
             F.min("recording").alias("recording"), F.sum("n_recordings").alias("n_recordings"), F.sum("child").alias("n_children"),
             F.greatest(F.sum("leaves"), F.lit(1)).alias("n_leaves"), F.sum("saved").alias("below")) \
-            .select("path", "recording", "n_recordings", "n_children", "n_leaves",
+            .select("path", node_of(F.col("path")).alias("node"), (node_of(F.slice("path", 1, depth - 1)) if depth else F.lit(None).cast("binary")).alias("above"),
+                    "recording", F.lit(depth).cast("bigint").alias("depth"), "n_recordings", "n_children", "n_leaves",
                     (F.col("below") + (F.col("n_recordings") - 1) * size).alias("saved")) \
-            .write.parquet(f"{levels_at}/depth={depth}")
-        below = spark.read.schema(_LEVEL).parquet(f"{levels_at}/depth={depth}")
-    nodes = spark.read.schema(_LEVEL + ", depth bigint").parquet(levels_at)
-    parents = nodes.where("n_children > 0").select(node_of(F.col("path")).alias("above"), F.col("recording").alias("parent_recording"))
-    above = F.when(F.col("depth") > 0, node_of(F.slice("path", 1, F.greatest(F.col("depth") - 1, F.lit(0)).cast("int"))))
-    return nodes.select(node_of(F.col("path")).alias("node"), above.alias("above"), "recording", "depth", "n_recordings", "n_children",
-                        "n_leaves", "saved").join(parents, "above", "left") \
+            .write.parquet(f"{levels_at}/{depth}")
+        below = spark.read.schema(_LEVEL).parquet(f"{levels_at}/{depth}")
+    nodes = spark.read.schema(_LEVEL).option("recursiveFileLookup", "true").parquet(levels_at).drop("path")
+    parents = nodes.where("n_children > 0").select(F.col("node").alias("above"), F.col("recording").alias("parent_recording"))
+    return nodes.join(parents, "above", "left") \
         .select("node", "recording", "depth", "parent_recording", "n_recordings", "n_children", "n_leaves", "saved")
 
 

@@ -40,13 +40,27 @@ def nodes(spark, rows):
             for r in found}
 
 
-def test_prefix_nodes_equal_the_definition(spark):
+def test_depths_that_few_reach():
+    assert ep.few_below([]) is None and ep.few_below([(0, 5)]) == 0
+    assert ep.few_below([(3, 10), (5, 2), (100, 1)], few=3) == 3
+    assert ep.few_below([(3, 10), (5, 2), (100, 1)], few=1) == 5
+    assert ep.few_below([(3, 10), (5, 2), (100, 1)], few=13) == 0
+    assert ep.few_below([(3, 10), (5, 2), (100, 1)], few=3, events=50) == 50
+    assert ep.few_below([(3, 10)], few=3) == 3
+
+
+@pytest.mark.parametrize("few", [0, 5, 1024])
+def test_prefix_nodes_equal_the_definition(spark, monkeypatch, few):
+    monkeypatch.setattr(ep.few_below, "__defaults__", (few, 1_000_000))
     pick = random.Random(3)
     rows, recordings = [], {}
     for r in range(60):
         events = [(pick.choice(["stim", "rate"]), pick.choice(["S 1", "S 2é🎉", ""])) for _ in range(pick.randrange(1, 7))]
         recordings[r * 1000 - 5000] = events
         rows += [(r * 1000 - 5000, i, k, v) for i, (k, v) in enumerate(events)]
+    for r in (-1, -2, -3):  # a few that are much longer
+        recordings[r] = recordings[0][:1] + [("stim", f"v{i - i % 90 * (r == -1)}") for i in range(20 - r)]
+        rows += [(r, i, k, v) for i, (k, v) in enumerate(recordings[r])]
     assert nodes(spark, rows) == trie(recordings)
 
 
