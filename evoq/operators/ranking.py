@@ -27,6 +27,34 @@ def shuffle_digest(seed: int, *key: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key]).cast("binary"))
 
 
+_PRIME = 2_147_483_647  # below 2^31, so a product of two remainders fits a long
+ROUNDS, WALK = 4, 64
+
+
+def keyed_permutation(place: Column, n: Column, seed: int, *key: Column) -> Column:
+    """The number 1..n at ``place`` in a permutation of 1..n named by seed and ``key``: a bijection, in column arithmetic alone.
+
+    A Feistel network over pairs of digits below ceil(sqrt(n)); what falls beyond n is sent through again. Of the n + 2 sqrt(n) pairs so
+    few are beyond that 64 walks never end there for n above 64, and up to it no walk is longer; if one were, an error is raised.
+    """
+    side = F.ceil(F.sqrt(n)).cast("bigint")
+    keys = F.array(*[F.conv(F.substring(shuffle_digest(seed, *key, F.lit(i)), 1, 7), 16, 10).cast("bigint") for i in range(ROUNDS)])
+
+    def stir(half: Column, k: Column) -> Column:
+        square = lambda v: (v % _PRIME) * (v % _PRIME) % _PRIME
+        return square(square(half + k) * 48_271 + k)
+
+    def once(x: Column) -> Column:
+        halves = F.struct(F.floor(x / side).alias("l"), (x % side).alias("r"))
+        step = lambda h, k: F.struct(h["r"].alias("l"), ((h["l"] + stir(h["r"], k)) % side).alias("r"))
+        return F.aggregate(keys, halves, step, lambda h: h["l"] * side + h["r"])
+
+    start = (place - 1).cast("bigint")
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(start.alias("x"), F.lit(False).alias("done")), lambda h, _: F.when(h["done"], h)
+                         .otherwise(F.transform(F.array(once(h["x"])), lambda x: F.struct(x.alias("x"), (x < n).alias("done")))[0]))
+    return F.when(walked["done"], walked["x"] + 1).otherwise(F.raise_error(F.lit("no place in the permutation")).cast("bigint"))
+
+
 def digest_position(df: DataFrame, digest: str, by: list[str] | None = None, position: str = "position",
                     size: str = "group_size") -> DataFrame:
     """1-based place of each row in the order of its digest (within ``by``), and the number of rows there.

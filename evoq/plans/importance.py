@@ -4,30 +4,47 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evoq.config import NON_FEATURES
+from evoq.functions.trees import grow, predict_sum
 from evoq.operators import summaries
-from evoq.operators.ranking import digest_position, shuffle_digest
+from evoq.operators.ranking import digest_position, keyed_permutation, shuffle_digest
 from evoq.session import pin
 
+# Targets are learnt as whole numbers of this unit: their sums are exact, so no order of rows or tasks shows in a tree.
+UNIT = 2.0 ** -20
+# Nodes of the trees that one pass of predictions holds, some 40 bytes each.
+SHARD_NODES = 1_000_000
+
 
 @dataclass(frozen=True)
 class ForestSpec:
-    """The library of the analysis grows full trees over all features; Spark stops at depth 30 at most."""
+    """Full trees over all features, as the library of the analysis grows them.
+
+    Every tree is fitted on a bootstrap of all training rows, or on ``rows_per_tree`` draws where there are more: a tree is one
+    task's work, and this bounds it. ``bins``: at most so many distinct values of a feature in a tree (None: all).
+    """
 
     trees: int = 300
-    depth: int = 30
-    bins: int = 256
+    depth: int = 60
+    bins: int | None = None
     seed: int = 42
     test_share: float = 0.2
     repeats: int = 15
-    tasks: int = 4  # a part of the result, as bagging is seeded per task: raise it for more than a million rows
-    memory_mb: int = 512  # statistics of a round of nodes in a task; more means fewer passes over the rows
+    rows_per_tree: int = 50_000
+
+
+@dataclass(frozen=True)
+class Forest:
+    """``trees``: a row per tree with its nodes as arrays (see ``grow``), in the shared folder; ``shards``: ranges of tree numbers
+    whose nodes one pass of predictions holds."""
+
+    trees: DataFrame
+    shards: list[tuple[int, int]]
+    n_trees: int
 
 
 def feature_names(columns: list[str], drop: tuple[str, ...] = NON_FEATURES) -> list[str]:
@@ -61,20 +78,73 @@ def split(df: DataFrame, key: list[str], seed: int = 42, test_share: float = 0.2
         .drop("_d", "group_size")
 
 
-def fit_forest(train: DataFrame, names: list[str], target: str, spec: ForestSpec) -> RandomForestRegressionModel:
-    """``train`` has the ``position`` of ``split``. Bagging is seeded per task, so rows are spread over a set number of tasks by
-    it and ordered within: the same seed gives the same forest at any size of cluster."""
-    train = train.repartition(spec.tasks, "position").sortWithinPartitions("position")
-    vectors = VectorAssembler(inputCols=names, outputCol="features") \
-        .transform(train)
-    forest = RandomForestRegressor(
-        featuresCol="features", labelCol=target, numTrees=spec.trees, maxDepth=spec.depth, maxBins=spec.bins,
-        featureSubsetStrategy="all", minInstancesPerNode=1, seed=spec.seed, maxMemoryInMB=spec.memory_mb)
-    return forest.fit(vectors.select("features", F.col(target).cast("double").alias(target)))
+def draws(spec: ForestSpec, n: Column) -> DataFrame:
+    """``tree, place, weight``: how often the row at ``place`` (1..n) is drawn for each tree; n draws, or ``rows_per_tree``.
+
+    Which row a draw takes is a digest of seed, tree and number of the draw, whatever the partitions.
+    """
+    size = F.least(n, F.lit(spec.rows_per_tree)).cast("bigint")
+    every = SparkSession.active().range(1, spec.trees + 1).select(F.col("id").alias("tree"), F.explode(F.sequence(F.lit(1).cast("bigint"), size)).alias("draw"))
+    picked = F.conv(F.substring(shuffle_digest(spec.seed, F.col("tree"), F.col("draw")), 1, 12), 16, 10).cast("bigint") % n + 1
+    return every.select("tree", picked.alias("place")).groupBy("tree", "place").agg(F.count(F.lit(1)).alias("weight"))
+
+
+_NODES = {"path": pa.int64(), "feature": pa.int32(), "threshold": pa.float64(), "left": pa.int32(), "right": pa.int32(), "weight": pa.float64(),
+          "value": pa.float64(), "gain": pa.float64()}
+_NODES_SQL = "tree bigint, path array<bigint>, feature array<int>, threshold array<double>, `left` array<int>, `right` array<int>, " \
+             "weight array<double>, value array<double>, gain array<double>"
 
 
-def predict(model: RandomForestRegressionModel, df: DataFrame, values: str = "xs") -> DataFrame:
-    return model.transform(df.withColumn("features", array_to_vector(values))).drop("features")
+def fit_forest(train: DataFrame, names: list[str], target: str, spec: ForestSpec) -> Forest:
+    """A forest on rows with the ``position`` of ``split`` (without gaps, whatever the first). Rows go to the trees that drew them, each tree
+    is grown by one task over at most ``rows_per_tree`` of them; trees are spread over all tasks and kept as a table."""
+    xs = F.array(*[F.col(f"`{n}`").cast("double") for n in names])
+    y = F.round(F.col(target).cast("double") / UNIT)
+    rows = train.select("position", xs.alias("xs"), y.alias("y"))
+    first, n = rows.agg(F.min("position"), F.count(F.lit(1))).first()
+    depth, bins, unit = spec.depth, spec.bins, UNIT
+    schema = pa.schema([("tree", pa.int64()), *((name, pa.list_(kind)) for name, kind in _NODES.items())])
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        x = table["xs"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        tree = grow(x, table["y"].to_numpy(), table["weight"].to_numpy().astype(float), depth, bins)
+        tree["value"] = tree["total"] / tree["weight"] * unit
+        return pa.table([table["tree"].combine_chunks()[:1], *(pa.array([tree[name]], pa.list_(kind)) for name, kind in _NODES.items())], schema=schema)
+
+    taken = draws(spec, F.lit(n)).join(rows, F.col("position") == F.col("place") + ((first or 1) - 1)).select("tree", "weight", "y", "xs")
+    # As many partitions as trees: the work lies in the fit, so sizes in bytes must not decide how many tasks share it.
+    trees = pin(taken.repartition(spec.trees, "tree").groupBy("tree").applyInArrow(fit, _NODES_SQL))
+    shards, held = [], 0
+    for tree, size in trees.select("tree", F.size("path")).orderBy("tree").collect():
+        if shards and held + size <= SHARD_NODES:
+            shards[-1], held = (shards[-1][0], tree), held + size
+        else:
+            shards, held = [*shards, (tree, tree)], size
+    return Forest(trees, shards, spec.trees)
+
+
+def predict(model: Forest, df: DataFrame, values: str = "xs") -> DataFrame:
+    """Adds ``prediction``, the mean over the trees. A forest beyond a million nodes goes past the rows in several passes."""
+    kept, schema = df.columns, df.drop("prediction").schema.add("prediction", "double")
+    out = df.drop("prediction").withColumn("prediction", F.lit(0.0))
+    for i, (low, high) in enumerate(model.shards):
+        table = model.trees.where(F.col("tree").between(low, high)).orderBy("tree") \
+            .select("feature", "threshold", "left", "right", "value").toArrow()
+        trees = [tuple(column[r].values.to_numpy() for column in table.columns) for r in range(table.num_rows)]
+        shared, at, n_trees = df.sparkSession.sparkContext.broadcast(trees), schema.names.index(values), model.n_trees
+
+        def add(batches, shared=shared):
+            for batch in batches:
+                x = batch.column(at).flatten().to_numpy(zero_copy_only=False)
+                x = x.reshape(batch.num_rows, -1) if batch.num_rows else x.reshape(0, 1)
+                total = batch.column(batch.num_columns - 1).to_numpy() + predict_sum(x, shared.value) / n_trees
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total)], schema=batch.schema)
+
+        out = out.mapInArrow(add, schema)
+        if i + 1 < len(model.shards):
+            out = pin(out)
+    return out.select(*[c for c in kept if c != "prediction"], "prediction")
 
 
 def with_values(df: DataFrame, names: list[str], target: str) -> DataFrame:
@@ -84,20 +154,26 @@ def with_values(df: DataFrame, names: list[str], target: str) -> DataFrame:
                                       xs.alias("xs"))
 
 
-def impurity_importance(df: DataFrame, model: RandomForestRegressionModel, names: list[str]) -> DataFrame:
-    rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
-    return df.sparkSession.createDataFrame(rows, "feature string, impurity_importance double")
+def impurity_importance(df: DataFrame, model: Forest, names: list[str]) -> DataFrame:
+    """Mean over the trees of each feature's share of the tree's gain; a tree without a split has none."""
+    cells = model.trees.select("tree", F.explode(F.arrays_zip("feature", "gain")).alias("n")).where("n.feature >= 0")
+    each = cells.groupBy("tree", F.col("n.feature").alias("f")).agg(F.sum("n.gain").alias("gain"))
+    whole = each.groupBy("tree").agg(F.sum("gain").alias("whole"))
+    shares = each.join(whole, "tree").groupBy("f").agg(F.sum(F.try_divide("gain", "whole")).alias("share"))
+    total = shares.agg(F.sum("share").alias("all"))
+    listed = df.sparkSession.createDataFrame(list(enumerate(names)), "f int, feature string")
+    return listed.join(shares, "f", "left").select("feature", F.coalesce(F.try_divide(F.col("share"), total.scalar()), F.lit(0.0)).alias("impurity_importance"))
 
 
 def permutations(test: DataFrame, repeats: int, seed: int) -> DataFrame:
-    """``repeat, rid, donor``: a seeded random permutation of 1..n per repeat, by bucketed places of digests."""
-    rows = test.select("rid", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
-    digest = shuffle_digest(seed, F.col("repeat"), F.col("rid"))
-    return digest_position(rows.withColumn("_d", digest), "_d", by=["repeat"], position="donor") \
-        .select("repeat", "rid", "donor")
+    """``repeat, rid, donor`` beside the other columns: per repeat a keyed permutation of 1..n, computed row by row."""
+    n = test.agg(F.count(F.lit(1))).scalar()
+    width = int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # what follows costs by rows, not by bytes
+    rows = test.repartition(width, "rid").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("_n", n)
+    return rows.withColumn("donor", keyed_permutation(F.col("rid"), F.col("_n"), seed, F.col("repeat"))).drop("_n")
 
 
-def permutation_importance(model: RandomForestRegressionModel, test: DataFrame, names: list[str],
+def permutation_importance(model: Forest, test: DataFrame, names: list[str],
                            spec: ForestSpec) -> DataFrame:
     """Mean drop of R2 on the test rows when one feature is shuffled.
 
@@ -105,7 +181,7 @@ def permutation_importance(model: RandomForestRegressionModel, test: DataFrame,
     than once per feature; the rows per feature are made next to the prediction and summed before any shuffle.
     """
     donors = test.select(F.col("rid").alias("donor"), F.col("xs").alias("donor_xs"))
-    pairs = permutations(test, spec.repeats, spec.seed).join(test, "rid").join(donors, "donor")
+    pairs = permutations(test, spec.repeats, spec.seed).join(donors, "donor")
     swapped = pairs.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)))).select(
         "repeat", "f", "y",
         F.transform("xs", lambda x, i: F.when(i == F.col("f"), F.get("donor_xs", i)).otherwise(x)).alias("xs"))
