@@ -28,7 +28,17 @@ BANDS: dict[str, Span] = {
 VERTEX_PRIORITY = ("Cz", "CPz", "FCz", "Fz", "Pz")
 PLV_PAIRS = (("Fz", "Cz"), ("Cz", "Pz"), ("C3", "C4"), ("FCz", "CPz"))
 
-KEY = ("dataset", "subject", "epoch")
+FILE = ("dataset", "subject")
+KEY = (*FILE, "epoch")
+
+
+def file_key(df: DataFrame) -> list[str]:
+    """What names a recording: dataset and subject, and the file where the table has it (a subject may have several)."""
+    return [*FILE, *(["file"] if "file" in df.columns else [])]
+
+
+def epoch_key(df: DataFrame) -> list[str]:
+    return [*file_key(df), "epoch"]
 
 
 @dataclass(frozen=True)
@@ -90,8 +100,8 @@ FEATURE_INFO = [
     ("hjorth_complexity", "Hjorth complexity", "Frequency-change proxy"),
 ]
 
-# Columns of the feature table that are not model inputs.
-NON_FEATURES = ("dataset", "subject", "epoch", "vertex_channel", "sfreq", "gamma_band_hz",
+# Columns of the feature table that are not model inputs.
+NON_FEATURES = ("dataset", "subject", "file", "epoch", "vertex_channel", "sfreq", "gamma_band_hz",
                 "alpha_erd_pct", "plv_FCz-CPz", "rating", "laser_power")
 
 

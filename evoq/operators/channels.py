@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoq.config import PLV_PAIRS, VERTEX_PRIORITY, pairs_table, priority_table
+from evoq.config import PLV_PAIRS, VERTEX_PRIORITY, file_key, pairs_table, priority_table
 from evoq.session import pin
 
-FILE = ["dataset", "subject"]
-
 
 def channel_table(epochs: DataFrame) -> DataFrame:
     """The channels of each file; one without a label is ``unknown``."""
-    return epochs.select(*FILE, "channel_idx", F.coalesce("channel", F.lit("unknown")).alias("channel")).distinct()
+    return epochs.select(*file_key(epochs), "channel_idx", F.coalesce("channel", F.lit("unknown")).alias("channel")).distinct()
 
 
 def named(rows: DataFrame, names) -> DataFrame:
@@ -27,8 +25,8 @@ def pick_vertex(channels: DataFrame, priority: tuple[str, ...] = VERTEX_PRIORITY
     table = F.broadcast(priority_table(channels.sparkSession, priority))  # fixed: one row per priority name
     hits = channels.join(table, F.lower(channels["channel"]) == table["name"])
     best = F.min(F.struct("priority", (-F.col("channel_idx")).alias("last"), "channel")).alias("best")
-    return hits.groupBy(*FILE).agg(best).select(
-        *FILE, (-F.col("best.last")).alias("channel_idx"), F.col("best.channel").alias("vertex_channel"))
+    return hits.groupBy(*file_key(channels)).agg(best).select(
+        *file_key(channels), (-F.col("best.last")).alias("channel_idx"), F.col("best.channel").alias("vertex_channel"))
 
 
 def vertex_epochs(epochs: DataFrame, priority: tuple[str, ...] = VERTEX_PRIORITY) -> DataFrame:
@@ -38,22 +36,22 @@ def vertex_epochs(epochs: DataFrame, priority: tuple[str, ...] = VERTEX_PRIORITY
     """
     candidates = named(epochs, priority)
     choice = pin(pick_vertex(channel_table(candidates), priority))
-    return candidates.join(choice, [*FILE, "channel_idx"])
+    return candidates.join(choice, [*file_key(epochs), "channel_idx"])
 
 
 def last_index_of_name(channels: DataFrame) -> DataFrame:
-    return channels.groupBy(*FILE, F.lower("channel").alias("name")).agg(F.max("channel_idx").alias("channel_idx"))
+    return channels.groupBy(*file_key(channels), F.lower("channel").alias("name")).agg(F.max("channel_idx").alias("channel_idx"))
 
 
 def resolve_pairs(channels: DataFrame, pairs=PLV_PAIRS) -> DataFrame:
     """Per file the pairs with both ends present, with the index of each end."""
-    names = last_index_of_name(named(channels, {n for p in pairs for n in p}))
+    names, file = last_index_of_name(named(channels, {n for p in pairs for n in p})), file_key(channels)
     table = F.broadcast(pairs_table(channels.sparkSession, pairs))  # fixed: one row per pair
-    a = names.join(table, F.col("name") == F.col("name_a")).select(*FILE, "pair", F.col("channel_idx").alias("idx_a"))
-    b = names.join(table, F.col("name") == F.col("name_b")).select(*FILE, "pair", F.col("channel_idx").alias("idx_b"))
-    return a.join(b, [*FILE, "pair"])
+    a = names.join(table, F.col("name") == F.col("name_a")).select(*file, "pair", F.col("channel_idx").alias("idx_a"))
+    b = names.join(table, F.col("name") == F.col("name_b")).select(*file, "pair", F.col("channel_idx").alias("idx_b"))
+    return a.join(b, [*file, "pair"])
 
 
 def files_with(channels: DataFrame, files: DataFrame, name: str = "Cz") -> DataFrame:
     """Files whose channel list holds exactly this name."""
-    return files.join(channels.where(F.col("channel") == name), FILE, "left_semi")
+    return files.join(channels.where(F.col("channel") == name), file_key(channels), "left_semi")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evoq.config import KEY, SignalSpec
+from evoq.config import SignalSpec, epoch_key
 from evoq.functions.arrays import line_slope, without_helpers
 from evoq.functions.kernels import fluctuations, match_counts
 from evoq.functions.numbers import missing_as_null
@@ -16,11 +16,12 @@ from evoq.operators.erp import enough, samples, with_windows
 
 def lagged_rows(df: DataFrame, spec: SignalSpec, lags: int) -> DataFrame:
     """One row per sample with the next ``lags`` samples beside it: x0, x1, .. (NULL past the end), length n."""
-    cut_once = with_windows(df, spec, "psd").select(*KEY, samples("psd").alias("_s"), F.col("_psd_count").alias("n"))
+    key = epoch_key(df)
+    cut_once = with_windows(df, spec, "psd").select(*key, samples("psd").alias("_s"), F.col("_psd_count").alias("n"))
     columns = [f"slice(_s, {k + 1}, greatest(n - {k}, 0)) AS x{k}" for k in range(lags + 1)]
-    return cut_once.selectExpr(*KEY, "n", *columns) \
-        .selectExpr(*KEY, "n", f"posexplode_outer(arrays_zip({', '.join(f'x{k}' for k in range(lags + 1))})) AS (i, r)") \
-        .selectExpr(*KEY, "n", "i", *[f"r.x{k}" for k in range(lags + 1)])
+    return cut_once.selectExpr(*key, "n", *columns) \
+        .selectExpr(*key, "n", f"posexplode_outer(arrays_zip({', '.join(f'x{k}' for k in range(lags + 1))})) AS (i, r)") \
+        .selectExpr(*key, "n", "i", *[f"r.x{k}" for k in range(lags + 1)])
 
 
 def _pattern_entropy() -> Column:
@@ -53,13 +54,13 @@ def neighbour_features(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFr
 
     The rows of an epoch are made and summed in the task that read it; one short row per epoch is shuffled.
     """
-    rows = lagged_rows(df, spec, spec.higuchi_kmax)
-    sums = rows.groupBy(*KEY).agg(
+    rows, key = lagged_rows(df, spec, spec.higuchi_kmax), epoch_key(df)
+    sums = rows.groupBy(*key).agg(
         _pattern_entropy().alias("perm_entropy"), _higuchi(spec.higuchi_kmax).alias("higuchi_fd"),
         F.expr("var_pop(x0) AS _v0"), F.expr("var_pop(x1 - x0) AS _v1"), F.expr("var_pop(x2 - 2 * x1 + x0) AS _v2"))
     mobility = F.sqrt(F.try_divide(F.col("_v1"), F.col("_v0")))
     return sums.select(
-        *KEY, missing_as_null(F.col("perm_entropy")).alias("perm_entropy"),
+        *key, missing_as_null(F.col("perm_entropy")).alias("perm_entropy"),
         missing_as_null(F.col("higuchi_fd")).alias("higuchi_fd"),
         missing_as_null(mobility).alias("hjorth_mobility"),
         missing_as_null(F.try_divide(F.sqrt(F.try_divide(F.col("_v2"), F.col("_v1"))), mobility))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoq.config import KEY, SignalSpec
+from evoq.config import SignalSpec, epoch_key
 from evoq.functions.arrays import without_helpers
 from evoq.functions.kernels import band_pass, unit_phasors
 from evoq.functions.numbers import missing_as_null, resultant_length
@@ -33,20 +33,20 @@ def phase_locking(epochs: DataFrame, spec: SignalSpec = SignalSpec(), filtered:
 
     Only the window's phasors of the pairs' channels are shuffled, once, by epoch; the sums then run in place.
     """
-    wanted = named(epochs, pair_channels(spec))
-    rows = phasors(wanted, spec, filtered).select(*KEY, F.lower("channel").alias("name"), "channel_idx", "z")
+    wanted, key = named(epochs, pair_channels(spec)), epoch_key(epochs)
+    rows = phasors(wanted, spec, filtered).select(*key, F.lower("channel").alias("name"), "channel_idx", "z")
     ends = pair_channels(spec)
     # Of equal names the last index counts.
-    wide = rows.groupBy(*KEY).agg(*[F.max_by(F.when(F.col("name") == n, F.col("z")),
+    wide = rows.groupBy(*key).agg(*[F.max_by(F.when(F.col("name") == n, F.col("z")),
                                              F.when(F.col("name") == n, F.col("channel_idx"))).alias(n)
                                     for n in ends])
     none = F.array().cast("array<double>")  # a missing end is an empty array: zipping pads it with NULL
     zipped = F.arrays_zip(*[F.coalesce(F.col(f"{n}.{part}"), none).alias(f"{n}_{part}")
                             for n in ends for part in ("cos", "sin")])
-    samples = wide.select(*KEY, F.explode_outer(zipped).alias("s"))
+    samples = wide.select(*key, F.explode_outer(zipped).alias("s"))
     means = {}
     for a, b in spec.pairs:
         ca, sa, cb, sb = (F.col(f"s.{n}_{p}") for n in (a.lower(), b.lower()) for p in ("cos", "sin"))
         means[f"plv_{a}-{b}"] = (F.avg(ca * cb + sa * sb), F.avg(sa * cb - ca * sb))
-    return samples.groupBy(*KEY).agg(*[missing_as_null(resultant_length(c, s)).alias(name)
+    return samples.groupBy(*key).agg(*[missing_as_null(resultant_length(c, s)).alias(name)
                                        for name, (c, s) in means.items()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoq.config import KEY
+from evoq.config import KEY, epoch_key
 
 
 def first_event_per_epoch(labels: DataFrame, values: tuple[str, ...] = ("rating", "laser_power")) -> DataFrame:
@@ -17,7 +17,8 @@ def first_event_per_epoch(labels: DataFrame, values: tuple[str, ...] = ("rating"
     """
     first = F.min(F.struct("event_pos", *values)).alias("_first")
     counted = labels.where(F.col("epoch").isNotNull()).withColumn("epoch", F.col("epoch") - 1)
-    return counted.groupBy(*KEY).agg(first).select(*KEY, *[F.col(f"_first.{v}").alias(v) for v in values])
+    key = epoch_key(labels)
+    return counted.groupBy(*key).agg(first).select(*key, *[F.col(f"_first.{v}").alias(v) for v in values])
 
 
 def epoch_spine(files: DataFrame) -> DataFrame:
@@ -33,4 +34,4 @@ def reindex(by_epoch: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def attach_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
-    return features.join(first_event_per_epoch(labels), list(KEY), "left")
+    return features.join(first_event_per_epoch(labels), epoch_key(labels), "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoq.config import KEY, SignalSpec
+from evoq.config import SignalSpec, epoch_key
 from evoq.functions.arrays import without_helpers
 from evoq.operators import channels, complexity, erp, phase, spectral, trials
 from evoq.sources import signals
@@ -37,11 +37,14 @@ def row_features(vertex: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFram
 def feature_table(epochs: DataFrame, labels: DataFrame | None = None, spec: SignalSpec = SignalSpec()) -> DataFrame:
     """Features of every epoch whose file has a vertex channel, with rating and laser power where labelled.
 
+    Where the epochs have a ``file``, it is part of the key, so that the files of one subject stay apart; labels then need it as well,
+    or they go to all files of their subject.
+
     Three short-row tables keyed alike (row features, neighbour features, phase locking) meet in joins on the epoch
     key; signals themselves are never shuffled for them, save the phasors of the pairs' channels.
     """
     vertex = channels.vertex_epochs(epochs, spec.vertex_priority)
-    key = list(KEY)
+    key = epoch_key(epochs)
     table = row_features(vertex, spec) \
         .join(complexity.neighbour_features(vertex, spec), key, "left") \
         .join(phase.phase_locking(epochs, spec), key, "left")
@@ -49,7 +52,7 @@ def feature_table(epochs: DataFrame, labels: DataFrame | None = None, spec: Sign
         table = table.withColumns({"rating": F.lit(None).cast("double"), "laser_power": F.lit(None).cast("double")})
     else:
         table = trials.attach_labels(table, labels)
-    names = [*KEY, "vertex_channel", "sfreq", *feature_columns(spec), "rating", "laser_power"]
+    names = [*key, "vertex_channel", "sfreq", *feature_columns(spec), "rating", "laser_power"]
     return table.select(*[F.col(f"`{n}`") for n in names])
 
 

@@ -46,6 +46,7 @@ def behaviour(labels: DataFrame, power_bins: int = 20) -> dict[str, tuple[DataFr
 
     The few label columns are written once and read by every part, so that the source is decoded once.
     """
+    # The words that tell the columns.
     rating = guess_column(labels.columns, ["rating", "pain", "nrs"], exact="rating")
     power = guess_column(labels.columns, ["intensity", "energy", "power", "joule"], exact="laser_power")
     labels = pin(labels.select("dataset", "subject", *[c for c in (rating, power) if c]))

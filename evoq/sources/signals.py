@@ -5,16 +5,19 @@ Row: ``dataset, subject, epoch INT, channel_idx INT, channel, sfreq, t0, n_times
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
+from evoq.config import file_key
 from evoq.session import pin
 
 DEFAULT_RATE = 1000.0
+_SIGNAL = StructType().add("epoch", IntegerType()).add("channel_idx", IntegerType()).add("signal", ArrayType(DoubleType()))
 
 
 def read_float_blocks(spark: SparkSession, path: str, shapes: DataFrame, glob: str = "*.fdt") -> DataFrame:
@@ -32,30 +35,76 @@ def block_fits(length="length"):
         * F.coalesce(F.col("trials"), F.lit(1))
 
 
-def decode_float_blocks(blocks: DataFrame) -> DataFrame:
-    """Little-endian float32, channel fastest, then time, then epoch -> ``path, epoch, channel_idx, signal``.
+def decode_float_blocks(blocks: DataFrame, keep: Sequence[str] = (), wanted: str | None = None) -> DataFrame:
+    """Little-endian float32, channel fastest, then time, then epoch -> ``path, epoch, channel_idx, signal`` and the columns to ``keep``.
 
-    Blocks whose size does not match their shape are left out (see ``block_rejects``).
+    Blocks whose size does not match their shape are left out (see ``block_rejects``). ``wanted`` names a column with the indexes
+    of the channels to decode, all of them without it. Nothing is joined afterwards, so signals need not move.
     """
+    kept = len(keep)
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                path, content, channels, times, trials = (batch.column(i)[row] for i in range(5))
+                content, channels, times, trials = (batch.column(kept + i)[row] for i in range(1, 5))
                 channels, times, trials = channels.as_py(), times.as_py(), trials.as_py()
+                chosen = np.arange(channels) if wanted is None else np.array(batch.column(kept + 5)[row].as_py() or [], dtype=int)
                 flat = np.frombuffer(content.as_buffer(), dtype="<f4")
+                own = [c.slice(row, 1).take(pa.array(np.zeros(len(chosen), "i4"))) for c in batch.columns[:kept + 1]]
                 for epoch in range(trials):  # an epoch at a time: the widened copy never exceeds one epoch
                     part = flat[epoch * channels * times:(epoch + 1) * channels * times]
-                    values = part.reshape(times, channels).T.astype("f8").ravel()
-                    offsets = np.arange(channels + 1, dtype="i4") * times
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([path.as_py()] * channels), pa.array([epoch] * channels, pa.int32()),
-                        pa.array(range(channels), pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                        names=["path", "epoch", "channel_idx", "signal"])
+                        *own, pa.array([epoch] * len(chosen), pa.int32()), pa.array(chosen, pa.int32()),
+                        _signals(part.reshape(times, channels).T[chosen])], names=names)
 
     good = blocks.where(block_fits()).select(
-        "path", "content", "nbchan", "pnts", F.coalesce("trials", F.lit(1)).alias("trials"))
-    return good.mapInArrow(decode, "path string, epoch int, channel_idx int, signal array<double>")
+        *keep, "path", "content", "nbchan", "pnts", F.coalesce("trials", F.lit(1)).alias("trials"), *([wanted] if wanted else []))
+    schema = StructType(good.select(*keep, "path").schema.fields + _SIGNAL.fields)
+    names = schema.names
+    return good.mapInArrow(decode, schema)
+
+
+def _signals(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1, dtype="i4") * matrix.shape[1]), pa.array(matrix.astype("f8").ravel()))
+
+
+def axes_of(dims, n_channels, n_times):
+    """The axes (1 to 3) of channels and time in a tensor of three lengths, NULL where none fit: (epoch, channel, time) if that
+    fits; else the channels' is the first of their number, the time's the first other one of its length."""
+    stored = (F.get(dims, F.lit(1)) == n_channels) & (F.get(dims, F.lit(2)) == n_times)
+    ch = F.when(F.size(dims) == 3, F.when(stored, 2).otherwise(F.nullif(F.array_position(dims, n_channels).cast("int"), F.lit(0))))
+    tm = F.when(stored, 3)
+    for axis in (1, 2, 3):
+        tm = F.coalesce(tm, F.when((ch != axis) & (F.get(dims, F.lit(axis - 1)) == n_times), axis))
+    return ch, F.when(ch.isNotNull(), tm)
+
+
+def turn_tensors(tensors: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Tensors stored in a row (``data`` flat, last axis fastest, ``dims``, ``nbchan``, ``pnts``) -> ``keep, epoch, channel_idx, signal``.
+
+    Each is turned where it is read (see ``axes_of``); one whose axes or length do not fit is left out.
+    """
+    kept = len(keep)
+    ch, tm = axes_of(F.col("dims"), F.col("nbchan"), F.col("pnts"))
+    cells = F.aggregate("dims", F.lit(1).cast("bigint"), lambda n, d: n * d)
+    good = tensors.select(*keep, F.col("data").cast("array<double>").alias("data"), "dims", ch.alias("ch"), tm.alias("tm")) \
+        .where("ch is not null and tm is not null").where(F.size("data") == cells)
+    schema = StructType(good.select(*keep).schema.fields + _SIGNAL.fields)
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                data, dims, channel, time = (batch.column(kept + i)[row] for i in range(4))
+                c, t = channel.as_py() - 1, time.as_py() - 1
+                cube = data.values.to_numpy(zero_copy_only=False).reshape(dims.as_py()).transpose(3 - c - t, c, t)
+                for epoch, matrix in enumerate(cube):
+                    own = [x.slice(row, 1).take(pa.array(np.zeros(len(matrix), "i4"))) for x in batch.columns[:kept]]
+                    yield pa.RecordBatch.from_arrays([
+                        *own, pa.array([epoch] * len(matrix), pa.int32()), pa.array(np.arange(len(matrix)), pa.int32()), _signals(matrix)],
+                        names=schema.names)
+
+    return good.mapInArrow(turn, schema)
 
 
 def block_rejects(blocks: DataFrame) -> DataFrame:
@@ -157,7 +206,7 @@ def check_shapes(epochs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
 
     ``files``: ``dataset, subject, n_channels, n_times, ndim``; a file is bad as a whole, like one read at once.
     """
-    key = ["dataset", "subject"]
+    key = file_key(epochs)
     # Distinct channels in two steps, both with partial sums: no set of channels is ever held for a large file.
     channels = epochs.groupBy(*key, "channel_idx").agg(
         F.min(F.size("signal")).alias("shortest"), F.max(F.size("signal")).alias("longest"))

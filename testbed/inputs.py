@@ -229,3 +229,56 @@ def float_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("label") != 8, 4).alias("nbchan"), F.lit(4).alias("pnts"),
                     F.when(F.col("label") == 9, 3).otherwise(4).alias("trials")) \
         .withColumn("length", F.length("content").cast("bigint"))
+
+
+PER_FILE = 8  # epochs of a stored file
+
+
+def stored_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Manifest, headers and blocks: file b holds the montage epochs 8b .. 8b + 7; of ten files four are sound blocks, one holds its data
+    itself with channels and samples swapped, and five lack something. A subject has several files."""
+    rows = montage(spark, sf_dir).select(F.expr(f"epoch div {PER_FILE}").alias("b"), F.struct(
+        (F.col("epoch") % PER_FILE).alias("k"), "channel_idx", F.col("signal").cast("array<float>").alias("v")).alias("cell"))
+    files = rows.groupBy("b").agg(F.array_sort(F.collect_list("cell")).alias("cells")).where(F.size("cells") == 7 * PER_FILE)
+
+    @F.arrow_udf("binary")
+    def pack(values: pa.Array) -> pa.Array:
+        cubes = np.asarray(values.flatten(), dtype="<f4").reshape(len(values), PER_FILE, 7, N).transpose(0, 1, 3, 2)
+        return pa.array([c.tobytes() for c in cubes], type=pa.binary())
+
+    b, kind, name = F.col("b"), F.col("b") % 10, F.lit(MONTAGE)
+    files = files.withColumn("flat", F.flatten("cells.v")).withColumn("stem", F.concat(
+        F.lit("ds00"), (b % 5 + 1).cast("string"), F.lit("/derivatives/rerefer/sub-"), (b % 20).cast("string"), F.lit("_f"), b.cast("string")))
+    key = F.concat("stem", F.lit(".set"))
+    names = F.when(b % 20 == 3, F.transform(name, lambda c: F.concat(F.lit("x"), c))).when(b % 5 == 3, F.transform(name, lambda c: F.lower(c))) \
+        .when(kind == 9, F.slice(name, 1, 6)).when(b % 5 == 4, F.array(*[F.lit("Oz" if c == "CPz" else c) for c in MONTAGE])).otherwise(name)
+    # Swapped: epoch, sample, channel.
+    turned = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(PER_FILE * N - 1)), lambda i: F.transform(
+        F.sequence(F.lit(0), F.lit(6)), lambda c: F.get("flat", (F.floor(i / N) * 7 + c) * N + i % N))))
+    headers = files.select(
+        key.alias("key"), F.when(kind != 7, 7).alias("nbchan"), F.lit(N).alias("pnts"), F.when(kind == 6, 9).otherwise(PER_FILE).alias("trials"),
+        F.lit(RATE).alias("srate"), F.when(kind != 5, T0).alias("xmin"), names.alias("channels"),
+        F.when(kind == 2, turned.cast("array<double>")).alias("data"), F.when(kind == 2, F.array(F.lit(PER_FILE), F.lit(N), F.lit(7))).alias("dims"))
+    blocks = files.where(~kind.isin(2, 8)).select(F.concat("stem", F.lit(".fdt")).alias("key"), pack("flat").alias("content"))
+    keys = files.select(key.alias("key"), F.lit(1).cast("bigint").alias("size")).union(
+        blocks.select("key", F.length("content").cast("bigint"))).union(files.select(F.concat(F.replace("stem", F.lit("rerefer"), F.lit("raw")), F.lit(".set")), F.lit(1)))
+    return objects.with_key_parts(keys), headers, blocks
+
+
+def file_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label events of the stored files, each in its own file."""
+    k = F.col("l_orderkey")
+    b = F.expr(f"l_orderkey div {PER_FILE}")
+    owner = {"dataset": F.concat(F.lit("ds00"), (b % 5 + 1).cast("string")), "subject": F.concat(F.lit("sub-"), (b % 20).cast("string"))}
+    file = F.concat("dataset", F.lit("/derivatives/rerefer/"), "subject", F.lit("_f"), b.cast("string"), F.lit(".set"))
+    return table(spark, sf_dir, "lineitem").withColumns(owner).select(
+        "dataset", "subject", file.alias("file"), F.expr(EVENT_POS).alias("event_pos"), (k % PER_FILE + 1).cast("int").alias("epoch"),
+        (F.col("l_discount") * 100).alias("rating"), F.col("l_quantity").alias("laser_power"))
+
+
+FILES_SQL = f"""fb AS (SELECT b, 'ds00' || (b % 5 + 1) AS dataset, 'sub-' || (b % 20) AS subject,
+    'ds00' || (b % 5 + 1) || '/derivatives/rerefer/sub-' || (b % 20) || '_f' || b || '.set' AS file, CASE WHEN b % 10 = 8 THEN 'block'
+    WHEN b % 10 = 7 THEN 'block shape' WHEN b % 10 = 6 THEN 'block size' WHEN b % 10 = 9 THEN 'shape' WHEN b % 10 = 5 THEN 'times'
+    WHEN b % 20 = 3 THEN 'channels' END AS stage, CASE WHEN b % 10 = 8 THEN 'no signal data' WHEN b % 10 = 7 THEN 'no channel or sample count'
+    WHEN b % 10 = 6 THEN '14336 bytes for 7 x 64 x 9 values of 4' WHEN b % 10 = 9 THEN 'channel count differs from names' WHEN b % 10 = 5 THEN 'no time axis'
+    WHEN b % 20 = 3 THEN 'no vertex channel' END AS reason FROM range(0, (SELECT (max(vec_id) - 5) // {PER_FILE} FROM embeddings)) r(b))"""

@@ -11,7 +11,7 @@ from evoq.functions import kernels
 from evoq.functions.arrays import Axis
 from evoq.functions.numbers import band_label, capped_high, percent_change, resultant_length
 from evoq.operators import channels, complexity, erp, phase, spectral, summaries, trials
-from evoq.plans import features
+from evoq.plans import extraction, features
 from evoq.sources import labels as label_source
 from evoq.sources import signals
 from testbed import inputs as I
@@ -395,10 +395,10 @@ def w5(spark, sf):
 
 
 @query("J12_basis_join", f"""SELECT epoch, k::INT AS k, {rnd('sum(v * cos(2 * pi() * i * k / 64))')} AS re, {rnd('sum(v * sin(2 * pi() * i * k / 64))')} AS im
-    FROM smp, range(0, 9) r(k) GROUP BY epoch, k""", (I.EPOCHS_SQL,))
+    FROM smp, range(0, 33) r(k) GROUP BY epoch, k""", (I.EPOCHS_SQL,))
 def j12(spark, sf):
-    """Fourier sums of whole epochs by a join with a basis of fixed size (9 bins x 64 samples)."""
-    basis = spark.range(9).withColumnRenamed("id", "k").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(63)))) \
+    """Fourier sums of whole epochs by a join with a basis of fixed size (33 bins x 64 samples)."""
+    basis = spark.range(33).withColumnRenamed("id", "k").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(63)))) \
         .withColumn("w", F.col("k") * F.col("i") * (2 * math.pi / 64)).select("k", "i", F.cos("w").alias("c"), F.sin("w").alias("s"))
     rows = signals.to_samples(I.epochs(spark, sf), "epoch").join(F.broadcast(basis), "i")
     return rounded(rows.groupBy("epoch", F.col("k").cast("int").alias("k")).agg(F.sum(F.col("v") * F.col("c")).alias("re"), F.sum(F.col("v") * F.col("s")).alias("im")))
@@ -430,11 +430,34 @@ def x16(spark, sf):
     return rounded(table, 9, *features.ERP, *features.COMPLEXITY, "rating")
 
 
-@query("X17_extract_with_rejects", """SELECT dataset, reason, count(*) AS n FROM (SELECT dataset, subject,
+X17 = f"""SELECT f.dataset, f.subject, f.file, f.epoch::INT AS epoch, CASE WHEN b % 5 = 3 THEN 'cz' ELSE 'Cz' END AS vertex_channel, 64.0::DOUBLE AS sfreq,
+    {', '.join(rnd('pk.' + c) + ' AS ' + c for c in features.ERP)}, gamma_power, gamma_band_hz, alpha_erd_pct, beta_erd_pct,
+    {', '.join('psd_' + b for b in SPEC.bands)}, {', '.join(f'"{n}"' for n in PLV_NAMES[:3])}, CASE WHEN b % 5 <> 4 THEN "{PLV_NAMES[3]}" END AS "{PLV_NAMES[3]}",
+    {', '.join(features.COMPLEXITY)}, {rnd('rating')} AS rating, laser_power, NULL::VARCHAR AS stage, NULL::VARCHAR AS reason
+    FROM (SELECT *, unnest(range(0, {I.PER_FILE})) AS epoch FROM fb WHERE reason IS NULL) f JOIN ep ON ep.epoch = {I.PER_FILE} * b + f.epoch
+    JOIN pk ON pk.epoch = ep.epoch JOIN plv ON plv.epoch = ep.epoch LEFT JOIN lab ON lab.epoch = ep.epoch
+    {' '.join(f'JOIN ({piece(q)}) q{i} ON q{i}.epoch = ep.epoch' for i, q in enumerate((
+        "X5_gamma_power", "X6_erd", "X4_psd_bands", "X10_permutation_entropy", "X11_spectral_entropy", "X12_sample_entropy",
+        "X13_higuchi", "X14_dfa", "X15_hjorth")))}
+    UNION ALL SELECT dataset, subject, file, NULL, NULL, NULL, {', '.join(['NULL'] * len(features.feature_columns(SPEC)))}, NULL, NULL, stage, reason
+    FROM fb WHERE reason IS NOT NULL"""
+
+
+# In the files it is the file, not the epoch, that may lack a CPz.
+@query("X17_extract_with_rejects", X17, (*[p.replace("WHEN epoch % 5 = 4 AND name = 'CPz' THEN 'Oz' ", "") for p in PLV], PEAKS_SQL, I.EPOCH_LABELS_SQL, PSD, GAMMA, *ERD, LAG, WALK, I.FILES_SQL))
+def x17(spark, sf):
+    """From manifest, headers and blocks to the features of every epoch of every sound file, and a reject per other file."""
+    table, rejects = extraction.extract_files(*I.stored_files(spark, sf), I.file_labels(spark, sf), SPEC)
+    out = rounded(extraction.extraction(table, rejects), 6, *PLV_NAMES, "alpha_erd_pct", "beta_erd_pct")
+    out = rounded(out, 12, "gamma_power", *[f"psd_{b}" for b in SPEC.bands])
+    return rounded(out, 9, *features.ERP, *features.COMPLEXITY, "rating")
+
+
+@query("A22_rejects_of_shapes", """SELECT dataset, reason, count(*) AS n FROM (SELECT dataset, subject,
     CASE WHEN count(DISTINCT channel_idx) <> CASE WHEN dataset = 'ds002' THEN 8 ELSE 7 END THEN 'channel count differs from names'
     WHEN dataset = 'ds003' THEN 'sample count differs from time axis' END AS reason FROM mont GROUP BY dataset, subject)
     WHERE reason IS NOT NULL GROUP BY dataset, reason""", (I.MONTAGE_SQL,))
-def x17(spark, sf):
+def reject_counts(spark, sf):
     """Files whose declared shape is wrong are counted by reason instead of failing the run."""
     _, rejects = features.extract(I.montage(spark, sf), declared(spark, sf), None, SPEC)
     return features.reject_counts(rejects)
@@ -474,6 +497,19 @@ def a22(spark, sf):
     embedding[u + 1]::DOUBLE AS v FROM embeddings, range(0, 64) r(u)""")
 def p10(spark, sf):
     """Vectors as 2 x 4 x 8 tensors, half of them with channels and samples swapped; both come out alike."""
+    e = I.table(spark, sf, "embeddings")
+    even = F.col("vec_id") % 2 == 0
+    tensors = e.select(F.concat(F.lit("ds"), (F.col("vec_id") % 2).cast("string")).alias("dataset"), F.col("vec_id").cast("string").alias("subject"),
+                       F.col("embedding").alias("data"), F.when(even, F.array(*map(F.lit, (2, 4, 8)))).otherwise(F.array(*map(F.lit, (2, 8, 4)))).alias("dims"),
+                       F.lit(4).alias("nbchan"), F.lit(8).alias("pnts"))
+    return signals.to_samples(signals.turn_tensors(tensors, ["dataset", "subject"]), "dataset", "subject", "epoch", "channel_idx")
+
+
+@query("P10_axes_of_cells", """SELECT 'ds' || (vec_id % 2) AS dataset, vec_id::VARCHAR AS subject, (u // 32)::INT AS epoch, CASE WHEN vec_id % 2 = 0
+    THEN u // 8 % 4 ELSE u % 4 END::INT AS channel_idx, CASE WHEN vec_id % 2 = 0 THEN u % 8 ELSE u // 4 % 8 END::INT AS i,
+    embedding[u + 1]::DOUBLE AS v FROM embeddings, range(0, 64) r(u)""")
+def p10_cells(spark, sf):
+    """The same tensors stored cell by cell."""
     e = I.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("u", "v"))
     even, u = F.col("vec_id") % 2 == 0, F.col("u")
     cells = e.select(F.concat(F.lit("ds"), (F.col("vec_id") % 2).cast("string")).alias("dataset"), F.col("vec_id").cast("string").alias("subject"),
