@@ -7,14 +7,15 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD_CACHE = 80_000
-_WORD = re.compile("[^\x20\x09-\x0D]+")
-_ODD = re.compile("[\x1c-\x1f]")  # white space for split(), but not for the tokenizer
+# Text encoded at once, and bounds in bytes of each generation of what a worker remembers; an entry's objects take some 350 bytes.
+BLOCK = 2 << 20
+WORD_BYTES, PIECE_BYTES, ENTRY_BYTES = 32 << 20, 64 << 20, 350
 
 
 class LastTokens:
@@ -28,7 +29,13 @@ class LastTokens:
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], word_end: str):
         self.vocabulary, self.word_end = vocabulary, word_end
         self.rank = {pair: i for i, pair in enumerate(merges)}
-        self.longest = max((len(t) - (len(word_end) if t.endswith(word_end) else 0) for t in vocabulary), default=1)
+        # By their last three letters, how long tokens are at most: those within a word, and those that end one.
+        self.reach: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        for token in vocabulary:
+            final = token.endswith(word_end) and len(token) > len(word_end)
+            body = token[:-len(word_end)] if final else token
+            if len(body) > 2:
+                self.reach[final][body[-3:]] = max(len(body), self.reach[final].get(body[-3:], 0))
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.edges: dict[str, tuple[list, list]] = {}
         self.follows: dict[tuple[str, str], bool] = {}
@@ -96,7 +103,7 @@ class LastTokens:
 def encode_words(pieces: list[str], rules: LastTokens) -> dict[str, list[str]]:
     """Tokens of distinct words. In sorted order the words are a depth-first walk over their trie: the states of the
     characters that a word shares with the one before it are still on the path and are not computed again."""
-    vocabulary, halves, follows, longest, end = rules.vocabulary, rules.halves, rules.follows, rules.longest, rules.word_end
+    vocabulary, halves, follows, (within, final), end = rules.vocabulary, rules.halves, rules.follows, rules.reach, rules.word_end
     whole, may_follow, out = rules.whole, rules.may_follow, {}
     path, before, cut = [""], "", len(end)
     for word in sorted(pieces):
@@ -106,6 +113,8 @@ def encode_words(pieces: list[str], rules: LastTokens) -> dict[str, list[str]]:
         del path[shared + 1:]
         for n in range(shared + 1, size + 1):
             last = n == size
+            # Other tokens are of two letters at most.
+            longest = (final if last else within).get(word[n - 3:n], 2) if n > 2 else n
             for at in range(n - longest if n > longest else 0, n):
                 token = word[at:] + end if last else word[at:n]
                 if token in vocabulary and (halves.get(token) or whole(token)):
@@ -141,19 +150,22 @@ class WordEncoder:
         self.rules = LastTokens(spec["model"]["vocab"], merges, spec["model"]["end_of_word_suffix"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.letters_only = any(t.isalpha() for t in self.special)  # such a token could hide in a word of letters
         # Only its normalizer and splitter are used, so the library need not hold the vocabulary.
         bare = {**spec, "added_tokens": [], "model": {**spec["model"], "vocab": {}, "merges": []}}
         library = Tokenizer.from_str(json.dumps(bare))
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         # The splitting rule of the file for printable ASCII, where it needs no Unicode classes.
         self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-        self.words: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.words, self.known = Remembered(WORD_BYTES), Remembered(PIECE_BYTES)
 
     def pieces(self, word: str) -> list[str | tuple[str]]:
         """Pieces of a word in the letters of the vocabulary; a special token is a tuple of it."""
-        if word.isascii() and word.isprintable() and not any(t in word for t in self.special):
-            return self.ascii.findall(word.lower())
+        if word.isascii():
+            if word.isalpha() and not self.letters_only:
+                return [word.lower()]
+            if word.isprintable() and not any(t in word for t in self.special):
+                return self.ascii.findall(word.lower())
         out = []
         for part in self.split_special.split(word) if self.split_special else [word]:
             if part in self.special:
@@ -162,42 +174,60 @@ class WordEncoder:
                 out += [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))]
         return out
 
-    def learn(self, seen: set[str]) -> dict[str, tuple[int, str, str]]:
-        """Number of tokens, ids and tokens (each joined by spaces) of words; the words used of late are remembered."""
-        if len(self.words) > WORD_CACHE:
-            self.older, self.words = self.words, {}
-        fresh = []
-        for w in seen:
-            if w not in self.words:
-                if w in self.older:
-                    self.words[w] = self.older[w]
-                else:
-                    fresh.append(w)
+    def learn(self, seen: list[str]) -> dict[str, tuple[int, str, str]]:
+        """Number of tokens, ids and tokens (each joined by spaces) of words; words and pieces used of late are remembered."""
+        fresh = self.words.missing(seen)
         split = {w: self.pieces(w) for w in fresh}
-        every = {p for parts in split.values() for p in parts}
-        known = {t: (1, str(i), t) for t, i in self.special.items() if (t,) in every}
+        every = {p for parts in split.values() for p in parts if type(p) is str}
         ids = self.rules.vocabulary
-        for p, tokens in encode_words([p for p in every if type(p) is str], self.rules).items():
-            known[p] = (1, str(ids[tokens[0]]), tokens[0]) if len(tokens) == 1 else \
-                (len(tokens), " ".join([str(ids[t]) for t in tokens]), " ".join(tokens))
+        for p, tokens in encode_words(self.known.missing(every), self.rules).items():
+            self.known.add(p, (1, str(ids[tokens[0]]), tokens[0]) if len(tokens) == 1 else
+                           (len(tokens), " ".join([str(ids[t]) for t in tokens]), " ".join(tokens)))
+        known = self.known.now
         for w, parts in split.items():
-            found = [known[p if type(p) is str else p[0]] for p in parts]
-            self.words[w] = found[0] if len(found) == 1 else \
-                (sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found]))
-        return self.words
+            found = [known[p] if type(p) is str else (1, str(self.special[p[0]]), p[0]) for p in parts]
+            self.words.add(w, found[0] if len(found) == 1 else
+                           (sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])))
+        return self.words.now
+
+
+class Remembered:
+    """Encodings by word, in two generations of about ``size`` bytes: what is not asked for during one goes with the next."""
+
+    def __init__(self, size: int):
+        self.size, self.held = size, 0
+        self.now: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
+
+    def missing(self, keys) -> list[str]:
+        """The keys that are not held; the others are in ``now`` afterwards."""
+        if self.held > self.size:
+            self.older, self.now, self.held = self.now, {}, 0
+        now, older, out = self.now, self.older, []
+        for key in keys:
+            if key not in now:
+                found = older.get(key)
+                if found is None:
+                    out.append(key)
+                else:
+                    self.add(key, found)
+        return out
+
+    def add(self, key: str, found: tuple[int, str, str]) -> None:
+        self.now[key] = found
+        self.held += ENTRY_BYTES + len(key) + len(found[1]) + len(found[2])
 
 
-def _texts_of_words(column: pa.Array, block: int = 1 << 20) -> Iterator[tuple[int, list[list[str]]]]:
-    """First row and words of each row, so many rows at a time that they hold ``block`` bytes or are one row."""
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
-    first = 0
+def _blocks_of_words(column: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """First row, words and where each row's words end, so many rows at a time that they hold ``block`` bytes or are one row. The words
+    are between the library's ASCII white space, which is that of the operator; empty ones are left for the caller."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, first = np.cumsum(sizes), 0
     while first < len(sizes):
-        last, held = first + 1, sizes[first]
-        while last < len(sizes) and held + sizes[last] <= block:
-            held += sizes[last]
-            last += 1
-        yield first, [_WORD.findall(t) if _ODD.search(t) else t.split()
-                      for t in pc.fill_null(column.slice(first, last - first), "").to_pylist()]
+        before = ends[first - 1] if first else 0
+        last = max(int(np.searchsorted(ends, before + block, "right")), first + 1)
+        lists = pc.ascii_split_whitespace(pc.fill_null(column.slice(first, last - first), "").cast(pa.large_string()))
+        yield first, lists.flatten(), np.cumsum(np.concatenate(([0], lists.value_lengths().to_numpy())))
         first = last
 
 
@@ -227,16 +257,20 @@ def encode_texts(sidecars: DataFrame, model: str, key: str = "key", content: str
         encoder = None
         for batch in batches:
             encoder = encoder or WordEncoder(model)
-            for first, rows in _texts_of_words(batch.column(1)):
-                known, counts, ids, texts = encoder.learn({w for row in rows for w in row}), [], [], []
-                for row in rows:
-                    found = [known[w] for w in row]
-                    counts.append(sum(f[0] for f in found))
-                    ids.append(" ".join([f[1] for f in found if f[0]]))
-                    texts.append(" ".join([f[2] for f in found if f[0]]))
+            for first, found, ends in _blocks_of_words(batch.column(1)):
+                distinct = found.dictionary_encode()
+                seen, at = distinct.dictionary.to_pylist(), distinct.indices.to_numpy()
+                known = encoder.learn([w for w in seen if w])
+                each = [known[w] if w else (0, "", "") for w in seen]
+                sizes = np.array([e[0] for e in each], np.int64)[at]
+                counts, full = np.concatenate(([0], np.cumsum(sizes))), sizes > 0
+                offsets = pa.array(np.concatenate(([0], np.cumsum(full)))[ends], pa.int32())
+                at = pa.array(at[full])
+                joined = [pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array([e[i] for e in each], pa.string()).take(at)), " ")
+                          for i in (1, 2)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(rows)), pa.array(counts, pa.int64()), pa.array(ids, pa.string()),
-                     pa.array(texts, pa.string())], ["key", "n_tokens", "ids", "decoded"])
+                    [batch.column(0).slice(first, len(ends) - 1), pa.array(counts[ends[1:]] - counts[ends[:-1]]),
+                     *joined], ["key", "n_tokens", "ids", "decoded"])
 
     return sidecars.select(F.col(key).alias("key"), F.col(content).cast("string").alias("content")) \
         .mapInArrow(run, f"key {kind}, n_tokens bigint, ids string, decoded string")

@@ -174,3 +174,20 @@ def test_token_bytes():
     block = next(words.blocks_of_words(pa.array(["  A b ", "", None, "c"])))
     data, begins = ct.token_bytes(block)
     assert data.tobytes() == b"a b\n\n\nc\n" and begins.tolist() == [0, 4, 5, 6, 8]
+
+
+def test_word_bpe_of_long_texts_and_words(sidecars, monkeypatch):
+    """A very long word, a very long text, white space at the ends, and caches that hold next to nothing."""
+    from tokenizers import Tokenizer
+
+    model = tokenizer_file("word_bpe_49k.json")
+    library = Tokenizer.from_str(model)
+    texts = ["x" * 20_000 + " end", "  \t\n ", " lead and trail \n", "Some words, again. " * 60_000, "a b c \x1c\x1f d", "<|endoftext|>" * 3 + " x"]
+    rows = list(enumerate(texts))
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in rows}
+    for words_held in (word_bpe.WORD_BYTES, 1):
+        monkeypatch.setattr(word_bpe, "WORD_BYTES", words_held)
+        monkeypatch.setattr(word_bpe, "PIECE_BYTES", words_held)
+        got = {r.key: (r.n_tokens, r.ids, r.decoded) for r in word_bpe.encode_texts(sidecars(rows), model).collect()}
+        assert {i: g[:2] for i, g in got.items()} == {i: (len(w), " ".join(map(str, w))) for i, w in want.items()}
+        assert {i: g[2] for i, g in got.items()} == {i: library.decode(w, skip_special_tokens=False) for i, w in want.items()}
