@@ -41,17 +41,22 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def candidates(sidecars: DataFrame, dataset: str, subject: str, key: str, content: str) -> DataFrame:
-    """``row, dataset, subject, key, base, live``: one row per text; no text is kept."""
+def with_candidates(sidecars: DataFrame, content: str) -> DataFrame:
+    """The rows with ``base``, the spans of the base kinds, and ``live``, the further long tokens outside them."""
     text = F.coalesce(F.col(content), F.lit(""))
     kinds = [matches(F.col("_text"), kind, i, pattern, group, least)
              for i, (kind, pattern, group, least) in enumerate((*BASE_KINDS, LIVE))]
-    found = sidecars.select(F.col(dataset).alias("dataset"), F.col(subject).alias("subject"), F.col(key).alias("key"), text.alias("_text")) \
-        .select("dataset", "subject", "key", *[k.alias(f"_{i}") for i, k in enumerate(kinds)])
+    names = [n for n in sidecars.columns if n not in ("base", "live")]
+    found = sidecars.select(*names, text.alias("_text")).select(*names, *[k.alias(f"_{i}") for i, k in enumerate(kinds)])
     base = F.array_sort(F.concat("_0", "_1", "_2"))
     outside = F.filter("_3", lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return found.withColumn("base", base).withColumn("live", outside).select("dataset", "subject", "key", "base", "live") \
-        .withColumn("row", F.monotonically_increasing_id())
+    return found.withColumn("base", base).withColumn("live", outside).select(*names, "base", "live")
+
+
+def candidates(sidecars: DataFrame, dataset: str, subject: str, key: str, content: str) -> DataFrame:
+    """``row, dataset, subject, key, base, live``: one row per text; no text is kept."""
+    named = sidecars.select(F.col(dataset).alias("dataset"), F.col(subject).alias("subject"), F.col(key).alias("key"), F.col(content).alias("content"))
+    return with_candidates(named, "content").select("dataset", "subject", "key", "base", "live").withColumn("row", F.monotonically_increasing_id())
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -98,3 +103,21 @@ def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
         .otherwise(F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out")))
     return F.when(F.size(spans) == 0, text).otherwise(
         F.concat(walked["out"], text.substr(walked["at"] + 1, F.length(text))))
+
+
+def redact_secrets(sidecars: DataFrame, dataset: str = "dataset", subject: str = "subject", key: str = "key", content: str = "content",
+                   copied_from: int = 3) -> DataFrame:
+    """The rows, all columns kept, with every secret of ``scan_secrets`` in ``content`` replaced by a mark.
+
+    ``key`` must tell rows of different text apart; rows that repeat key and text get the same text. Spans of the base kinds are
+    redacted where the row is read. Only rows with a further long token wait for the answer of the corpus, and only they are
+    joined; if the keys of live ones are too many to be broadcast, those rows alone are shuffled.
+    """
+    marked = with_candidates(sidecars, content)
+    found = scan_secrets(sidecars, dataset, subject, key, content, copied_from).where(F.exists("spans", lambda s: s["kind"] == LIVE[0]))
+    live = pin(found.groupBy(F.col("key").alias("_key")).agg(F.first("spans").alias("_spans")))
+    some = F.size("live") > 0
+    redacted = redact(F.col(content), F.coalesce("_spans", "base"))
+    held = marked.where(some).join(live, F.col(key).eqNullSafe(F.col("_key")), "left")
+    rows = held.unionByName(marked.where(~some).withColumn("_spans", F.lit(None).cast(SPAN)), allowMissingColumns=True)
+    return rows.withColumn(content, redacted).select(*sidecars.columns)

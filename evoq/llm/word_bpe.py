@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 # Text encoded at once, and bounds in bytes of each generation of what a worker remembers; an entry's objects take some 350 bytes.
 BLOCK = 2 << 20
-WORD_BYTES, PIECE_BYTES, ENTRY_BYTES = 32 << 20, 64 << 20, 350
+WORD_BYTES, PIECE_BYTES, ENTRY_BYTES = 16 << 20, 40 << 20, 350
 
 
 class LastTokens:
@@ -88,7 +88,7 @@ class LastTokens:
         pair = (before, token)
         found = self.follows.get(pair)
         if found is None:
-            if len(self.follows) > 200_000:
+            if len(self.follows) > 100_000:
                 self.follows.clear()
             rank, found = self.rank, True
             for x, x_gone in self.sides(before)[1]:
