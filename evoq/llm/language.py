@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +16,16 @@ from evoq.session import pin
 
 @dataclass(frozen=True)
 class LanguageSpec:
-    """``sample``: texts per language that are learnt from, a bound on training only; ``languages`` bounds their number.
+    """``sample``: texts per language that are learnt from; with many languages less, so that they are at most ``rows`` in all (but one each),
+    and ``bytes`` of counted subwords: bounds on training only, whatever the number of languages.
 
     Every fifth of the sample calibrates: one temperature, and for rejection the score under which a share
     ``reject`` of right calibration texts lies, lowered to ``margin`` of it.
     """
 
     sample: int = 1000
-    languages: int = 200
+    rows: int = 4000
+    bytes: int = 96 << 20
     buckets: int = 1 << 15
     dimensions: int = 16
     sizes: tuple[int, ...] = (1, 2, 3, 4)
@@ -53,27 +56,38 @@ def has_letter(content: Column) -> Column:
 
 
 def training_sample(sidecars: DataFrame, key: str, content: str, lang: str, learn_from: Column, spec: LanguageSpec) -> DataFrame:
-    """``lang, buckets, counts`` of the first texts of each language in the order of the hash of their keys."""
+    """``lang, nth, buckets, counts`` of the first texts of each language in the order of the hash of their keys.
+
+    Keys are counted per language first; only those whose hash lies under a threshold set by the count are put in order, so no
+    task holds more than about twice the sample of a language. Where a key has several texts, the one of the least digest counts.
+    """
     rows = sidecars.where(learn_from & F.col(lang).isNotNull() & has_letter(F.col(content)))
-    order = Window.partitionBy("lang").orderBy("place", "key")
-    ids = rows.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.xxhash64(F.col(key)).alias("place")).distinct() \
-        .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= spec.sample).select("lang", "key", "nth")
-    ids = pin(ids)
-    named = ids.select("lang").distinct().orderBy("lang").limit(spec.languages)
-    ids = ids.join(named, "lang", "left_semi")
-    texts = sidecars.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(content).cast("string").alias("content")) \
-        .join(F.broadcast(ids), ["key", "lang"])
+    keys = pin(rows.select(F.col(lang).alias("lang"), F.col(key).alias("key")).distinct().withColumn("place", F.xxhash64("key")))
+    # One row per language: their names are part of the model, which the driver holds.
+    totals = pin(keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    each = max(1, min(spec.sample, spec.rows // max(totals.count(), 1)))
+    share = F.least(F.lit(1.0), (1.5 * each + 50) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy("place", F.col("key").cast("string"))
+    ids = keys.join(F.broadcast(totals), "lang").where(F.pmod(F.col("place"), F.lit(1 << 40)) <= share * float(1 << 40)) \
+        .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each).select("lang", F.col("key").alias("_key"), "nth")
+    texts = rows.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(content).cast("string").alias("content"))
+    texts = texts.join(F.broadcast(pin(ids).withColumnRenamed("lang", "_lang")), (F.col("lang") == F.col("_lang")) & F.col("key").eqNullSafe(F.col("_key")))
 
     def run(batches):
         for batch in batches:
-            data, offsets = words.text_bytes(batch.column(2))
+            data, offsets = words.text_bytes(batch.column(3))
             pairs = [np.unique(subwords(words.lowered(data[offsets[i]:offsets[i + 1]]), spec), return_counts=True)
                      for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([b for b, _ in pairs], pa.list_(pa.int32())),
-                 pa.array([c.astype(np.int32) for _, c in pairs], pa.list_(pa.int32()))], ["lang", "nth", "buckets", "counts"])
+                [*batch.columns[:3], pa.array([b for b, _ in pairs], pa.list_(pa.int32())),
+                 pa.array([c.astype(np.int32) for _, c in pairs], pa.list_(pa.int32()))], ["lang", "nth", "digest", "buckets", "counts"])
 
-    return texts.select("lang", "nth", "content").mapInArrow(run, "lang string, nth int, buckets array<int>, counts array<int>")
+    counted = texts.select("lang", "nth", F.xxhash64("content").alias("digest"), "content") \
+        .mapInArrow(run, "lang string, nth int, digest bigint, buckets array<int>, counts array<int>")
+    # The sample has at most ``rows`` rows (or one per language), so one task may sum their sizes; whole ranks are kept up to the bound.
+    found = counted.groupBy("lang", "nth").agg(F.min(F.struct("digest", "buckets", "counts")).alias("of"))
+    size = F.sum(F.lit(8) * F.size("of.buckets")).over(Window.orderBy("nth"))
+    return found.withColumn("size", size).where((F.col("size") <= spec.bytes) | (F.col("nth") == 1)).select("lang", "nth", "of.buckets", "of.counts")
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -99,15 +113,15 @@ class LanguageModel:
 
 def train(sample: pa.Table, spec: LanguageSpec) -> LanguageModel:
     """Stochastic gradient descent in numpy over the bounded sample (embeddings and output weights together)."""
-    sample = sample.sort_by([("nth", "ascending"), ("lang", "ascending")]).combine_chunks()
+    order = pc.sort_indices(sample.select(["nth", "lang"]), [("nth", "ascending"), ("lang", "ascending")]).to_pylist()
     langs = sample["lang"].to_pylist()
     names = sorted(set(langs))
     if not names:
         return LanguageModel([], np.zeros((spec.buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    lists = sample["buckets"].combine_chunks()
-    flat, ends = lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().to_pylist()])
-    times = sample["counts"].combine_chunks().flatten().to_numpy()
-    texts = [(flat[ends[i]:ends[i + 1]], times[ends[i]:ends[i + 1]], names.index(langs[i])) for i in range(len(langs)) if ends[i] < ends[i + 1]]
+    # Views of the received batches: the sample is not copied.
+    views = [[c.values.to_numpy()[c.offsets[i].as_py():c.offsets[i + 1].as_py()] for c in sample[name].chunks for i in range(len(c))]
+             for name in ("buckets", "counts")]
+    texts = [(views[0][i], views[1][i], names.index(langs[i])) for i in order if len(views[0][i])]
     learn = [t for i, t in enumerate(texts) if i % 5] or texts
     calibrate = texts[::5]
     random = np.random.default_rng(spec.seed)
@@ -140,12 +154,16 @@ def train(sample: pa.Table, spec: LanguageSpec) -> LanguageModel:
 
 def fit_language_model(sidecars: DataFrame, key: str, content: str, lang: str, learn_from: Column,
                        spec: LanguageSpec = LanguageSpec()) -> LanguageModel:
-    rows = training_sample(sidecars, key, content, lang, learn_from, spec)
-    return train(rows.toArrow(), spec)
+    rows = training_sample(sidecars, key, content, lang, learn_from, spec).toArrow()
+    model = train(rows, spec)
+    del rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def predict(sidecars: DataFrame, model: LanguageModel, content: str, spec: LanguageSpec) -> DataFrame:
-    """Adds ``lang_pred, score, accepted`` to the rows."""
+    """Adds ``lang_pred, score, accepted`` to the rows; columns that had these names are replaced."""
+    sidecars = sidecars.drop("lang_pred", "score", "accepted")
     frame = sidecars.select("*", F.col(content).cast("string").alias("_content"), has_letter(F.col(content)).alias("_letter"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sidecars.schema) \
         + ", lang_pred string, score double, accepted boolean"

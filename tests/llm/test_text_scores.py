@@ -191,3 +191,29 @@ def test_word_bpe_of_long_texts_and_words(sidecars, monkeypatch):
         got = {r.key: (r.n_tokens, r.ids, r.decoded) for r in word_bpe.encode_texts(sidecars(rows), model).collect()}
         assert {i: g[:2] for i, g in got.items()} == {i: (len(w), " ".join(map(str, w))) for i, w in want.items()}
         assert {i: g[2] for i, g in got.items()} == {i: library.decode(w, skip_special_tokens=False) for i, w in want.items()}
+
+
+def test_sample_of_languages_is_bounded(spark, sidecars, words_of):
+    spec = language.LanguageSpec(sample=5, rows=400, epochs=1)
+    # A key that repeats, with several texts, and more languages than any list holds.
+    rows = [(7, f"the repeated text {i % 3}", "d", "aa") for i in range(3000)]
+    rows += [(i, " ".join(words_of(5, i)), "d", f"l{i % 201:03d}") for i in range(201 * 4)] + [(10**6 + i, "one more", "d", "aa") for i in range(300)]
+    table = sidecars(rows)
+    sample = language.training_sample(table, "key", "content", "lang", F.lit(True), spec).collect()
+    assert len(sample) == 202 and len({r.lang for r in sample}) == 202
+    model = language.fit_language_model(table, "key", "content", "lang", F.lit(True), spec)
+    assert len(model.names) == 202 and "l200" in model.names
+    few = language.training_sample(table.where("lang = 'aa'"), "key", "content", "lang", F.lit(True), spec).collect()
+    assert sorted(r.nth for r in few) == [1, 2, 3, 4, 5]
+    short = language.LanguageSpec(sample=5, bytes=1)
+    assert language.training_sample(table.where("lang = 'aa'"), "key", "content", "lang", F.lit(True), short).count() == 1
+
+
+def test_language_of_clashing_columns_and_long_texts(spark, sidecars):
+    rows = [(i, ("der die das und nicht " if i % 2 else "the and of with not ") * 9, "d", "de" if i % 2 else "en") for i in range(60)]
+    rows += [(100, "der und die " * 100_000, "d", None)]
+    table = sidecars(rows).withColumns({"lang_pred": F.lit("x"), "score": F.lit("y"), "accepted": F.lit(1)})
+    model = language.fit_language_model(table, "key", "content", "lang", F.lit(True))
+    out = language.predict(table, model, "content", language.LanguageSpec())
+    assert sorted(out.columns) == sorted(table.columns)
+    assert all(r.lang_pred == (r.lang or "de") for r in out.collect())
