@@ -14,6 +14,7 @@ from evoq.session import pin
 DIGEST_BUCKETS = 4096  # three hexadecimal digits
 CUTS = 255
 SKETCH = 10_000  # accuracy of the sketch around exact quantiles
+INSIDE, BINS = 100_000, 1024  # rows around a wanted place that are ordered by one task; parts a larger range is cut into
 
 
 def first_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -128,7 +129,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float
     Spark's own exact ``percentile`` keeps every distinct value of a group in one buffer. Here a bounded sketch gives
     two values around each wanted place, one pass counts the rows below and inside, and only the rows inside (some
     thousandth of the table) are shuffled and ordered, equal values as one. Where the counts show that a sketch missed
-    the place, all rows of that group count as inside, so the result is exact in any case.
+    the place, all rows of that group count as inside, so the result is exact in any case. While more than ``INSIDE`` rows
+    are inside, the range is cut into ``BINS`` counted parts, of which those that hold the place stay: so no task orders more.
     """
     v, margin = F.col(value), 4 / SKETCH
     rows = df.select(*by, value).where(v.isNotNull())
@@ -137,7 +139,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float
     sketch = rows.groupBy(*by).agg(F.percentile_approx(value, probes, SKETCH).alias("_q"))
     bounds = pin(sketch.select(*by, *[at(p, i).alias(f"_{'lh'[i % 2]}{i // 2}") for i, p in enumerate(probes)]))
     counts = beside(rows, bounds, by).groupBy(*bounds.columns).agg(
-        F.count(F.lit(1)).alias("_n"),
+        F.count(F.lit(1)).alias("_n"), F.min(v).alias("_min"), F.max(v).alias("_max"),
         *[F.count_if(v < F.col(f"_l{i}")).alias(f"_b{i}") for i in range(len(shares))],
         *[F.count_if(v <= F.col(f"_h{i}")).alias(f"_e{i}") for i in range(len(shares))])
     places = []
@@ -146,17 +148,50 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float
         low, high = F.col(f"_l{i}"), F.col(f"_h{i}")
         holds = (low.isNull() | (F.col(f"_b{i}") <= F.floor(place))) & (high.isNull() | (F.ceil(place) < F.col(f"_e{i}")))
         places.append(F.struct(
-            F.lit(float(s)).alias("share"), place.alias("_at"), F.when(holds, low).alias("_l"), F.when(holds, high).alias("_h"),
-            F.when(holds & low.isNotNull(), F.col(f"_b{i}")).otherwise(0).alias("_before")))
+            F.lit(float(s)).alias("share"), place.alias("_at"), F.coalesce(F.when(holds, low), "_min").alias("_l"),
+            F.coalesce(F.when(holds, high), "_max").alias("_h"),
+            F.when(holds & low.isNotNull(), F.col(f"_b{i}")).otherwise(0).cast("bigint").alias("_before"),
+            (F.when(holds & high.isNotNull(), F.col(f"_e{i}")).otherwise(F.col("_n"))
+             - F.when(holds & low.isNotNull(), F.col(f"_b{i}")).otherwise(0)).alias("_in")))
     wanted = pin(counts.select(*by, F.array(*places).alias("_wanted")))
-    inside = beside(rows, wanted, by).select(*by, value, F.inline("_wanted")).where((F.col("_l").isNull() | (v >= F.col("_l"))) & (F.col("_h").isNull() | (v <= F.col("_h"))))
+    wanted = narrowed(rows, wanted, by, value)
+    inside = beside(rows, wanted, by).select(*by, value, F.inline("_wanted")).where((v >= F.col("_l")) & (v <= F.col("_h")))
     counted = inside.groupBy(*by, "share", "_at", "_before", value).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by, "share").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
     here = lambda place: F.max(F.when((F.col("_from") <= place) & (place < F.col("_from") + F.col("_n")), v))
     ends = placed.groupBy(*by, "share", "_at").agg(here(F.floor("_at")).alias("_v0"), here(F.ceil("_at")).alias("_v1"))
-    return ends.select(*by, "share", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_at") - F.floor("_at")))
-                       .alias("quantile"))
+    between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_at") - F.floor("_at"))
+    return ends.select(*by, "share", F.when(F.col("_v0") == F.col("_v1"), F.col("_v0")).otherwise(between).alias("quantile"))
+
+
+def narrowed(rows: DataFrame, wanted: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``wanted`` (per group an array of places with their range ``_l`` .. ``_h`` and the rows ``_before`` and ``_in`` it) with the ranges of more
+    than ``INSIDE`` rows narrowed by counted parts; a range of one value, or of infinite width, stays."""
+    v, low, high = F.col(value), F.col("_l"), F.col("_h")
+    for _ in range(8):  # each round divides the width by BINS: no two doubles stay together
+        wide = pin(wanted.select(*by, F.inline("_wanted")).where((F.col("_in") > INSIDE) & (high - low > 0) & (high - low < float("inf"))))
+        if wide.isEmpty():
+            break
+        place = [*by, "share"]
+        part = F.least(F.floor((v - low) / (high - low) * BINS), F.lit(BINS - 1)).alias("_part")
+        # A range per wanted place: few and short, they go to the rows.
+        ranges = wide.groupBy(*by).agg(F.collect_list(F.struct(*[c for c in wide.columns if c not in by])).alias("_wide"))
+        cells = beside(rows, pin(ranges), by).select(*by, value, F.inline("_wide")).where((v >= low) & (v <= high)) \
+            .groupBy(*place, "_at", "_before", part).agg(F.count(F.lit(1)).alias("_m"), F.min(v).alias("_low"), F.max(v).alias("_high"))
+        below = Window.partitionBy(*place).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        cells = cells.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_m").over(below), F.lit(0)))
+        holds = (F.col("_from") <= F.ceil("_at")) & (F.floor("_at") < F.col("_from") + F.col("_m"))
+        fresh = cells.where(holds).groupBy(*place).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.min("_from").alias("_from"), F.sum("_m").alias("_m"))
+        every = wanted.select(*by, F.inline("_wanted"))
+        same = F.lit(True)
+        for c in place:
+            same = same & every[c].eqNullSafe(fresh[c])
+        merged = every.join(fresh, same, "left").select(
+            *[every[c] for c in place], "_at", F.coalesce("_low", low).alias("_l"), F.coalesce("_high", high).alias("_h"),
+            F.coalesce("_from", "_before").alias("_before"), F.coalesce("_m", "_in").alias("_in"))
+        wanted = pin(merged.groupBy(*by).agg(F.collect_list(F.struct("share", "_at", "_l", "_h", "_before", "_in")).alias("_wanted")))
+    return wanted
 
 
 def wide_quantiles(df: DataFrame, by: list[str], value: str, named: dict[str, float]) -> DataFrame:

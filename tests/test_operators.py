@@ -179,3 +179,24 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
     assert shared_folder(fake("local[2]", None))
     with pytest.raises(RuntimeError):
         shared_folder(fake("local-cluster[1,1,1024]", None))
+
+
+@pytest.mark.parametrize("inside", [1, 5, 10**6])
+def test_quantiles_of_narrowed_ranges(spark, monkeypatch, inside):
+    """Ranges are cut until few rows are inside; equal values, several groups, extremes and infinite values included."""
+    from evoq.operators import ranking
+    monkeypatch.setattr(ranking, "INSIDE", inside)
+    monkeypatch.setattr(ranking, "BINS", 8)
+    values = {"a": RNG.normal(size=700), "b": np.round(RNG.normal(size=501), 1), "c": np.full(40, 3.5), "d": np.array([1e300, -1e300, 2.0, 5.0]),
+              "e": np.array([7.0]), "f": np.array([np.inf, 1.0, 2.0, 3.0])}
+    rows = [(k, float(x)) for k, v in values.items() for x in v]
+    df = spark.createDataFrame(rows + [("a", None)], "g string, v double").repartition(5)
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.g, r.share): r["quantile"] for r in ranking.exact_quantiles(df, ["g"], "v", shares).collect()}
+    assert len(got) == 30
+    for k, v in values.items():
+        for s in shares:
+            want = np.quantile(v[np.isfinite(v)], s) if k != "f" else {0.0: 1.0, 0.25: 1.75, 0.5: 2.5, 1.0: np.inf}.get(s)
+            assert want is None or got[k, s] == pytest.approx(want, rel=1e-12), (k, s)
+    alone = ranking.exact_quantiles(df.where("g = 'a'"), [], "v", [0.5]).collect()
+    assert [r["quantile"] for r in alone] == [pytest.approx(np.median(values["a"]))]
