@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,14 +19,13 @@ from evoq.session import pin
 @dataclass(frozen=True)
 class MatchSpec:
     """A passage is a window of ``passage`` words, every ``step`` words (so any run of ``passage - step`` words is whole in one).
-    An item is retrieved if its BM25 score reaches ``retrieve`` of what the item scores against itself (or against its
-    first ``passage - step`` words), and confirmed if the text around the passage holds ``overlap`` of its question's
-    shingles of ``shingle`` words and of its answer's words. ``shard``: items of one index, a bound on what is broadcast."""
+    An item is confirmed if the text around the passage holds ``overlap`` of its question's shingles of ``shingle`` words (of a shorter
+    question: the whole run) and of its answer's words; it is retrieved from the least BM25 score on that a passage with so
+    many of its shingles can have. ``shard`` and ``shard_bytes``: items of one index and their text, bounds on what is broadcast."""
 
     passage: int = 128
     step: int = 64
     shingle: int = 5
-    retrieve: float = 0.6
     overlap: float = 0.8
     k1: float = 1.2
     b: float = 0.75
@@ -33,6 +33,7 @@ class MatchSpec:
     rare: float = 0.02
     groups: int = 32
     shard: int = 20_000
+    shard_bytes: int = 32 << 20
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -50,6 +51,42 @@ class Postings:
     top: float
 
 
+def greatest_loss(scores: np.ndarray, costs: np.ndarray, capacity: float) -> float:
+    """The most that terms can score together whose costs add up to ``capacity`` (parts of a term allowed: an upper bound)."""
+    order = np.argsort(-scores / costs, kind="stable")
+    before = np.concatenate(([0], np.cumsum(costs[order])[:-1]))
+    part = np.clip((capacity - before) / costs[order], 0, 1)
+    return float((scores[order] * part).sum())
+
+
+def least_score(question: np.ndarray, score: dict[int, float], spec: MatchSpec) -> float:
+    """The least score of a passage that holds ``overlap`` of the question's shingles.
+
+    k shingles that a passage lacks take at most k words with them, as every lost word is in a lost shingle of its own; where shingles
+    repeat, a lost word takes all that it is in, and a shingle has ``shingle`` words. Of a question longer than what surely is in one
+    passage, some piece of that length lacks no more than its share.
+    """
+    n = len(question)
+    shingles = words.shingles(question, spec.shingle)
+    distinct = len(np.unique(shingles))
+    lacking = distinct - int(np.ceil(spec.overlap * distinct - 1e-9))
+
+    def of(piece: np.ndarray, capacity: int) -> float:
+        terms, counts = np.unique(piece, return_counts=True)
+        scores = np.array([score[t] for t in terms.tolist()])
+        if distinct < len(shingles):
+            at = [np.flatnonzero(question == t) for t in terms]
+            counts = np.array([len(np.unique(np.concatenate([shingles[max(i - spec.shingle + 1, 0):i + 1] for i in a]))) for a in at])
+            capacity *= spec.shingle
+        return float(scores.sum()) - greatest_loss(scores, np.maximum(counts, 1), capacity)
+
+    width = spec.passage - spec.step
+    if n <= width:
+        return of(question, lacking)
+    pieces = n // width
+    return min(of(question[k * width:(k + 1) * width], lacking // pieces + spec.shingle - 1) for k in range(pieces))
+
+
 class ItemIndex:
     """An inverted index of one shard of items with block maxima, and the shingles and answers to verify with."""
 
@@ -57,6 +94,7 @@ class ItemIndex:
         self.spec = spec
         self.ids = [r[0] for r in rows]
         questions = [word_hashes(r[1]) for r in rows]
+        self.widths = [min(len(q), spec.shingle) for q in questions]
         self.shingles = [np.unique(words.shingles(q, spec.shingle)) for q in questions]
         self.answers = [np.unique(word_hashes(r[2])) for r in rows]
         postings: dict[int, list[tuple[int, float]]] = {}
@@ -70,10 +108,7 @@ class ItemIndex:
                 score[t] = float(idf * n * (spec.k1 + 1) / (n + spec.k1 * (1 - spec.b + spec.b * len(q) / mean_words)))
                 postings.setdefault(t, []).append((i, score[t]))
             if len(q):
-                # A long item is only partly in a passage: any run of that length must be enough.
-                width = min(len(q), spec.passage - spec.step)
-                runs = [sum(score[t] for t in set(q[k:k + width].tolist())) for k in range(0, len(q) - width + 1)]
-                self.needed[i] = spec.retrieve * min(runs)
+                self.needed[i] = max(least_score(q, score, spec), 0.0)
         self.terms = np.array(sorted(postings), np.uint64)
         self.lists = []
         for t in self.terms.tolist():
@@ -188,7 +223,7 @@ class ItemIndex:
             for i in self.search(at[self.terms[at] == window].tolist()):
                 size = len(self.shingles[i]) + spec.shingle
                 around = hashes[max(a - size, 0):b + size]
-                held = np.isin(self.shingles[i], words.shingles(around, spec.shingle), assume_unique=False).mean()
+                held = np.isin(self.shingles[i], words.shingles(around, self.widths[i]), assume_unique=False).mean()
                 if held < spec.overlap:
                     continue
                 if len(self.answers[i]) and np.isin(self.answers[i], around).mean() < spec.overlap:
@@ -211,16 +246,16 @@ def contaminated(sidecars: DataFrame, items: DataFrame, key: str = "key", conten
     null: only the question is verified then). Every passage of every whole text queries a BM25 index of the
     questions by block-max WAND; all items that reach their threshold are retrieved and verified.
 
-    The index is built per shard of at most ``shard`` items, broadcast one after another, with the word statistics of
-    the shard: its size is bounded however many items there are.
+    The index is built per shard of about ``shard`` items or ``shard_bytes`` of text, broadcast one after another: its size is bounded
+    however many items there are. The word statistics are those of all items.
 
-    * Null or empty texts match nothing; an item without a word in its question is never matched; an item of fewer
-      than five words is matched as a whole sequence only. Rows without a key keep their null key.
+    * Null or empty texts match nothing; an item without a word in its question is never matched; one of fewer than five
+      words is found wherever these words follow each other. Rows without a key keep their null key.
     * Equal items are one; items that share an id are each searched and give one row with the larger overlap.
     * Repeated rows give repeated results; empty tables give an empty one. Other columns are ignored.
     """
     table = pin(_index_tables(items, item, question, answer))
-    n_items = table.count()
+    n_items, size = table.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length("question"), F.lit(0)) + F.coalesce(F.octet_length("answer"), F.lit(0)))).first()
     kind, item_kind = sidecars.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
     item_type = items.schema[item].dataType
     schema = f"key {kind}, item {item_kind}, overlap double"
@@ -228,36 +263,52 @@ def contaminated(sidecars: DataFrame, items: DataFrame, key: str = "key", conten
     spark = sidecars.sparkSession
     if not n_items:
         return spark.createDataFrame([], schema)
-    shards = max(1, -(-n_items // spec.shard))
+    shards = max(1, -(-n_items // spec.shard), -(-(size or 0) // spec.shard_bytes))
     placed = table.withColumn("shard", F.pmod(F.xxhash64("item", "question", "answer"), F.lit(shards)))
+    terms = pin(placed.select("shard", "question").mapInArrow(_terms_of, "shard bigint, term bigint, n bigint"))
+    held = F.sum(F.when(F.col("term").isNull(), F.col("n")))
+    mean = (terms.agg(held).first()[0] or 0) / n_items
+    frequency = pin(terms.where("term is not null").groupBy("term").count())
     out = None
     for s in range(shards):
         rows = [tuple(r) for r in placed.where(F.col("shard") == s).select("item", "question", "answer").orderBy("item", "question", "answer").collect()]
-        hashed = [np.unique(word_hashes(r[1])) for r in rows]
-        frequency: dict[int, int] = {}
-        for h in hashed:
-            for t in h.tolist():
-                frequency[t] = frequency.get(t, 0) + 1
-        mean = sum(len(word_hashes(r[1])) for r in rows) / max(len(rows), 1)
-        index = spark.sparkContext.broadcast(ItemIndex(rows, spec, len(rows), max(mean, 1.0), frequency))
+        own = frequency.join(terms.where((F.col("shard") == s) & F.col("term").isNotNull()).select("term").distinct(), "term").toArrow()
+        known = dict(zip(own["term"].to_numpy().view(np.uint64).tolist(), own["count"].to_pylist()))
+        # By value, so that executors need not have this package.
+        index = spark.sparkContext.broadcast(cloudpickle.dumps(ItemIndex(rows, spec, n_items, max(mean, 1.0), known)))
         found = texts.mapInArrow(_matcher(index, item_type), schema)
         out = found if out is None else out.union(found)
     return out if shards == 1 else out.groupBy("key", "item").agg(F.max("overlap").alias("overlap"))
 
 
-def _matcher(index, item_type: T.DataType):
+def _terms_of(batches):
+    """``shard, term, n``: a row per distinct word of each question, and one without a term that has the number of its words."""
+    for batch in batches:
+        shards, terms, counts = [], [], []
+        for shard, question in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            hashes = word_hashes(question)
+            found = np.unique(hashes).view(np.int64).tolist()
+            shards += [shard] * (len(found) + 1)
+            terms += [*found, None]
+            counts += [*[1] * len(found), len(hashes)]
+        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(terms, pa.int64()), pa.array(counts, pa.int64())], ["shard", "term", "n"])
+
+
+def _matcher(shared, item_type: T.DataType):
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(item_type)
 
     def run(batches):
+        index = None
         for batch in batches:
+            index = index or cloudpickle.loads(shared.value)
             rows, items, overlaps = [], [], []
             for block in words.blocks_of_words(batch.column(1)):
                 for i in range(block.last - block.first):
                     best: dict = {}
-                    for k, held in index.value.matches(block.hashes[block.rows[i]:block.rows[i + 1]]).items():
-                        best[index.value.ids[k]] = max(best.get(index.value.ids[k], 0.0), held)
+                    for k, held in index.matches(block.hashes[block.rows[i]:block.rows[i + 1]]).items():
+                        best[index.ids[k]] = max(best.get(index.ids[k], 0.0), held)
                     for k, held in best.items():
                         rows.append(block.first + i)
                         items.append(k)

@@ -232,3 +232,40 @@ def test_wand_finds_all_above_the_threshold(words_of):
             for i, s in zip(index.lists[t].items, index.lists[t].scores):
                 scores[i] += s
         assert sorted(index.search(terms)) == sorted(i for i, s in scores.items() if s >= index.needed[i] - 1e-6)
+
+
+def test_contamination_of_partial_and_short_items(sidecars, spark, words_of):
+    """Against every item: of items cut, changed and with words put in, those that keep 0.8 of their shingles are all found."""
+    import random
+    pick = random.Random(8)
+    items, texts = {}, []
+    for i in range(150):
+        # Common words and three rare ones at the end, which are the first to go.
+        items[i] = [f"c{pick.randrange(30)}" for _ in range(pick.randrange(8, 60))] + [f"rare{i}x{j}" for j in range(3)]
+    items |= {200: ["capital", "city", "berlin"], 201: ["c1"] * 12, 202: words_of(200, 3, 50)}
+    for i, item in items.items():
+        for kind in range(4):
+            w = list(item)
+            if kind == 1:
+                w = w[:-3]
+            elif kind == 2:
+                w[pick.randrange(len(w))] = "changed"
+            elif kind == 3:
+                w.insert(pick.randrange(len(w)), "added")
+            texts.append((i * 10 + kind, " ".join(words_of(pick.randrange(200), i * 10 + kind, 5000) + w + words_of(50, i, 5000))))
+    texts.append((9999, "we think the Capital City Berlin is fine today"))
+
+    def runs(w, size):
+        return {tuple(w[k:k + size]) for k in range(len(w) - size + 1)}
+
+    want, size = set(), {i: min(len(q), 5) for i, q in items.items()}
+    held = {i: runs(q, size[i]) for i, q in items.items()}
+    for key, text in texts:
+        w = text.lower().split()
+        of = {3: runs(w, 3), 5: runs(w, 5)}
+        want |= {(key, i) for i, q in held.items() if len(q & of[size[i]]) >= 0.8 * len(q)}
+    table = spark.createDataFrame([(i, " ".join(q), None) for i, q in items.items()], "item bigint, question string, answer string")
+    for spec in (cm.MatchSpec(), cm.MatchSpec(shard=20), cm.MatchSpec(shard_bytes=3000)):
+        got = {(r.key, r["item"]) for r in cm.contaminated(sidecars(texts), table, spec=spec).collect()}
+        assert got == want
+    assert len(want) > 300 and (9999, 200) in want
