@@ -9,9 +9,14 @@ from evoq.config import PLV_PAIRS, VERTEX_PRIORITY, file_key, pairs_table, prior
 from evoq.session import pin
 
 
+def labelled(rows: DataFrame) -> DataFrame:
+    """Rows whose ``channel`` has a name; one without a label is ``unknown``."""
+    return rows.withColumn("channel", F.coalesce("channel", F.lit("unknown")))
+
+
 def channel_table(epochs: DataFrame) -> DataFrame:
-    """The channels of each file; one without a label is ``unknown``."""
-    return epochs.select(*file_key(epochs), "channel_idx", F.coalesce("channel", F.lit("unknown")).alias("channel")).distinct()
+    """The channels of each file, named by ``labelled``."""
+    return labelled(epochs).select(*file_key(epochs), "channel_idx", "channel").distinct()
 
 
 def named(rows: DataFrame, names) -> DataFrame:

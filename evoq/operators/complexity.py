@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evoq.config import SignalSpec, epoch_key
@@ -67,6 +67,28 @@ def neighbour_features(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFr
         .alias("hjorth_complexity"))
 
 
+def template_pairs(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
+    """``short, long`` per epoch, as the kernel counts them, by a range self-join for epochs too long to compare every lag.
+
+    Templates lie in square cells a radius wide by their first two samples; two that match lie in one cell or in neighbouring ones, so each
+    meets only those of its own cell and of half the cells around it. The work follows the matches, and a cell is a join key of its own.
+    """
+    key = epoch_key(df)
+    rows = lagged_rows(df, spec, 2)
+    radius = rows.groupBy(*key).agg((F.stddev_pop("x0") * spec.entropy_tolerance).alias("r"))
+    # A little wider than the radius, so that rounding cannot part two matches by more than one cell.
+    cell = lambda x: F.floor(F.col(x) / (F.col("r") * (1 + 1e-9)))
+    placed = rows.where("x2 is not null").join(radius.where("r > 0"), key).withColumns({"cx": cell("x0"), "cy": cell("x1")})
+    ahead = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    others = placed.withColumn("d", F.explode(ahead)).select(
+        *key, (F.col("cx") - F.col("d.x")).alias("cx"), (F.col("cy") - F.col("d.y")).alias("cy"), ((F.col("d.x") == 0) & (F.col("d.y") == 0)).alias("own"),
+        *[F.col(n).alias(f"o{n}") for n in ("i", "x0", "x1", "x2")])
+    near = lambda x: F.abs(F.col(x) - F.col(f"o{x}")) < F.col("r")
+    met = placed.join(others, [*key, "cx", "cy"]).where((~F.col("own") | (F.col("i") < F.col("oi"))) & near("x0") & near("x1"))
+    counts = met.groupBy(*key).agg(F.count(F.lit(1)).alias("short"), F.count_if(near("x2")).alias("long"))
+    return df.select(*key).distinct().join(counts, key, "left").na.fill(0, ["short", "long"])
+
+
 def with_sample_entropy(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
     """-ln of the share of matching pairs of 2 that also match in the third sample; NULL without matches."""
     out = with_windows(df, spec, "psd").withColumn("_m", match_counts(enough("psd", 4), spec.entropy_tolerance))
@@ -74,6 +96,15 @@ def with_sample_entropy(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataF
     return without_helpers(out.withColumn("sample_entropy", -F.ln(F.when(ratio > 0, ratio))), df.columns)
 
 
+def cumulative_profile(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
+    """``i, y``: running sums of the differences from the mean over the spectral window; a window is one epoch, so its samples bound it."""
+    key = epoch_key(df)
+    rows = with_windows(df, spec, "psd").select(*key, F.posexplode(samples("psd")).alias("i", "v"))
+    own = Window.partitionBy(*key)
+    running = own.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_d", F.col("v") - F.avg("v").over(own)).select(*key, "i", F.sum("_d").over(running).alias("y"))
+
+
 def with_dfa(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
     """Slope of log fluctuation on log box size."""
     out = with_windows(df, spec, "psd").withColumn("_f", fluctuations(enough("psd", spec.min_samples), spec.dfa_sizes))

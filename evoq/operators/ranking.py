@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from evoq.session import pin
 
 DIGEST_BUCKETS = 4096  # three hexadecimal digits
-CUTS = 255
 SKETCH = 10_000  # accuracy of the sketch around exact quantiles
 INSIDE, BINS = 100_000, 1024  # rows around a wanted place that are ordered by one task; parts a larger range is cut into
 
@@ -60,29 +59,28 @@ def digest_position(df: DataFrame, digest: str, by: list[str] | None = None, pos
                     size: str = "group_size") -> DataFrame:
     """1-based place of each row in the order of its digest (within ``by``), and the number of rows there.
 
-    The bucket is the head of the digest, so buckets are even; at most 4096 of them per group carry offsets.
+    The bucket is the head of the digest, so buckets are even. There are up to 16^5 of them, counted in two levels: a task orders
+    the 16^2 buckets of one head of three digits, and one the 16^3 heads.
     """
     by = by or []
-    bucketed = df.withColumn("_b", F.substring(digest, 1, 3))
-    totals = bucketed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))) \
-        .withColumn(size, F.sum("_n").over(Window.partitionBy(*by))).drop("_n")
+    bucketed = df.withColumn("_b", F.substring(digest, 1, 5))
+    totals = bucketed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", F.substring("_b", 1, 3))
+    earlier = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = totals.groupBy(*by, "_h").agg(F.sum("_n").alias("_hn")).select(
+        *by, "_h", earlier("_hn", Window.partitionBy(*by).orderBy("_h")).alias("_above"), F.sum("_hn").over(Window.partitionBy(*by)).alias(size))
+    offsets = totals.withColumn("_within", earlier("_n", Window.partitionBy(*by, "_h").orderBy("_b"))).join(heads, [*by, "_h"]) \
+        .select(*by, "_b", size, (F.col("_above") + F.col("_within")).alias("_before"))
     inside = Window.partitionBy(*by, "_b").orderBy(digest)
     return bucketed.join(offsets, [*by, "_b"]) \
         .withColumn(position, F.col("_before") + F.row_number().over(inside)).drop("_b", "_before")
 
 
-def value_cuts(df: DataFrame, by: list[str], value: str, cuts: int = CUTS) -> DataFrame:
-    """Per group at most ``cuts`` ascending values that split its rows about evenly, and every 16th of them.
-
-    The approximate quantiles are one bounded sketch per group and task. They depend on the order of merging, so the
-    result, a row per group, is pinned: all readers must bucket alike.
-    """
-    shares = [(i + 1) / (cuts + 1) for i in range(cuts)]
-    agg = F.percentile_approx(value, shares, 10 * (cuts + 1)).alias("_cuts")
-    fine = df.groupBy(*by).agg(agg).withColumn("_cuts", F.array_sort(F.array_distinct("_cuts")))
-    return pin(fine.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % 16 == 15)))
+def in_ranges(rows: DataFrame, order: list[str], per_range: int) -> DataFrame:
+    """Pinned rows with ``_b``, their range in the order of the columns: Spark's range partitioning by sampled cuts, as many ranges as
+    rows need at ``per_range`` each, so that ranges follow the rows at any size."""
+    held = pin(rows)
+    ranges = -(-held.count() // per_range)
+    return pin(held.repartitionByRange(max(1, ranges), *order).withColumn("_b", F.spark_partition_id()))
 
 
 def beside(df: DataFrame, one: DataFrame, by: list[str]) -> DataFrame:
@@ -92,17 +90,8 @@ def beside(df: DataFrame, one: DataFrame, by: list[str]) -> DataFrame:
     return df.withColumn("_one", one.select(F.struct(*one.columns)).scalar()).select(*df.columns, "_one.*")
 
 
-def with_bucket(df: DataFrame, cuts: DataFrame, by: list[str], value: str) -> DataFrame:
-    """``_b``: the number of cuts <= value, found in two short steps."""
-    both = beside(df, cuts, by)
-    v = F.col(value)
-    skipped = F.size(F.filter("_coarse", lambda c: c <= v)) * 16
-    bucket = skipped + F.size(F.filter(F.slice("_cuts", skipped + 1, F.lit(16)), lambda c: c <= v))
-    return both.withColumn("_b", bucket).drop("_cuts", "_coarse")
-
-
 def _bucket_offsets(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Rows before each bucket and rows of the group; at most CUTS + 1 buckets per group are ordered here."""
+    """Rows before each bucket and rows of the group; one row per bucket is ordered here."""
     w = Window.partitionBy(*by)
     before = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0))) \
@@ -110,14 +99,18 @@ def _bucket_offsets(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def average_rank(df: DataFrame, value: str, by: list[str] | None = None, rank: str = "rank",
-                 descending: bool = True) -> DataFrame:
-    """``by, value, rank``: the rank of each distinct value, equal values sharing their mean place."""
+                 descending: bool = True, per_range: int = 1_000_000) -> DataFrame:
+    """``by, value, rank``: the rank of each distinct value, equal values sharing their mean place.
+
+    Distinct values with their counts lie in ranges of about ``per_range``; a task orders one range, and only counts per range are
+    ordered per group.
+    """
     by = by or []
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    bucketed = with_bucket(counted, value_cuts(df, by, value), by, value)
-    offsets = _bucket_offsets(bucketed.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn")), by)
+    ranged = in_ranges(counted, [*by, value], per_range)
+    offsets = _bucket_offsets(ranged.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn")), by)
     inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = bucketed.join(offsets, [*by, "_b"]).withColumn(
+    placed = ranged.join(offsets, [*by, "_b"]).withColumn(
         "_below", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     ascending = F.col("_below") + (F.col("_n") + 1) / 2
     return placed.select(*by, value, (F.col("_size") + 1 - ascending if descending else ascending).alias(rank))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evoq.config import SignalSpec, Span
+from evoq.config import SignalSpec, Span, epoch_key
 from evoq.functions.arrays import entropy_bits, without_helpers
 from evoq.functions.kernels import welch
 from evoq.functions.numbers import band_label, capped_high, missing_as_null, percent_change
@@ -22,6 +24,29 @@ def with_spectra(df: DataFrame, spec: SignalSpec, segments: dict[str, int]) -> D
                                           for w, s in missing.items()}})
 
 
+def segment_rows(df: DataFrame, spec: SignalSpec = SignalSpec(), window: str = "psd") -> DataFrame:
+    """``s, i, v`` of the segments of the spectrum that overlap by half, one row per sample of each, in the task that read the signal."""
+    n, key = spec.psd_segment, epoch_key(df)
+    cut = with_windows(df, spec, window).select(*key, enough(window, spec.psd_segment).alias("_x"))
+    starts = F.sequence(F.lit(0), F.size("_x") - n, F.lit(n - n // 2))
+    parts = cut.where("_x is not null").withColumn("_parts", F.transform(starts, lambda a: F.slice("_x", a + 1, F.lit(n))))
+    return parts.select(*key, F.posexplode("_parts").alias("s", "_part")).select(*key, "s", F.posexplode("_part").alias("i", "v"))
+
+
+def basis_table(spark: SparkSession, n: int) -> DataFrame:
+    """``k, i, c, s``: cosine and sine of every bin of ``n`` samples; its size depends on ``n`` alone."""
+    turns = spark.range(n // 2 + 1).select(F.col("id").cast("int").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    angle = F.col("k") * F.col("i") * (2 * math.pi / n)
+    return turns.select("k", "i", F.cos(angle).alias("c"), F.sin(angle).alias("s"))
+
+
+def basis_sums(samples: DataFrame, key: list[str], n: int) -> DataFrame:
+    """Fourier sums ``k, re, im`` of samples ``i, v`` per key, for all bins: a join with the basis, sums combined before the shuffle."""
+    basis = F.broadcast(basis_table(samples.sparkSession, n))  # n / 2 + 1 bins of n samples
+    return samples.join(basis, "i").groupBy(*key, "k").agg(
+        F.sum(F.col("v") * F.col("c")).alias("re"), F.sum(F.col("v") * F.col("s")).alias("im"))
+
+
 def with_psd(df: DataFrame, spec: SignalSpec = SignalSpec()) -> DataFrame:
     """The spectrum shared by the band powers and the spectral entropy."""
     return with_spectra(df, spec, {"psd": spec.psd_segment})

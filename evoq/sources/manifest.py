@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evoq.functions import text
 from evoq.session import pin
+from evoq.sources import stores
 
 LABEL_DERIVATIVE = "rerefer"
 
@@ -15,7 +18,7 @@ def list_objects(spark: SparkSession, root: str, glob: str | None = None) -> Dat
     """Keys (below ``root``) and sizes of all objects; the content column is never read.
 
     Spark's file sources leave out objects of zero bytes and names that start with ``.`` or ``_``; where these count,
-    read the store's own inventory (``from_inventory``).
+    use ``list_all_objects`` or read the store's own inventory (``from_inventory``).
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
@@ -25,6 +28,22 @@ def list_objects(spark: SparkSession, root: str, glob: str | None = None) -> Dat
     return found.select(F.element_at(F.split("path", "\\Q" + base + "\\E", 2), -1).alias("key"), "size")
 
 
+def list_all_objects(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
+    """Keys (below ``root``) and sizes of all objects, hidden and empty ones too; a root that is not there has none.
+
+    Prefixes are expanded level by level: every level is one job whose tasks (``tasks``, as many as shuffles have by default) list
+    the prefixes found by the level before. Each level is pinned; no listing passes through the driver.
+    """
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prefixes, levels = spark.createDataFrame([("",)], "prefix string"), []
+    while True:
+        found = pin(prefixes.repartition(tasks, "prefix").mapInArrow(stores.children(root), "key string, size bigint, folder boolean"))
+        levels.append(found.where("not folder").select("key", "size"))
+        prefixes = found.where("folder").select(F.col("key").alias("prefix"))
+        if prefixes.isEmpty():
+            return reduce(DataFrame.unionAll, levels)
+
+
 def from_inventory(inventory: DataFrame, key: str = "key", size: str = "size") -> DataFrame:
     """Keys and sizes of a store's inventory table: every object, hidden and empty ones too; folder marks are none."""
     return inventory.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("size")) \

@@ -5,18 +5,22 @@ Row: ``dataset, subject, epoch INT, channel_idx INT, channel, sfreq, t0, n_times
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from evoq.config import file_key
 from evoq.session import pin
+from evoq.sources.stores import store_of
 
 DEFAULT_RATE = 1000.0
+MOST_TASKS = 20_000
 _SIGNAL = StructType().add("epoch", IntegerType()).add("channel_idx", IntegerType()).add("signal", ArrayType(DoubleType()))
 
 
@@ -116,21 +120,67 @@ def block_rejects(blocks: DataFrame) -> DataFrame:
         F.when(known, size).otherwise("no channel or sample count").alias("reason"))
 
 
-def decode_large_block(spark: SparkSession, path: str, nbchan: int, pnts: int) -> DataFrame:
-    """A block too large for one row. One record is one epoch, decoded where it is read, so nothing is shuffled."""
-    records = spark.sparkContext.binaryRecords(path, 4 * nbchan * pnts).zipWithIndex() \
-        .map(lambda r: (r[1], bytearray(r[0]))).toDF("epoch bigint, record binary")
+RANGE_BYTES = 32 << 20
+
+
+def decode_block_ranges(files: DataFrame, keep: Sequence[str] = (), wanted: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """What ``decode_float_blocks`` gives, for blocks too large for one row: ``path, length, nbchan, pnts, trials`` without content.
+
+    Ranges of whole epochs, about ``range_bytes`` each, are planned from sizes and shapes; only their short rows are shuffled,
+    and the task that gets a range reads its bytes where they are stored. An epoch beyond that size is read in pieces of
+    samples, of which only the ``wanted`` channels are kept.
+    """
+    kept = len(keep)
+    size = F.lit(4).cast("bigint") * F.col("nbchan") * F.col("pnts")
+    good = files.where(block_fits()).withColumn("trials", F.coalesce("trials", F.lit(1))).where((size > 0) & (F.col("trials") > 0))
+    step = F.greatest(F.lit(1), F.least(F.floor(F.lit(range_bytes) / size), F.col("trials"))).cast("int")
+    planned = pin(good.select(*keep, "path", "nbchan", "pnts", "trials", step.alias("step"), *([wanted] if wanted else [])))
+    ranges = planned.agg(F.sum(F.ceil(F.col("trials") / F.col("step")))).first()[0] or 1
+    first = F.explode(F.sequence(F.lit(0), F.col("trials") - 1, F.col("step")))
+    dealt = planned.withColumn("first", first).withColumn("count", F.least("step", F.col("trials") - F.col("first"))) \
+        .select(*keep, "path", "nbchan", "pnts", "first", "count", *([wanted] if wanted else [])) \
+        .repartition(min(int(ranges), MOST_TASKS), "path", "first")
+    schema = StructType(dealt.select(*keep, "path").schema.fields + _SIGNAL.fields)
+    names = schema.names
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for epoch, record in zip(batch.column(0).to_pylist(), batch.column(1)):
-                values = np.frombuffer(record.as_buffer(), dtype="<f4").reshape(pnts, nbchan).T.astype("f8").ravel()
-                offsets = np.arange(nbchan + 1, dtype="i4") * pnts
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([epoch] * nbchan, pa.int32()), pa.array(range(nbchan), pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["epoch", "channel_idx", "signal"])
+            for row in range(batch.num_rows):
+                path, channels, times, begin, count = (batch.column(kept + i)[row].as_py() for i in range(5))
+                chosen = np.arange(channels) if wanted is None else np.array(batch.column(kept + 5)[row].as_py() or [], dtype=int)
+                store, place = store_of(path)
+                with store.open_input_file(place) as block:
+                    for epoch in range(begin, begin + count):
+                        matrix = np.empty((len(chosen), times), "<f4")
+                        most = max(1, range_bytes // (4 * channels))
+                        for low in range(0, times, most):
+                            n = min(most, times - low)
+                            raw = block.read_at(4 * channels * n, 4 * channels * (epoch * times + low))
+                            matrix[:, low:low + n] = np.frombuffer(raw, "<f4").reshape(n, channels)[:, chosen].T
+                        most = max(1, (1 << 22) // times)
+                        for low in range(0, len(chosen), most):
+                            part = chosen[low:low + most]
+                            own = [c.slice(row, 1).take(pa.array(np.zeros(len(part), "i4"))) for c in batch.columns[:kept + 1]]
+                            yield pa.RecordBatch.from_arrays(
+                                [*own, pa.array([epoch] * len(part), pa.int32()), pa.array(part, pa.int32()), _signals(matrix[low:low + most])],
+                                names=names)
+
+    return dealt.mapInArrow(decode, schema)
+
+
+def stored_signals(blocks: DataFrame, keep: Sequence[str] = (), wanted: str | None = None, limit: int = 4 * RANGE_BYTES,
+                   range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Signals of the blocks of ``read_float_blocks``, small and large: those above ``limit`` bytes are read by ranges, and their
+    content is never loaded as a row, since the scan gets the condition on the length. For rejects see ``block_rejects``."""
+    small = decode_float_blocks(blocks.where(F.col("length") <= limit), keep, wanted)
+    return small.unionAll(decode_block_ranges(blocks.where(F.col("length") > limit), keep, wanted, range_bytes))
+
 
-    return records.mapInArrow(decode, "epoch int, channel_idx int, signal array<double>")
+def decode_large_block(spark: SparkSession, path: str, nbchan: int, pnts: int) -> DataFrame:
+    """One large block of whole epochs, by ranges: ``epoch, channel_idx, signal``."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", F.lit(nbchan).alias("nbchan"), F.lit(pnts).alias("pnts"))
+    trials = (F.col("length") / (4 * nbchan * pnts)).cast("int")
+    return decode_block_ranges(files.withColumn("trials", trials)).select("epoch", "channel_idx", "signal")
 
 
 def gather_signals(samples: DataFrame, key: list[str]) -> DataFrame:
@@ -252,3 +302,6 @@ def write_epochs(epochs: DataFrame, path: str) -> None:
 
 def read_epochs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

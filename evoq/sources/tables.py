@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,10 +54,13 @@ def read_participants(spark: SparkSession, path_of_dataset: dict[str, str]) -> D
     frames = []
     for dataset, path in path_of_dataset.items():
         reader = spark.read.options(sep="\t", header=True, ignoreMissingFiles=True, encoding="UTF-8")
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+        try:
+            found = typed(blank_missing(reader.csv(path)), PARTICIPANTS)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
-        frames.append(typed(blank_missing(reader.csv(path)), PARTICIPANTS).withColumn("dataset", F.lit(dataset)))
+        frames.append(found.withColumn("dataset", F.lit(dataset)))
     return union_all(spark, frames, PARTICIPANTS)
 
 

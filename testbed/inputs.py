@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evoq.config import BANDS, SignalSpec
+from evoq.session import pin, scratch_path
 from evoq.sources import labels as label_source
 from evoq.sources import manifest as objects
+from evoq.sources.stores import store_of
 
 RATE, T0, N = 64.0, -26 / 64, 64
 
@@ -231,6 +233,30 @@ def float_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("length", F.length("content").cast("bigint"))
 
 
+def block_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Files of 16 or of 4 vectors, each an epoch of 4 channels x 16 samples, written by the tasks; their shapes and the folder. Of the
+    long files every fifth is said to hold an epoch more than it does."""
+    folder, part = scratch_path(spark, "blocks"), F.expr("vec_id div 16")
+    name = F.when(part % 2 == 0, F.concat(F.lit("L"), part)).otherwise(F.concat(F.lit("S"), F.expr("vec_id div 4")))
+    vectors = table(spark, sf_dir, "embeddings").groupBy(name.alias("name"), (part % 10 == 4).alias("bad")) \
+        .agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+
+    def write(batches):
+        for batch in batches:
+            for stem, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store, place = store_of(folder)
+                store.create_dir(place, recursive=True)
+                with store.open_output_stream(f"{place}/{stem}.fdt") as out:
+                    out.write(np.array(rows, "<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) for x in batch.column(1)], pa.int32())],
+                                             ["name", "bad", "trials"])
+
+    made = pin(vectors.select("name", F.col("v.embedding").alias("v"), "bad").mapInArrow(write, "name string, bad boolean, trials int"))
+    prefix = folder if ":" in folder else "file:" + folder
+    return made.select(F.concat(F.lit(prefix + "/"), "name", F.lit(".fdt")).alias("path"), F.lit(4).alias("nbchan"), F.lit(16).alias("pnts"),
+                       (F.col("trials") + F.col("bad").cast("int")).alias("trials")), folder
+
+
 PER_FILE = 8  # epochs of a stored file
 
 

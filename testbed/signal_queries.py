@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -79,10 +78,11 @@ def p11(spark, sf):
 @query("P12_minimum_length", """SELECT epoch, CASE WHEN count(*) >= 8 THEN count(*)::INT END AS n_samples
     FROM smp WHERE t BETWEEN 0.5 - (epoch % 10) * 0.02 AND 0.6 GROUP BY epoch""", (I.EPOCHS_SQL,))
 def p12(spark, sf):
-    rows = signals.to_samples(I.epochs(spark, sf), "epoch", "t0", "sfreq") \
-        .withColumn("t", F.col("t0") + F.col("i") / F.col("sfreq"))
-    kept = rows.where(F.col("t").between(F.lit(0.5) - (F.col("epoch") % 10) * 0.02, F.lit(0.6)))
-    return kept.groupBy("epoch").agg(F.when(F.count(F.lit(1)) >= SPEC.min_samples, F.count(F.lit(1)).cast("int")).alias("n_samples"))
+    """Ten windows of growing length, of which an epoch takes one."""
+    spans = {f"w{k}": (round(0.5 - k * 0.02, 2), 0.6) for k in range(10)}
+    e = Axis().with_bounds(I.epochs(spark, sf), spans)
+    own = lambda value: F.coalesce(*[F.when(F.col("epoch") % 10 == k, value(f"w{k}")) for k in range(10)])
+    return e.where(own(lambda w: F.col(f"_{w}_count")) > 0).select("epoch", F.size(own(lambda w: erp.enough(w, SPEC.min_samples))).alias("n_samples"))
 
 
 @query("P17_baseline_subtraction", f"SELECT epoch, i::INT AS i, {rnd('v - b')} AS v FROM smp JOIN base USING (epoch)",
@@ -157,12 +157,7 @@ def x2(spark, sf):
 @query("W4_overlapping_segments", f"SELECT epoch, s::INT AS s, count(*) AS n, {rnd('sum(v)')} AS total FROM psd_g GROUP BY epoch, s",
        (I.EPOCHS_SQL, PSD))
 def w4(spark, sf):
-    n = SPEC.psd_segment
-    e = erp.with_windows(I.epochs(spark, sf), SPEC, "psd").select("epoch", erp.samples("psd").alias("x"))
-    starts = F.sequence(F.lit(0), F.size("x") - n, F.lit(n - n // 2))
-    return rounded(e.select("epoch", F.posexplode(F.transform(starts, lambda a: F.slice("x", a + 1, F.lit(n)))).alias("s", "part"))
-                   .select("epoch", "s", F.explode("part").alias("v")).groupBy("epoch", "s")
-                   .agg(F.count("v").alias("n"), F.sum("v").alias("total")))
+    return rounded(spectral.segment_rows(I.epochs(spark, sf), SPEC).groupBy("epoch", "s").agg(F.count("v").alias("n"), F.sum("v").alias("total")))
 
 
 @query("X3_band_power", f"SELECT epoch, {rnd(band_sql('psd', 8, 13), 12)} AS power FROM ep", (I.EPOCHS_SQL, PSD))
@@ -353,6 +348,11 @@ def j11(spark, sf):
     return erp.with_windows(e, SPEC, "psd").withColumn("m", counts).select("epoch", "m.short", "m.long")
 
 
+@query("J11_range_join", registry.SQL["J11_template_matches"])
+def j11_range(spark, sf):
+    return complexity.template_pairs(I.epochs(spark, sf), SPEC).select("epoch", "short", "long")
+
+
 @query("X13_higuchi", f"""SELECT epoch, {rnd('regr_slope(ln(len), ln(1.0 / k))')} AS higuchi_fd FROM (SELECT epoch, k,
     sum(abs(v2 - v) * (n - 1) / (most * k * k * k)) AS len FROM (SELECT x.epoch, x.n, k, x.v, y.v AS v2, (x.n - x.i % k - 1) // k AS most, x.i
     FROM (SELECT *, unnest(range(1, 11)) AS k FROM sg) x JOIN sg y ON y.epoch = x.epoch AND y.i = x.i + x.k)
@@ -375,12 +375,7 @@ def x14(spark, sf):
 
 @query("W6_cumulative_profile", f"SELECT epoch, i::INT AS i, {rnd('y')} AS y FROM wk", (I.EPOCHS_SQL, LAG, WALK))
 def w6(spark, sf):
-    from pyspark.sql import Window
-    e = erp.with_windows(I.epochs(spark, sf), SPEC, "psd")
-    rows = e.select("epoch", F.posexplode(erp.samples("psd")).alias("i", "v"))
-    w = Window.partitionBy("epoch")  # one epoch, so bounded by its samples
-    return rounded(rows.withColumn("d", F.col("v") - F.avg("v").over(w))
-                   .select("epoch", "i", F.sum("d").over(w.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("y")))
+    return rounded(complexity.cumulative_profile(I.epochs(spark, sf), SPEC).select("epoch", "i", "y"))
 
 
 @query("X15_hjorth", f"""SELECT epoch, {rnd('sqrt(v1 / v0)')} AS hjorth_mobility, {rnd('sqrt(v2 / v1) / sqrt(v1 / v0)')} AS hjorth_complexity FROM
@@ -397,11 +392,7 @@ def w5(spark, sf):
 @query("J12_basis_join", f"""SELECT epoch, k::INT AS k, {rnd('sum(v * cos(2 * pi() * i * k / 64))')} AS re, {rnd('sum(v * sin(2 * pi() * i * k / 64))')} AS im
     FROM smp, range(0, 33) r(k) GROUP BY epoch, k""", (I.EPOCHS_SQL,))
 def j12(spark, sf):
-    """Fourier sums of whole epochs by a join with a basis of fixed size (33 bins x 64 samples)."""
-    basis = spark.range(33).withColumnRenamed("id", "k").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(63)))) \
-        .withColumn("w", F.col("k") * F.col("i") * (2 * math.pi / 64)).select("k", "i", F.cos("w").alias("c"), F.sin("w").alias("s"))
-    rows = signals.to_samples(I.epochs(spark, sf), "epoch").join(F.broadcast(basis), "i")
-    return rounded(rows.groupBy("epoch", F.col("k").cast("int").alias("k")).agg(F.sum(F.col("v") * F.col("c")).alias("re"), F.sum(F.col("v") * F.col("s")).alias("im")))
+    return rounded(spectral.basis_sums(signals.to_samples(I.epochs(spark, sf), "epoch"), ["epoch"], 64))
 
 
 # ------------------------------------------------------------------ assembly
@@ -526,6 +517,20 @@ def s8(spark, sf):
     return signals.to_samples(signals.decode_float_blocks(I.float_blocks(spark, sf)), "path", "epoch", "channel_idx")
 
 
+@query("S8_blocks_of_all_sizes", """WITH v AS (SELECT embedding AS x, CASE WHEN vec_id // 16 % 2 = 0 THEN 'L' || vec_id // 16 ELSE 'S' || vec_id // 4 END AS path,
+    row_number() OVER (PARTITION BY path ORDER BY vec_id) - 1 AS epoch, vec_id // 16 % 10 = 4 AS bad FROM embeddings)
+    SELECT path, NULL AS stage, epoch::INT AS epoch, (u % 4)::INT AS channel_idx, (u // 4)::INT AS i, x[u + 1]::DOUBLE AS v FROM v, range(0, 64) r(u)
+    WHERE NOT bad AND u % 4 IN (1, 3) UNION ALL SELECT DISTINCT path, 'block size', NULL, NULL, NULL, NULL FROM v WHERE bad""")
+def s8_all(spark, sf):
+    """Files of four and of sixteen epochs, written and read back; those over 2,000 bytes are read by ranges of three epochs."""
+    blocks, folder = I.block_files(spark, sf)
+    found = signals.read_float_blocks(spark, folder, blocks)
+    rows = found.select("*", F.array(F.lit(1), F.lit(3)).alias("wanted"))
+    good = signals.to_samples(signals.stored_signals(rows, wanted="wanted", limit=2000, range_bytes=800), "path", "epoch", "channel_idx")
+    both = good.withColumn("stage", F.lit(None).cast("string")).unionByName(signals.block_rejects(found).select("path", "stage"), allowMissingColumns=True)
+    return both.withColumn("path", F.regexp_extract("path", "([^/]*)[.]fdt$", 1))
+
+
 @query("S9_epoch_store", """SELECT dataset, subject, epoch, channel, len(s)::INT AS n_times, round(list_sum(s), 9) + 0.0::DOUBLE AS total FROM mont
     WHERE lower(channel) IN ('cz', 'pz')""", (I.MONTAGE_SQL,))
 def s9(spark, sf):

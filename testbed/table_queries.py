@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from evoq import config
 from evoq.functions import numbers, text
-from evoq.operators import erp, ranking, summaries
+from evoq.operators import channels, erp, ranking, summaries
 from evoq.plans import reports
 from evoq.session import scratch_path
 from evoq.sources import labels as label_source
@@ -29,6 +29,16 @@ def s1(spark, sf):
     return objects.under_prefix(objects.from_inventory(spark.read.parquet(path)), "dsen/")
 
 
+@query("S1_list_written_objects", """SELECT 'lang=' || coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS prefix, true AS has_bytes, count(*) AS n_objects
+    FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY ALL UNION ALL SELECT '_SUCCESS', false, 1""")
+def s1_written(spark, sf):
+    """A small file per (lang, source) is written, and the folder is listed level by level, with its empty end mark."""
+    path = scratch_path(spark, "objects")
+    I.table(spark, sf, "documents").groupBy("lang", "source").count().write.partitionBy("lang", "source").parquet(path)
+    found = objects.list_all_objects(spark, path).where(~F.col("key").endswith(".crc"))
+    return found.groupBy(F.split("key", "/")[0].alias("prefix"), (F.col("size") > 0).alias("has_bytes")).agg(F.count(F.lit(1)).alias("n_objects"))
+
+
 @query("S2_missing_datasets", """SELECT accession FROM (SELECT 'ds' || lang AS accession FROM documents UNION
     SELECT 'ds' || source FROM documents) WHERE accession NOT IN (SELECT dataset FROM mf)""", (MF,))
 def s2(spark, sf):
@@ -513,9 +523,9 @@ def f2b(spark, sf):
 
 @query("F2c_optional_fields", """SELECT subject, event_pos, coalesce(nullif(type, 'O'), 'unknown') AS channel, NULL::VARCHAR AS code, epoch::INT AS epoch FROM lb WHERE epoch IS NOT NULL""", (LB,))
 def f2c(spark, sf):
-    rows = label_source.coerce(I.raw_labels(spark, sf)).withColumn("code", F.lit(None).cast("string"))
-    return rows.where(F.col("epoch").isNotNull()).select(
-        "subject", "event_pos", F.coalesce(F.nullif(F.col("type"), F.lit("O")), F.lit("unknown")).alias("channel"), "code", "epoch")
+    rows = label_source.coerce(I.raw_labels(spark, sf)).withColumn("code", F.lit(None).cast("string")) \
+        .withColumn("channel", F.nullif(F.col("type"), F.lit("O")))
+    return channels.labelled(rows.where(F.col("epoch").isNotNull())).select("subject", "event_pos", "channel", "code", "epoch")
 
 
 @query("F3_replace_suffix", r"SELECT key, regexp_replace(key, '\.[^./]*$', '') || '.fdt' AS fdt_key FROM mf", (MF,))

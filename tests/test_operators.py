@@ -1,11 +1,12 @@
 """Summaries, ranks and the model steps, with hot values and hot groups."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from evoq.config import SignalSpec
-from evoq.operators import erp, ranking, summaries, trials
+from evoq.operators import complexity, erp, ranking, summaries, trials
 from evoq.plans import importance as imp
 from evoq.plans import reports
 
@@ -200,3 +201,27 @@ def test_quantiles_of_narrowed_ranges(spark, monkeypatch, inside):
             assert want is None or got[k, s] == pytest.approx(want, rel=1e-12), (k, s)
     alone = ranking.exact_quantiles(df.where("g = 'a'"), [], "v", [0.5]).collect()
     assert [r["quantile"] for r in alone] == [pytest.approx(np.median(values["a"]))]
+
+
+def test_ranks_and_places_in_many_ranges(spark):
+    """Far more ranges than the rows of one hold, with a value that a third of the rows have."""
+    pick = np.random.default_rng(8)
+    values = [float(v) for v in np.where(pick.random(6000) < .33, 7.0, pick.integers(0, 3000, 6000))]
+    df = spark.createDataFrame([("g" if i % 2 else None, v) for i, v in enumerate(values)], "g string, v double").repartition(5)
+    got = {(r.g, r.v): r["rank"] for r in ranking.average_rank(df.where("g is not null"), "v", ["g"], per_range=50).collect()}
+    own = pd.Series(values[1::2])
+    assert got == {("g", v): r for v, r in zip(own, own.rank(ascending=False))}
+    alone = {r.v: r["rank"] for r in ranking.average_rank(df, "v", per_range=7, descending=False).collect()}
+    assert alone == dict(zip(values, pd.Series(values).rank()))
+    assert ranking.average_rank(df.limit(0), "v").count() == 0
+
+
+def test_range_join_counts_templates(spark):
+    from evoq.functions.kernels import template_matches
+    pick = np.random.default_rng(2)
+    signals = [pick.normal(size=300), np.zeros(300), np.repeat([0.0, 1.0, 5.0], 100), np.arange(300.0), np.round(pick.normal(size=300), 1) + 1000]
+    df = spark.createDataFrame([("d", "s", k, 1000.0, 0.0, 300, [float(v) for v in x]) for k, x in enumerate(signals)],
+                               "dataset string, subject string, epoch int, sfreq double, t0 double, n_times int, signal array<double>")
+    spec = SignalSpec(windows={**SignalSpec().windows, "psd": (0.0, 10.0)})
+    got = {r.epoch: (r.short, r.long) for r in complexity.template_pairs(df, spec).collect()}
+    assert got == {k: tuple(int(n[0]) for n in template_matches(x[None], spec.entropy_tolerance)) for k, x in enumerate(signals)}

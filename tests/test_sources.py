@@ -122,6 +122,43 @@ def test_float_blocks(spark, tmp_path):
     assert large == got
 
 
+def test_blocks_by_ranges(spark, tmp_path):
+    pick = np.random.default_rng(3)
+    shapes, want = [], {}
+    for name, trials in (("small", 1), ("mid", 5), ("long", 11), ("one", 1)):
+        times = 400 if name == "one" else 8
+        data = pick.normal(size=(trials, times, 4)).astype("<f4")
+        (tmp_path / f"{name}.fdt").write_bytes(data.tobytes())
+        shapes.append((f"file:{tmp_path}/{name}.fdt", 4, times, None if name == "small" else trials, [2, 0]))
+        want |= {(name, e, c): data[e, :, c].tolist() for e in range(trials) for c in (2, 0)}
+    (tmp_path / "bad.fdt").write_bytes(b"\0" * 4000)
+    (tmp_path / "empty.fdt").write_bytes(b"")
+    shapes += [(f"file:{tmp_path}/bad.fdt", 4, 8, 11, [0]), (f"file:{tmp_path}/empty.fdt", 0, 8, 1, [0])]
+    table = spark.createDataFrame(shapes, "path string, nbchan int, pnts int, trials int, wanted array<int>")
+    blocks = signals.read_float_blocks(spark, str(tmp_path), table)
+    for limit in (0, 300, 10**6):  # all by ranges, some of them, none
+        rows = signals.stored_signals(blocks, wanted="wanted", limit=limit, range_bytes=300).collect()
+        assert len(rows) == len(want)
+        assert {(r["path"].split("/")[-1][:-4], r["epoch"], r["channel_idx"]): r["signal"] for r in rows} == want
+    plan = signals.decode_block_ranges(blocks)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "MapInArrow" in plan
+    assert {r["path"].split("/")[-1] for r in signals.block_rejects(blocks).collect()} == {"bad.fdt"}
+    assert signals.decode_block_ranges(blocks.limit(0)).count() == 0
+
+
+def test_all_objects(spark, tmp_path):
+    made = {"a/b/c/deep.set": b"12", "a/.hidden": b"1", "_mark": b"", "a/empty.tsv": b"", "a/b/é x:y.txt": b"123"}
+    for key, content in made.items():
+        path = tmp_path / key
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(content)
+    (tmp_path / "folder without objects").mkdir()
+    for root in (str(tmp_path), f"file:{tmp_path}/", f"file://{tmp_path}"):
+        rows = manifest.list_all_objects(spark, root).collect()
+        assert len(rows) == len(made) and {r["key"]: r["size"] for r in rows} == {k: len(v) for k, v in made.items()}
+    assert manifest.list_all_objects(spark, str(tmp_path / "absent")).count() == 0
+
+
 def test_orientation(spark):
     x = np.arange(2 * 4 * 8).reshape(2, 4, 8)
     cells = lambda name, a, n_channels=4: [("d", name, *map(int, i), float(a[i]), n_channels, 8) for i in np.ndindex(a.shape)]
