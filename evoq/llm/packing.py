@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,8 +83,16 @@ def pieces_of(lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray,
     return text, part * length, np.minimum(lengths[text] - part * length, length)
 
 
+# White space as the splitting rule's \\s has it, in runs too long for the library's matcher.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{50000,}")
+
+
 class TokenIds:
-    """Token ids of texts under public byte-pair ranks."""
+    """Token ids of texts under public byte-pair ranks.
+
+    The rule must split runs of white space as the public ones do: a run is one piece, but for its last character where
+    something follows. Very long runs are cut out by that, as the matcher fails on a million characters.
+    """
 
     def __init__(self, ranks_file: str, pattern: str):
         import tiktoken
@@ -91,11 +100,20 @@ class TokenIds:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks_file.splitlines() if line)}
         self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def text_ids(self, text: str) -> list[int]:
+        ids, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            stop = run.end() - (run.end() < len(text))
+            ids += self.encoding.encode_ordinary(text[at:run.start()])
+            ids += self.encoding._core_bpe.encode_single_piece(text[run.start():stop].encode())
+            at = stop
+        return ids + self.encoding.encode_ordinary(text[at:])
+
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, and the number of ids per text."""
         ids = []
         for text in column.to_pylist():
-            own = self.encoding.encode_ordinary(text)
+            own = self.text_ids(text)
             own.append(end)
             ids.append(np.array(own, np.int32))
         return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
@@ -138,7 +156,7 @@ def pack_texts(sidecars: DataFrame, ranks_file: str, pattern: str, end_id: int,
     Tasks pack the texts they read, ``pool`` tokens at a time, best-fit decreasing with a segment tree over the room left.
     Nothing is shuffled and a task run again gives the same rows, so ``pack`` (unique) depends on how the input is split.
 
-    * A null or empty text is its end id alone. Repeated rows are packed each. An empty table gives an empty one.
+    * Texts and runs of white space may be of any length. A null or empty text is its end id alone. Repeated rows are packed each. An empty table gives an empty one.
       A null key stays null. Other columns are ignored.
     """
     kind = sidecars.schema[key].dataType.simpleString()

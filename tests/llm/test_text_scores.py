@@ -65,6 +65,17 @@ def test_packing_is_lossless(sidecars):
     assert packing.pack_texts(sidecars(rows).limit(0), ranks, pattern, 50256).count() == 0
 
 
+def test_long_runs_of_white_space(sidecars):
+    ranks, space = tokenizer_file("byte_bpe_50k.tiktoken"), " " * 120_000
+    coder = packing.TokenIds(ranks, public_tokenizers.PATTERN)
+    for text in ("a" + space + "b", "a" + space, space + "!", "a" + space + "\nb", "é\u2003" + space + "\t9 b" + space, "a" + space + "\x1c" + space + "b", space):
+        assert coder.text_ids(text) == coder.encoding.encode_ordinary(text)
+    text = "a" + " " * 1_000_000 + "b"
+    packed = packing.pack_texts(sidecars([(1, text)]), ranks, public_tokenizers.PATTERN, 50256)
+    ids = [i for r in sorted(packing.unpack(packed).collect(), key=lambda r: r.offset) for i in r.ids]
+    assert ids[-1] == 50256 and coder.encoding.decode(ids[:-1]) == text
+
+
 def test_best_fit_is_that_of_the_plain_search():
     pick = np.random.default_rng(4)
     for _ in range(20):
