@@ -146,57 +146,81 @@ def may_be_dense(has: np.ndarray, spec: PassageSpec) -> np.ndarray:
 def group_links(ids: np.ndarray, bodies: list[np.ndarray], spec: PassageSpec) -> list[tuple[int, int]]:
     """Pairs of windows of one min-hash that hold a verified passage, as far as they tell something new.
 
-    Equal windows are linked to the first of them. Of the others every two are compared, unless both are in one class
-    already and share no more than each of them shares with a verified partner.
+    Equal windows are linked to one of them, so that each is linked to one of another text. Of different ones every two
+    are compared, unless both are in one class already and neither has a shared shingle outside its verified ranges. A
+    window that stands for several of one text alone brings all of them along.
     """
     order = np.argsort(words.mix(ids.view(np.uint64)), kind="stable")
-    out, reps, first = [], [], {}
+    same_body: dict[bytes, list[int]] = {}
     for k in order.tolist():
-        mark = bodies[k].tobytes()
-        if mark not in first:
-            first[mark] = k
-            reps.append(k)
-        elif ids[first[mark]] != ids[k]:
-            out.append((first[mark], k))
+        same_body.setdefault(bodies[k].tobytes(), []).append(k)
+    out, reps, alone = [], [], []
+    for rows in same_body.values():
+        other = next((k for k in rows if ids[k] != ids[rows[0]]), None)
+        if other is not None:
+            out += [(rows[0] if ids[k] != ids[rows[0]] else other, k) for k in rows[1:]]
+        reps.append(rows[0])
+        alone.append(rows if other is None else rows[:1])
     n = len(reps)
     if n < 2:
         return out
     sizes = np.array([len(bodies[k]) for k in reps])
     ends = np.concatenate([[0], np.cumsum(sizes)])
     codes = np.unique(np.concatenate([bodies[k] for k in reps]), return_inverse=True)[1]
-    flags = np.zeros(int(codes.max()) + 1, np.int32)
-    own, root, best = ids[reps], np.arange(n), np.zeros(n, np.int64)
+    flags, fresh = np.zeros(int(codes.max()) + 1, np.int32), np.zeros(int(codes.max()) + 1, np.int32)
+    own, root, told = ids[reps], np.arange(n), np.zeros(len(codes), bool)
     plain = np.array([len(np.unique(codes[x:y])) == y - x for x, y in zip(ends[:-1], ends[1:])])
     for i in range(n - 1):
         mine = codes[ends[i]:ends[i + 1]]
         flags[mine] = 1
-        shared = np.add.reduceat(flags[codes[ends[i + 1]:]], ends[i + 1:-1] - ends[i + 1])
+        there = flags[codes[ends[i + 1]:]]
+        shared = np.add.reduceat(there, ends[i + 1:-1] - ends[i + 1])
         others = i + 1 + np.flatnonzero((shared >= spec.needed) & (own[i + 1:] != own[i]))
-        same = shared[others - i - 1]
-        others = others[(root[others] != root[i]) | (same > best[i]) | (same > best[others])]
         if len(others):
-            there = np.minimum(ends[others, None] + np.arange(sizes[others].max()), ends[others + 1, None] - 1)
-            has = flags[codes[there]] * (np.arange(there.shape[1]) < sizes[others, None])
+            at = np.minimum(ends[others, None] + np.arange(sizes[others].max()), ends[others + 1, None] - 1)
+            has = flags[codes[at]] * (np.arange(at.shape[1]) < sizes[others, None])
             others = others[~(plain[others] & plain[i]) | may_be_dense(has, spec)]
         flags[mine] = 0
         for j in others.tolist():
-            same = int(shared[j - i - 1])
-            if root[i] == root[j] and same <= best[i] and same <= best[j]:
-                continue
-            if common_runs(bodies[reps[i]], bodies[reps[j]], [(0, int(sizes[i]) - 1, 0, int(sizes[j]) - 1)], spec):
-                out.append((reps[i], reps[j]))
+            theirs = codes[ends[j]:ends[j + 1]]
+            if root[i] == root[j]:
+                # Shared shingles that no verified range holds yet, on either side.
+                left, right = mine[~told[ends[i]:ends[i + 1]]], theirs[~told[ends[j]:ends[j + 1]]]
+                fresh[theirs] = 1
+                new = fresh[left].any()
+                fresh[theirs] = 0
+                fresh[mine] = 1
+                new = new or fresh[right].any()
+                fresh[mine] = 0
+                if not new:
+                    continue
+            ranges = common_runs(bodies[reps[i]], bodies[reps[j]], [(0, int(sizes[i]) - 1, 0, int(sizes[j]) - 1)], spec)
+            if ranges:
+                out += [(k, reps[j]) for k in alone[i]] + [(reps[i], k) for k in alone[j][1:]]
                 root[root == root[j]] = root[i]
-                best[i], best[j] = max(best[i], same), max(best[j], same)
+                for x, y, u, v in ranges:
+                    told[ends[i] + x:ends[i] + y - spec.shingle + 1] = True
+                    told[ends[j] + u:ends[j] + v - spec.shingle + 1] = True
     return out
 
 
-def _group_hits(groups: np.ndarray, ids: np.ndarray, flat: np.ndarray, ends: np.ndarray, spec: PassageSpec) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of whole groups that are linked, as two arrays. A window with too few shingles that others of its group have has no
-    partner; two windows left in a group go on as they are, as every pair is verified later."""
+def _group_hits(groups: np.ndarray, ids: np.ndarray, flat: np.ndarray, ends: np.ndarray, spec: PassageSpec) -> tuple[np.ndarray, ...]:
+    """Rows of whole groups that are linked, as two arrays, and how much of each row is cut at its head and its tail.
+
+    A window with too few shingles that others of its group have has no partner. Of the others the ends that no other window has
+    are cut: what stands around a passage differs, and without it the windows of one passage are equal. A range begins and ends with a
+    shared shingle, so what is cut holds none of it. Two windows left in a group go on unverified, as every pair is verified later.
+    """
     sizes = np.diff(ends)
     marks = words.mix(np.repeat(groups, sizes).astype(np.uint64) + np.uint64(1)) ^ flat.astype(np.uint64)
     _, back, times = np.unique(marks, return_inverse=True, return_counts=True)
-    kept = np.flatnonzero(np.add.reduceat((times[back] > 1).astype(np.int64), ends[:-1]) >= spec.needed)
+    common = times[back] > 1
+    kept = np.flatnonzero(np.add.reduceat(common.astype(np.int64), ends[:-1]) >= spec.needed)
+    spots = np.flatnonzero(common)
+    head, tail = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    head[kept] = spots[np.searchsorted(spots, ends[kept])] - ends[kept]
+    tail[kept] = ends[kept + 1] - 1 - spots[np.searchsorted(spots, ends[kept + 1]) - 1]
+    kept = kept[(sizes - head - tail)[kept] >= spec.width]
     cut = np.flatnonzero(np.diff(groups[kept], prepend=-1, append=-1))
     one, two = [], []
     for low, high in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -206,10 +230,10 @@ def _group_hits(groups: np.ndarray, ids: np.ndarray, flat: np.ndarray, ends: np.
                 one.append(int(rows[0]))
                 two.append(int(rows[1]))
         elif high - low > 2:
-            for x, y in group_links(ids[rows], [flat[ends[r]:ends[r + 1]] for r in rows], spec):
+            for x, y in group_links(ids[rows], [flat[ends[r] + head[r]:ends[r + 1] - tail[r]] for r in rows], spec):
                 one.append(int(rows[x]))
                 two.append(int(rows[y]))
-    return np.array(one, np.int64), np.array(two, np.int64)
+    return np.array(one, np.int64), np.array(two, np.int64), head, tail
 
 
 def window_hits(windows: DataFrame, counts: DataFrame, spec: PassageSpec) -> DataFrame:
@@ -232,7 +256,8 @@ def window_hits(windows: DataFrame, counts: DataFrame, spec: PassageSpec) -> Dat
         offsets = np.frombuffer(body.buffers()[1], np.int32)[body.offset:body.offset + len(body) + 1].astype(np.int64)
         flat = np.frombuffer(body.buffers()[2], "<u4", int(offsets[-1] - offsets[0]) // 4, int(offsets[0]))
         change = (value[1:] != value[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        one, two = _group_hits(np.concatenate([[0], np.cumsum(change)]), ids, flat, (offsets - offsets[0]) // 4, spec)
+        one, two, head, tail = _group_hits(np.concatenate([[0], np.cumsum(change)]), ids, flat, (offsets - offsets[0]) // 4, spec)
+        start, stop = (start + head).astype(np.int32), (stop - tail).astype(np.int32)
         swap = ids[one] > ids[two]
         a, b = np.where(swap, two, one), np.where(swap, one, two)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], start[a], stop[a], start[b], stop[b])], ["a", "b", "al", "ar", "bl", "br"])
@@ -298,6 +323,15 @@ def common_runs(a: np.ndarray, b: np.ndarray, hits: list[tuple[int, int, int, in
     return sorted(out)
 
 
+def runs_both_ways(a: np.ndarray, b: np.ndarray, hits: list[tuple[int, int, int, int]], spec: PassageSpec) -> list[tuple[int, int, int, int]]:
+    """``common_runs`` from either text: a range has one counterpart, though the other text may hold it many times."""
+    def found(one, two, some):
+        return common_runs(one, two, some, spec) or [x for r in some for x in common_runs(one, two, [r], spec)]
+
+    back = found(b, a, [(bl, br, al, ar) for al, ar, bl, br in hits])
+    return sorted({*found(a, b, hits), *((x, y, u, v) for u, v, x, y in back)})
+
+
 def _dense_range(wa, wb, shared, spec: PassageSpec) -> tuple[tuple[int, int, int, int] | None, int, int]:
     """A range of ``wa`` grown from the longest run of ``shared`` places that, with its counterpart in ``wb``, is similar and long
     enough, or None; and the longest run."""
@@ -383,11 +417,11 @@ def _verified(pairs: DataFrame, spec: PassageSpec) -> DataFrame:
                     at += high - low + 1
                 b = words.shingles(next(words.blocks_of_words(batch.column(4).slice(i, 1))).hashes, spec.shingle)
                 ranges = [(h["al"], h["ar"], h["bl"], h["br"]) for h in hits]
-                found = common_runs(a, b, ranges, spec) or sorted({x for r in ranges for x in common_runs(a, b, [r], spec)})
+                found = runs_both_ways(a, b, ranges, spec)
                 if found:
                     keep.append(i)
-                    left.append([{"start": x, "stop": y} for x, y, _, _ in found])
-                    right.append([{"start": u, "stop": v} for _, _, u, v in found])
+                    left.append([{"start": x, "stop": y} for x, y in sorted({f[:2] for f in found})])
+                    right.append([{"start": u, "stop": v} for u, v in sorted({f[2:] for f in found})])
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(left, spans), pa.array(right, spans)],
                                              ["a", "b", "spans_a", "spans_b"])

@@ -39,3 +39,24 @@ def test_variants_do_not_hide_an_exact_passage(sidecars, words_of, block):
     for t in range(12):
         assert {100 * t, 100 * t + 1} <= set(out) and out[100 * t + 1].class_key == 100 * t
         assert [tuple(s) for s in out[100 * t].spans] == [(30, 90)]
+
+
+@pytest.mark.parametrize("repeats", [100, 200])
+def test_a_text_that_repeats_a_passage_shares_all_of_it(sidecars, words_of, repeats):
+    passage = words_of(60, 77, 99999)
+    rows = [(1, " ".join(passage * repeats)), (2, " ".join(words_of(30, 78, 99999) + passage + words_of(30, 79, 99999)))]
+    out = {r.key: r for r in passages.shared_passages(sidecars(rows)).collect()}
+    assert out[1].n_words == 60 * repeats and [tuple(s) for s in out[2].spans] == [(30, 90)]
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_every_shared_passage_of_hot_texts_is_in_the_spans(sidecars, words_of, block):
+    """Boilerplate that all texts hold, and in it or beside it passages that only some of them share."""
+    plate, rows, want = words_of(55, 7, 99999), [], {}
+    for k in range(48):
+        extra = words_of(52, 9000 + k // 3, 99999)
+        rows.append((k, " ".join(words_of(20 + k, 100 + k, 99999) + plate + words_of(10, 300 + k, 99999) + extra + words_of(9, 500 + k, 99999))))
+        want[k] = [(20 + k, 75 + k), (85 + k, 137 + k)]
+    out = {r.key: r for r in passages.shared_passages(sidecars(rows), spec=passages.PassageSpec(block=block)).collect()}
+    assert {k: [tuple(s) for s in r.spans] for k, r in out.items()} == want
+    assert {(r.class_key, r.n_links) for r in out.values()} == {(0, 47)}
