@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from evoq.session import pin
 
-DIGEST_BUCKETS = 4096  # three hexadecimal digits
 SKETCH = 10_000  # accuracy of the sketch around exact quantiles
 INSIDE, BINS = 100_000, 1024  # rows around a wanted place that are ordered by one task; parts a larger range is cut into
 
