@@ -180,6 +180,12 @@ def group_links(ids: np.ndarray, bodies: list[np.ndarray], spec: PassageSpec) ->
             at = np.minimum(ends[others, None] + np.arange(sizes[others].max()), ends[others + 1, None] - 1)
             has = flags[codes[at]] * (np.arange(at.shape[1]) < sizes[others, None])
             others = others[~(plain[others] & plain[i]) | may_be_dense(has, spec)]
+            # Of one class, only those with a shared shingle outside the verified ranges, on either side, are looked at again.
+            open_there = np.add.reduceat(there * ~told[ends[i + 1]:], ends[i + 1:-1] - ends[i + 1])[others - i - 1]
+            fresh[mine[~told[ends[i]:ends[i + 1]]]] = 1
+            open_here = np.add.reduceat(fresh[codes[ends[i + 1]:]], ends[i + 1:-1] - ends[i + 1])[others - i - 1]
+            fresh[mine] = 0
+            others = others[(root[others] != root[i]) | (open_there > 0) | (open_here > 0)]
         flags[mine] = 0
         for j in others.tolist():
             theirs = codes[ends[j]:ends[j + 1]]
